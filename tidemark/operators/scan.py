@@ -176,6 +176,40 @@ def _by_range(df, keys, order, recurrences, partitions):
     return ranged.mapInArrow(task, schema)
 
 
+def number_rows(df: DataFrame, order: list[str], name: str, *, partitions: int | None = None) -> DataFrame:
+    """Adds the 0-based position of each row in the whole table's order.
+
+    Rows are range-partitioned and counted per partition; only those counts
+    (one per partition) meet on the driver.
+    """
+    if partitions is None:
+        partitions = max(1, min(50_000, df.count() // PARTITION_ROWS + 1))
+    ranged = checkpointed(
+        df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    )
+    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    offsets, total = {}, 0
+    for part in sorted(counts):
+        offsets[part] = total
+        total += counts[part]
+    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType())])
+    names = schema.names
+
+    def task(batches):
+        head, batches = _peek(batches)
+        if head is None:
+            return
+        at = head.schema.get_field_index("_part")
+        position = offsets[head.column("_part")[0].as_py()]
+        for batch in batches:
+            kept = [c for i, c in enumerate(batch.columns) if i != at]
+            numbers = pa.array(np.arange(position, position + batch.num_rows))
+            position += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*kept, numbers], names=names)
+
+    return ranged.mapInArrow(task, schema)
+
+
 def _peek(batches):
     batches = (b for b in batches if b.num_rows)
     head = next(batches, None)

@@ -35,10 +35,9 @@ def between(df: DataFrame, since: str | None = None, until: str | None = None, t
 
 
 def write_append(df: DataFrame, path: str, time: str = "timestamp") -> None:
-    """Appends. Rows are spread by partition and a few hash slices of the
-    device, so a tenant or day with most of the rows is written by many tasks."""
-    out = dated(df, time).withColumn("_slice", F.pmod(F.xxhash64("device_id", time), F.lit(64)))
-    out = out.repartition(*PARTITIONS, "_slice").drop("_slice")
+    """Appends. Rebalancing gathers a partition's rows into few files, and lets
+    adaptive execution split a tenant or day that holds most of the rows."""
+    out = dated(df, time).hint("rebalance", *PARTITIONS)
     out.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 

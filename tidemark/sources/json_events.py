@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.expr import parse_ts
 from tidemark.schema import SENSOR_EVENT, WIRE_EVENT
 
+_BROKEN = "_broken"
+
 
 def _number(text: Column) -> Column:
     """Numbers may be quoted; true and false count as 1 and 0."""
@@ -24,13 +27,14 @@ def _flag(text: Column) -> Column:
 
 
 def _typed(df: DataFrame, value: str) -> DataFrame:
-    wire = F.from_json(F.col(value).cast("string"), WIRE_EVENT)
+    schema = StructType([*WIRE_EVENT.fields, StructField(_BROKEN, StringType())])
+    wire = F.from_json(F.col(value).cast("string"), schema, {"columnNameOfCorruptRecord": _BROKEN})
     df = df.withColumn("_w", wire)
     w = lambda name: F.col("_w")[name]
     sequence = _number(w("sequence"))
     bad_value = F.exists(F.map_values(w("metrics")), lambda v: _number(v).isNull())
     reason = (
-        F.when(F.col("_w").isNull(), "not a JSON object")
+        F.when(F.col("_w").isNull() | w(_BROKEN).isNotNull(), "not a JSON object of the expected shape")
         .when(w("device_id").isNull(), "device_id missing")
         .when(w("sensor_type").isNull(), "sensor_type missing")
         .when(parse_ts(w("timestamp")).isNull(), "timestamp missing or unreadable")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expr import US, parse_ts
+from tidemark.operators.scan import number_rows
 from tidemark.session import prepare
 
 # Columns that are never metrics, and the start of made-up times.
@@ -45,7 +45,7 @@ def wide_to_events(
         if isinstance(kind, T.StringType):
             time = parse_ts(F.col(timestamp_col))
         if "row" not in df.columns:
-            df = df.withColumn("row", _numbered(time))
+            df = number_rows(df.withColumn("_time", time), ["_time"], "row").drop("_time")
     else:
         start = F.unix_micros(F.lit(FIRST_TIME).cast("timestamp"))
         time = F.timestamp_micros(start + F.col("row") * US)
@@ -65,19 +65,13 @@ def wide_to_events(
     )
 
 
-def _numbered(time):
-    """Position by time. One file is one device here, and the numbering reads its times only."""
-    return F.row_number().over(W.partitionBy(F.lit(0)).orderBy(time)) - 1
-
-
 def read_labeled_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """Events of one labelled CSV file, with ids from file name and row."""
     df = prepare(spark).read.csv(path, header=True, inferSchema=True)
     timestamp_col = options.get("timestamp_col", "timestamp")
     if timestamp_col not in df.columns:
         # line order is the only order such a file has; ids grow along it
-        line = F.monotonically_increasing_id()
-        df = df.withColumn("_line", line).withColumn("row", _numbered(F.col("_line"))).drop("_line")
+        df = number_rows(df.withColumn("_line", F.monotonically_increasing_id()), ["_line"], "row").drop("_line")
     file = options.pop("file", path.rstrip("/").rsplit("/", 1)[-1])
     events = wide_to_events(df, file=file, **options)
     return events.withColumn("event_id", F.sha2(F.concat_ws("|", F.lit(file), F.col("sequence").cast("string")), 256))

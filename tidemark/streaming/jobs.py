@@ -24,12 +24,14 @@ from tidemark.streaming.keyed import keyed_scan
 STATE_TTL_SECONDS = 7 * 86400.0
 
 
-def dedup_stream(df: DataFrame, window_seconds: float = 5.0, *, ttl_seconds: float | None = None) -> DataFrame:
-    """Kept deliveries, exact: the greedy rule with one small state per event key, expiring soon after the window."""
+def dedup_stream(df: DataFrame, window_seconds: float = 5.0, ttl_seconds: float | None = 3600.0) -> DataFrame:
+    """Kept deliveries, exact: the greedy rule with one small state per event key.
+
+    The time to live must exceed the window plus the delay between arrival and processing.
+    """
     narrow = df.withColumn("dedup_key", dedup_key())
     spacing = Spacing("ingested_at", seconds_to_us(window_seconds), strict=True)
-    ttl = ttl_seconds if ttl_seconds is not None else max(60.0, 10 * window_seconds)
-    scanned = keyed_scan(narrow, ["dedup_key"], ["ingested_at", "event_id"], [spacing], ttl_seconds=ttl)
+    scanned = keyed_scan(narrow, ["dedup_key"], ["ingested_at", "event_id"], [spacing], ttl_seconds=ttl_seconds)
     return scanned.filter("kept").drop("kept", "prev_anchor", "dedup_key")
 
 
@@ -39,33 +41,34 @@ def dedup_stream_approx(df: DataFrame, window_seconds: float = 5.0) -> DataFrame
     return keyed.dropDuplicatesWithinWatermark(["dedup_key"]).drop("dedup_key")
 
 
-def ewma_stream(df: DataFrame, cfg: Ewma = Ewma(), ttl_seconds: float = STATE_TTL_SECONDS) -> DataFrame:
+def ewma_stream(df: DataFrame, cfg: Ewma = Ewma(), ttl_seconds: float | None = STATE_TTL_SECONDS) -> DataFrame:
     return keyed_scan(df, DEVICE, ORDER, [EwmaScore(cfg)], ttl_seconds=ttl_seconds)
 
 
-def drift_stream(df: DataFrame, cfg: Drift = Drift(), ttl_seconds: float = STATE_TTL_SECONDS) -> DataFrame:
+def drift_stream(df: DataFrame, cfg: Drift = Drift(), ttl_seconds: float | None = STATE_TTL_SECONDS) -> DataFrame:
     df = df.withColumn("primary", primary_metric())
     return keyed_scan(df, DEVICE, ORDER, [AdwinDrift(cfg)], ttl_seconds=ttl_seconds).drop("primary")
 
 
-def autoencoder_stream(df: DataFrame, cfg, catalog=DEFAULT_CATALOG, models=None, ttl_seconds=STATE_TTL_SECONDS):
+def autoencoder_stream(df: DataFrame, cfg, catalog=DEFAULT_CATALOG, models=None, ttl_seconds: float | None = STATE_TTL_SECONDS):
     df = df.withColumn("vector", metric_vector(catalog))
     return keyed_scan(df, SENSOR, ORDER, [OnlineAutoencoder(cfg, models)], ttl_seconds=ttl_seconds).drop("vector")
 
 
-def arrival_windows_stream(df: DataFrame, size_seconds: float, ttl_seconds: float = STATE_TTL_SECONDS) -> DataFrame:
+def arrival_windows_stream(df: DataFrame, size_seconds: float, ttl_seconds: float | None = STATE_TTL_SECONDS) -> DataFrame:
     """Events with their window in arrival order; late ones are marked."""
     window = OpenWindow("timestamp", seconds_to_us(size_seconds))
     placed = keyed_scan(df, SENSOR, ["ingested_at", "event_id"], [window], ttl_seconds=ttl_seconds)
     return placed.withColumn("is_late", F.col("window_no") < F.col("open_window"))
 
 
-def cooldown_stream(anomalies: DataFrame, cfg: Alerting = Alerting()) -> DataFrame:
-    """Alerts with payload; state lives as long as a cooldown can matter."""
+def cooldown_stream(
+    anomalies: DataFrame, cfg: Alerting = Alerting(), ttl_seconds: float | None = STATE_TTL_SECONDS
+) -> DataFrame:
+    """Alerts with payload."""
     spacing = Spacing("timestamp", seconds_to_us(cfg.cooldown_seconds))
     candidates = alert_candidates(anomalies, cfg.min_severity)
-    ttl = max(3600.0, 10 * cfg.cooldown_seconds)
-    sent = keyed_scan(candidates, DEVICE, ORDER, [spacing], ttl_seconds=ttl).filter("kept")
+    sent = keyed_scan(candidates, DEVICE, ORDER, [spacing], ttl_seconds=ttl_seconds).filter("kept")
     return alert_payload(sent.drop("kept", "prev_anchor"))
 
 
@@ -74,7 +77,7 @@ def detect_stream(
     cfg: Detection = Detection(),
     catalog: Catalog = DEFAULT_CATALOG,
     models=None,
-    ttl_seconds: float = STATE_TTL_SECONDS,
+    ttl_seconds: float | None = STATE_TTL_SECONDS,
 ) -> DataFrame:
     """Anomaly rows of a stream of enriched events; one stateful step for all models of a device's sensor."""
     df = with_rules(df.select("event_id", *SENSOR, "timestamp", "metrics"), catalog)
@@ -86,13 +89,20 @@ def detect_stream(
 
 
 def clean_stream(
-    raw: DataFrame, cfg: Settings = Settings(), catalog: Catalog = DEFAULT_CATALOG, *, exact_dedup: bool = True
+    raw: DataFrame,
+    cfg: Settings = Settings(),
+    catalog: Catalog = DEFAULT_CATALOG,
+    *,
+    exact_dedup: bool = True,
+    ttl_seconds: float | None = 3600.0,
 ) -> DataFrame:
     """Valid, deduplicated and enriched events of a stream of sensor events."""
     checked = validate(raw, catalog)
-    first = dedup_stream if exact_dedup else dedup_stream_approx
     # an invalid event takes part in deduplication, as in a batch
-    kept = first(checked, cfg.dedup_window_seconds)
+    if exact_dedup:
+        kept = dedup_stream(checked, cfg.dedup_window_seconds, ttl_seconds)
+    else:
+        kept = dedup_stream_approx(checked, cfg.dedup_window_seconds)
     if cfg.drop_invalid:
         kept = kept.filter(~has_errors())
     return enrich(kept, catalog, environment=cfg.environment, tenancy=cfg.tenancy)
@@ -147,14 +157,19 @@ def start_fan_out(
 
 
 def start_alerts(
-    anomalies: DataFrame, checkpoint: str, send: Callable[[DataFrame], None], cfg: Alerting = Alerting()
+    anomalies: DataFrame,
+    checkpoint: str,
+    send: Callable[[DataFrame], None],
+    cfg: Alerting = Alerting(),
+    *,
+    interval_seconds: float | None = None,
 ) -> StreamingQuery:
     """Sends alerts through `send`, which gets a DataFrame with the payload column per micro-batch."""
     return (
-        cooldown_stream(anomalies, cfg)
+        cooldown_stream(anomalies, cfg, None if interval_seconds is None else STATE_TTL_SECONDS)
         .writeStream.foreachBatch(lambda batch, _: send(batch))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger_options(interval_seconds))
         .start()
     )
 

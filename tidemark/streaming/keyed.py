@@ -22,13 +22,13 @@ STATE = T.StructType([T.StructField("carries", T.BinaryType())])
 
 
 class KeyedRecurrence(StatefulProcessor):
-    """Runs recurrences for one key; state expires `ttl_seconds` after its last update."""
+    """Runs recurrences for one key; state expires `ttl_seconds` after its last update, or never."""
 
-    def __init__(self, schema: T.StructType, order: list[str], recurrences: list[Recurrence], ttl_seconds: float):
+    def __init__(self, schema: T.StructType, order: list[str], recurrences: list[Recurrence], ttl_seconds: float | None):
         self.schema = schema
         self.order = order
         self.recurrences = recurrences
-        self.ttl_ms = int(ttl_seconds * 1000)
+        self.ttl_ms = None if ttl_seconds is None else int(ttl_seconds * 1000)
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("carries", STATE, ttlDurationMs=self.ttl_ms)
@@ -68,9 +68,14 @@ class KeyedRecurrence(StatefulProcessor):
 
 
 def keyed_scan(
-    df: DataFrame, keys: list[str], order: list[str], recurrences: list[Recurrence], *, ttl_seconds: float = 86400.0
+    df: DataFrame, keys: list[str], order: list[str], recurrences: list[Recurrence], *, ttl_seconds: float | None
 ) -> DataFrame:
-    """Streaming counterpart of `ordered_scan`: appends the recurrences' columns."""
+    """Streaming counterpart of `ordered_scan`: appends the recurrences' columns.
+
+    A job that runs on needs a time to live. It goes by the clock and keeps
+    batches coming to clean up, so a bounded run (trigger availableNow) would
+    never end with one: such runs pass None.
+    """
     spark = df.sparkSession
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -81,5 +86,5 @@ def keyed_scan(
         statefulProcessor=KeyedRecurrence(df.schema, order, recurrences, ttl_seconds),
         outputStructType=T.StructType(df.schema.fields + extra),
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None" if ttl_seconds is None else "ProcessingTime",
     )
