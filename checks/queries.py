@@ -106,9 +106,34 @@ def valid(spark, sf) -> DataFrame:
     return classified(spark, sf).filter("is_valid")
 
 
-def anomalies(spark, sf, extra: tuple[str, ...] = ()) -> DataFrame:
-    scored = sc.ewma_score(sc.with_rules(valid(spark, sf)), CHECKED.ewma)
-    return sc.ensemble(scored, CHECKED, extra)
+def anomalies(spark, sf) -> DataFrame:
+    return anomalies_of(valid(spark, sf))
+
+
+def anomalies_of(events: DataFrame) -> DataFrame:
+    return sc.ensemble(sc.ewma_score(sc.with_rules(events), CHECKED.ewma), CHECKED)
+
+
+def stored(spark, df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, for queries that read it more than once."""
+    out = scratch(spark, name)
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+SLIM = ["event_id", "tenant_id", "device_id", "sensor_type", "timestamp", "ingested_at", "metrics", "is_anomaly"]
+
+
+def checked_and_found(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Classified events, cleaned once, and the anomalies among the valid ones."""
+    flags = ["ingest_latency_ms", "is_invalid", "is_deduped", "is_valid"]
+    events = stored(spark, classified(spark, sf).select(*SLIM, *flags), "classified")
+    return events, anomalies_of(events.filter("is_valid"))
+
+
+def labelled_and_found(spark, sf) -> tuple[DataFrame, DataFrame]:
+    events = stored(spark, valid(spark, sf).select(*SLIM), "valid")
+    return events, anomalies_of(events)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -759,9 +784,9 @@ def q4(spark, sf):
       (SELECT valid FROM tm WHERE tenant_id = 'acme') AS valid_events""",
 )
 def q5(spark, sf):
-    found, events = anomalies(spark, sf), valid(spark, sf)
-    metrics = me.tenant_metrics(classified(spark, sf), found, throughput_seconds=6 * 3600)
-    snap = se.dashboard_snapshot(metrics, events, found, "acme")
+    checked, found = checked_and_found(spark, sf)
+    metrics = me.tenant_metrics(checked, found, throughput_seconds=6 * 3600)
+    snap = se.dashboard_snapshot(metrics, checked.filter("is_valid"), found, "acme")
     return snap.select(
         F.size("metrics").alias("tenants"), F.col("events")[0]["event_id"].alias("newest_event"),
         big(F.size("events")).alias("events"), big(F.size("anomalies")).alias("anomalies"),
@@ -819,7 +844,7 @@ def q10_literal(spark, sf):
 @query(
     "q11_metric_series",
     """SELECT ts AS at, event_id, CASE WHEN f1 = 'temperature' THEN round(v1, 6) END AS temperature,
-      CASE WHEN f2 = 'pressure' THEN round(v2, 6) END AS pressure, CASE WHEN f3 = 'vibration' THEN round(v3, 6) END AS vibration FROM val""",
+      CASE WHEN f2 = 'pressure' THEN round(v2::DOUBLE, 6) END AS pressure, CASE WHEN f3 = 'vibration' THEN round(v3, 6) END AS vibration FROM val""",
 )
 def q11(spark, sf):
     fields = ["temperature", "pressure", "vibration"]
@@ -952,7 +977,7 @@ COUNTERS = "ingested AS events_ingested, valid AS events_valid, invalid AS event
 
 @query("b14_tenant_totals", f"SELECT tenant_id, {COUNTERS} FROM tm")
 def b14(spark, sf):
-    return da.tenant_totals(classified(spark, sf), anomalies(spark, sf))
+    return da.tenant_totals(*checked_and_found(spark, sf))
 
 
 @query(
@@ -961,7 +986,7 @@ def b14(spark, sf):
       round(avg(p99), 6) AS latency_p99 FROM tm""",
 )
 def b15(spark, sf):
-    per_tenant = me.tenant_metrics(classified(spark, sf), anomalies(spark, sf), throughput_seconds=6 * 3600)
+    per_tenant = me.tenant_metrics(*checked_and_found(spark, sf), throughput_seconds=6 * 3600)
     df = da.fleet_latency(per_tenant)
     return df.select(
         half_up(F.col("throughput"), 9).alias("throughput"), *[r6(c).alias(c) for c in ("latency_avg", "latency_p95", "latency_p99")]
@@ -969,7 +994,7 @@ def b15(spark, sf):
 
 
 def reports(spark, sf) -> DataFrame:
-    return ev.report("events", valid(spark, sf), anomalies(spark, sf), Evaluation())
+    return ev.report("events", *labelled_and_found(spark, sf), Evaluation())
 
 
 QUALITY = "round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall, round(f1, 6) AS f1"
@@ -996,7 +1021,7 @@ def b16(spark, sf):
       sum(deduped)::BIGINT AS events_deduped, sum(anomalies_detected)::BIGINT AS anomalies_detected FROM tm""",
 )
 def m1(spark, sf):
-    return me.event_counters(classified(spark, sf), anomalies(spark, sf))
+    return me.event_counters(*checked_and_found(spark, sf))
 
 
 @query("m2_latency_stats", "SELECT tenant_id, samples, round(mean, 6) AS mean, p50, p95, p99 FROM latp")
@@ -1030,7 +1055,7 @@ def m4(spark, sf):
       round(p99, 6) AS p99_ingest_latency_ms, round(eps, 9) AS events_per_second FROM tm""",
 )
 def m5(spark, sf):
-    df = me.tenant_metrics(classified(spark, sf), anomalies(spark, sf), throughput_seconds=6 * 3600)
+    df = me.tenant_metrics(*checked_and_found(spark, sf), throughput_seconds=6 * 3600)
     latency = [f"{c}_ingest_latency_ms" for c in ("avg", "p95", "p99")]
     return df.withColumns({**{c: r6(c) for c in latency}, "events_per_second": half_up(F.col("events_per_second"), 9)})
 
@@ -1059,7 +1084,7 @@ def m7(spark, sf):
 
 @query("ev1_evaluate", f"SELECT tp, fp, tn, fn, {QUALITY}, round(accuracy, 6) AS accuracy FROM qual WHERE key = 'ensemble'")
 def ev1(spark, sf):
-    rows = ev.eval_rows(valid(spark, sf), anomalies(spark, sf), 50)
+    rows = ev.eval_rows(*labelled_and_found(spark, sf), 50)
     return ev.evaluate(rows, 0.65).select("tp", "fp", "tn", "fn", *quality_columns("accuracy"))
 
 
@@ -1068,7 +1093,7 @@ def ev1(spark, sf):
     f"SELECT key AS method, tp, fp, tn, fn, {QUALITY} FROM qual WHERE key IN ('statistical', 'rule_based', 'isolation_forest', 'autoencoder')",
 )
 def ev2(spark, sf):
-    rows = ev.eval_rows(valid(spark, sf), anomalies(spark, sf), 50)
+    rows = ev.eval_rows(*labelled_and_found(spark, sf), 50)
     return ev.evaluate_methods(rows, 0.65).select("method", "tp", "fp", "tn", "fn", *quality_columns())
 
 
@@ -1077,7 +1102,7 @@ def ev2(spark, sf):
     f"SELECT CAST(key AS DOUBLE) AS threshold, tp, fp, tn, fn, {QUALITY} FROM qual WHERE key LIKE '0.%'",
 )
 def ev3(spark, sf):
-    rows = ev.eval_rows(valid(spark, sf), anomalies(spark, sf), 50)
+    rows = ev.eval_rows(*labelled_and_found(spark, sf), 50)
     return ev.threshold_sweep(rows).select("threshold", "tp", "fp", "tn", "fn", *quality_columns())
 
 
@@ -1103,10 +1128,11 @@ def ev4(spark, sf):
 )
 def ev5(spark, sf):
     rules_only = Detection(weights={"rule_based": 1.0})
-    rules = sc.ensemble(sc.with_rules(valid(spark, sf)), rules_only)
+    events, found = labelled_and_found(spark, sf)
+    rules = sc.ensemble(sc.with_rules(events), rules_only)
     runs = {
-        "rules and average": reports(spark, sf),
-        "rules alone": ev.report("events", valid(spark, sf), rules, Evaluation()),
+        "rules and average": ev.report("events", events, found, Evaluation()),
+        "rules alone": ev.report("events", events, rules, Evaluation()),
     }
     both = ev.compare_runs(runs)
     return both.select("run", F.lit("ensemble").alias("method"), *quality_columns())

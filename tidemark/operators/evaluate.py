@@ -64,6 +64,41 @@ def predicted_at(threshold: Column | float) -> Column:
     return F.col("flagged") | (F.col("score") >= threshold)
 
 
+def _method_counts(methods: tuple[str, ...], threshold: float) -> list[Column]:
+    counts = []
+    for m in methods:
+        value = F.coalesce(F.try_element_at("methods", F.lit(m)), F.lit(0.0))
+        counts += confusion(F.col("emitted") & (value >= threshold), f"_{m}")
+    return counts
+
+
+def _sweep_counts(thresholds: tuple[float, ...], use_raw_scores: bool) -> list[Column]:
+    counts = []
+    for i, t in enumerate(thresholds):
+        t = round(t, 2)
+        hit = (F.col("score") >= t) if use_raw_scores else predicted_at(t)
+        counts += confusion(hit, f"_t{i}")
+    return counts
+
+
+def _method_rows(methods: tuple[str, ...]) -> Column:
+    return _unstack("method", [(m, F.lit(m)) for m in methods])
+
+
+def _sweep_rows(thresholds: tuple[float, ...]) -> Column:
+    return _unstack("threshold", [(f"t{i}", F.lit(float(round(t, 2)))) for i, t in enumerate(thresholds)])
+
+
+def _unstack(name: str, entries: list[tuple[str, Column]]) -> Column:
+    """The counts of one wide row as array<struct(name, tp, fp, tn, fn)>."""
+    return F.array(
+        *[
+            F.struct(value.alias(name), *[F.col(f"{c}_{suffix}").alias(c) for c in ("tp", "fp", "tn", "fn")])
+            for suffix, value in entries
+        ]
+    )
+
+
 def evaluate(rows: DataFrame, threshold: float = 0.65) -> DataFrame:
     """One row of counts and quality from `eval_rows`."""
     return quality(rows.agg(*confusion(predicted_at(threshold))))
@@ -71,11 +106,7 @@ def evaluate(rows: DataFrame, threshold: float = 0.65) -> DataFrame:
 
 def evaluate_methods(rows: DataFrame, threshold: float = 0.65, methods: tuple[str, ...] = METHODS) -> DataFrame:
     """One row per method; all of them come out of a single aggregation."""
-    counts = []
-    for m in methods:
-        value = F.coalesce(F.try_element_at("methods", F.lit(m)), F.lit(0.0))
-        counts += confusion(F.col("emitted") & (value >= threshold), f"_{m}")
-    return quality(_stack(rows.agg(*counts), "method", [(m, F.lit(m)) for m in methods]))
+    return quality(rows.agg(*_method_counts(methods, threshold)).select(F.inline(_method_rows(methods))))
 
 
 def threshold_sweep(
@@ -87,51 +118,57 @@ def threshold_sweep(
     so the sweep moves little. With use_raw_scores the score alone decides
     (`rows` must then carry the score of every event).
     """
-    named = [(str(i), round(t, 2)) for i, t in enumerate(thresholds)]
-    counts = []
-    for name, t in named:
-        hit = (F.col("score") >= t) if use_raw_scores else predicted_at(t)
-        counts += confusion(hit, f"_{name}")
-    return quality(_stack(rows.agg(*counts), "threshold", [(n, F.lit(t)) for n, t in named]))
-
-
-def _stack(wide: DataFrame, name: str, entries: list[tuple[str, Column]]) -> DataFrame:
-    structs = [
-        F.struct(value.alias(name), *[F.col(f"{c}_{suffix}").alias(c) for c in ("tp", "fp", "tn", "fn")])
-        for suffix, value in entries
-    ]
-    return wide.select(F.inline(F.array(*structs)))
+    return quality(rows.agg(*_sweep_counts(thresholds, use_raw_scores)).select(F.inline(_sweep_rows(thresholds))))
 
 
 def report(
-    dataset: str, events: DataFrame, anomalies: DataFrame, cfg: Evaluation = Evaluation(), alert_threshold: float = 0.65
+    dataset: str,
+    events: DataFrame,
+    anomalies: DataFrame,
+    cfg: Evaluation = Evaluation(),
+    alert_threshold: float = 0.65,
+    methods: tuple[str, ...] = METHODS,
 ) -> DataFrame:
-    """One nested row: counts, quality, per-method quality and the threshold sweep."""
+    """One nested row: counts, quality, per-method quality and the threshold sweep.
+
+    All counts come from one pass over the evaluated rows. `events` is read
+    for the warm-up as well, so give it as a stored table when it is costly.
+    """
     threshold = cfg.threshold if cfg.threshold is not None else alert_threshold
     rows = eval_rows(events, anomalies, cfg.warmup_events)
+    counts = rows.agg(
+        *confusion(predicted_at(threshold)),
+        *_method_counts(methods, threshold),
+        *_sweep_counts(cfg.threshold_sweep, False),
+    )
     totals = events.agg(
         F.count(F.lit(1)).alias("total_events"), F.count("is_anomaly").alias("labeled_events")
     ).withColumn("warmup_events", F.least(F.lit(cfg.warmup_events), F.floor(F.col("labeled_events") / 2)))
-    whole = evaluate(rows, threshold).withColumn("confusion", F.struct("tp", "fp", "tn", "fn"))
-    methods = evaluate_methods(rows, threshold).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("method", F.struct("precision", "recall", "f1", "tp", "fp", "tn", "fn")))
-        ).alias("per_method")
-    )
-    sweep = threshold_sweep(rows, cfg.threshold_sweep).agg(
-        F.sort_array(
-            F.collect_list(F.struct("threshold", "precision", "recall", "f1", "tp", "fp", "tn", "fn"))
-        ).alias("threshold_sweep")
-    )
-    # each side is a single row
-    joined = totals.join(F.broadcast(whole)).join(F.broadcast(methods)).join(F.broadcast(sweep))
-    return joined.select(
+    one = totals.join(F.broadcast(counts)).select(  # one row each
+        "total_events", "labeled_events", "warmup_events", "tp", "fp", "tn", "fn",
+        _method_rows(methods).alias("_m"), _sweep_rows(cfg.threshold_sweep).alias("_s"),
+    )
+    scored = ("precision", "recall", "f1", "tp", "fp", "tn", "fn")
+    return quality(one).select(
         F.lit(dataset).alias("dataset"), "total_events", "labeled_events", "warmup_events",
-        F.lit(threshold).alias("threshold"), "confusion", "precision", "recall", "f1", "accuracy",
-        "per_method", "threshold_sweep",
+        F.lit(threshold).alias("threshold"), F.struct("tp", "fp", "tn", "fn").alias("confusion"),
+        "precision", "recall", "f1", "accuracy",
+        F.map_from_entries(
+            F.transform("_m", lambda e: F.struct(e["method"].alias("key"), _quality_struct(e, scored).alias("value")))
+        ).alias("per_method"),
+        F.transform("_s", lambda e: _quality_struct(e, scored, e["threshold"].alias("threshold"))).alias(
+            "threshold_sweep"
+        ),
     )
 
 
+def _quality_struct(e: Column, names: tuple[str, ...], *lead: Column) -> Column:
+    tp, fp, fn = (e[c].cast("double") for c in ("tp", "fp", "fn"))
+    p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
+    value = {"precision": p, "recall": r, "f1": _ratio(2 * p * r, p + r)}
+    return F.struct(*lead, *[value.get(n, e[n]).alias(n) for n in names])
+
+
 def report_json(reports: DataFrame) -> DataFrame:
     return reports.select("dataset", F.to_json(F.struct(*reports.columns)).alias("report"))
 

@@ -148,7 +148,7 @@ def cumulative_histogram(
     names = [f"{b:g}" for b in CUMULATIVE_BOUNDS_S] + ["+Inf"]
     counts = [F.count_if(s <= b).alias(n) for b, n in zip(CUMULATIVE_BOUNDS_S, names)]
     wide = df.groupBy(*by).agg(*counts, F.count(value_ms).alias("+Inf"), F.sum(s).alias("sum"))
-    return wide.unpivot([*by, "sum"], names, "le", "count")
+    return wide.unpivot([*by, "sum"], [F.col(f"`{n}`") for n in names], "le", "count")
 
 
 def throughput(
