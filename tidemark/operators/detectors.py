@@ -128,6 +128,13 @@ class HalfSpaceTrees(Recurrence):
             self.forests[dims] = (feature, threshold)
         return self.forests[dims]
 
+    def scaled(self, x: np.ndarray, sensor_type: str) -> np.ndarray:
+        span = self.limits.get(sensor_type) if self.cfg.limits == "catalog" else None
+        if span is None:
+            return x
+        low, high = np.array(span).T
+        return (x - low) / np.maximum(high - low, 1e-12)
+
     def paths(self, x: np.ndarray) -> np.ndarray:
         """Nodes visited, shape (rows, height + 1, trees)."""
         cfg = self.cfg
@@ -159,13 +166,9 @@ class HalfSpaceTrees(Recurrence):
         out = np.empty(batch.num_rows)
         bounds = run_bounds(first)
         flat, offsets = vectors(batch.column("vector"), bounds)
-        kinds = batch.column("sensor_type").to_pylist() if self.limits and cfg.limits == "catalog" else None
+        kinds = batch.column("sensor_type").to_pylist()
         for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
-            x = flat[offsets[lo] : offsets[hi]].reshape(hi - lo, -1)
-            span = self.limits.get(kinds[lo]) if kinds else None
-            if span is not None:
-                low, high = np.array(span).T
-                x = (x - low) / np.maximum(high - low, 1e-12)
+            x = self.scaled(flat[offsets[lo] : offsets[hi]].reshape(hi - lo, -1), kinds[lo])
             if i == 0 and carry is not None:
                 reference, current, filled = carry
                 current = current.copy()
@@ -186,6 +189,31 @@ class HalfSpaceTrees(Recurrence):
         return [pa.array(out)], (reference, current, filled)
 
 
+class HalfSpaceSlots(HalfSpaceTrees):
+    """The same trees over groups of at most two windows: the rows of the window
+    before (role 0, sorted first) and the rows to score (role 1)."""
+
+    def run(self, batch, first, carry):
+        cfg = self.cfg
+        shape = (cfg.n_trees, 2 ** (cfg.height + 1))
+        out = np.full(batch.num_rows, np.nan)
+        bounds = run_bounds(first)
+        flat, offsets = vectors(batch.column("vector"), bounds)
+        role = batch.column("role").to_numpy(zero_copy_only=False)
+        kinds = batch.column("sensor_type").to_pylist()
+        for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+            mass, filled = carry if (i == 0 and carry is not None) else (np.zeros(shape, np.int32), 0)
+            path = self.paths(self.scaled(flat[offsets[lo] : offsets[hi]].reshape(hi - lo, -1), kinds[lo]))
+            split = int((role[lo:hi] == 0).sum())
+            if split:
+                mass = mass.copy()
+                np.add.at(mass, (np.arange(cfg.n_trees)[None, None, :], path[:split]), 1)
+                filled += split
+            raw = self.score(path[split:], mass) if filled == cfg.window else 0.0
+            out[lo + split : hi] = np.clip(raw + 0.5, 0.0, 1.0)
+        return [pa.array(out, mask=np.isnan(out))], (mass, filled)
+
+
 def vectors(column: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of an array<double> column, and the offset of each row plus the end.
 

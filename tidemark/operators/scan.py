@@ -289,18 +289,18 @@ class Spacing(Recurrence):
 
     def __init__(self, time: str, gap_us: int, *, strict: bool = False):
         self.time = time
-        self.need = max(gap_us + (1 if strict else 0), 1 if strict else 0)
+        self.need = gap_us + (1 if strict else 0)
         self.fields = [("kept", T.BooleanType()), ("prev_anchor", T.TimestampType())]
 
     def run(self, batch, first, carry):
         t = micros(batch.column(self.time))
         n = len(t)
-        kept = first.copy()
+        kept = first | (self.need == 0)
         # a row this far from the row before it is kept whatever was kept earlier
         kept[1:] |= np.diff(t) >= self.need
         bounds = run_bounds(kept)
         spans = t[bounds[1:] - 1] - t[bounds[:-1]]
-        long = spans >= self.need
+        long = (spans >= self.need) & (self.need > 0)  # without a gap to keep, every row is kept already
         open_head = not kept[0]
         if open_head:
             long[0] = t[bounds[1] - 1] - carry >= self.need

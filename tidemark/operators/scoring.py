@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT_CATALOG, METHODS, Autoencoder, Catalog, Detection, Drift, Ewma, HalfSpace, Rule
 from tidemark.functions.expr import clip01, fixed2
-from tidemark.operators.detectors import AdwinDrift, EwmaScore, FrozenModels, HalfSpaceTrees, OnlineAutoencoder
+from tidemark.operators.detectors import (
+    AdwinDrift,
+    EwmaScore,
+    FrozenModels,
+    HalfSpaceSlots,
+    HalfSpaceTrees,
+    OnlineAutoencoder,
+)
 from tidemark.operators.enrich import metric_vector
-from tidemark.operators.scan import ordered_scan
+from tidemark.operators.scan import has_hot_key, number_rows, ordered_scan
 
 DEVICE = ["tenant_id", "device_id"]
 SENSOR = ["tenant_id", "device_id", "sensor_type"]
@@ -65,10 +72,34 @@ def _trees(cfg: HalfSpace, catalog: Catalog) -> HalfSpaceTrees:
     return HalfSpaceTrees(cfg, limits)
 
 
-def hst_score(df: DataFrame, cfg: HalfSpace = HalfSpace(), catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """Adds isolation_forest."""
+def hst_score(
+    df: DataFrame,
+    cfg: HalfSpace = HalfSpace(),
+    catalog: Catalog = DEFAULT_CATALOG,
+    *,
+    mode: str = "auto",
+    range_partitions: int | None = None,
+) -> DataFrame:
+    """Adds isolation_forest.
+
+    A window is scored by the one before it alone, so a hot device can be cut:
+    in mode "range" rows get their position within the device, each row goes
+    to its own window and to the next as reference, and every group is at most
+    two windows of rows.
+    """
+    if mode == "auto":
+        mode = "range" if has_hot_key(df, SENSOR) else "hash"
     df = df.withColumn("vector", metric_vector(catalog))
-    return ordered_scan(df, SENSOR, ORDER, [_trees(cfg, catalog)]).drop("vector")
+    if mode == "hash":
+        return ordered_scan(df, SENSOR, ORDER, [_trees(cfg, catalog)], mode="hash").drop("vector")
+    placed = number_rows(df, [*SENSOR, *ORDER], "_row", partitions=range_partitions)
+    starts = placed.groupBy(*SENSOR).agg(F.min("_row").alias("_start"))
+    slot = F.floor((F.col("_row") - F.col("_start")) / cfg.window)
+    spread = F.array(*[F.struct((slot + 1 - r).alias("slot"), F.lit(r).alias("role")) for r in (0, 1)])
+    slotted = placed.join(starts, SENSOR).select(*placed.columns, F.inline(spread))
+    trees = HalfSpaceSlots(cfg, _trees(cfg, catalog).limits)
+    scored = ordered_scan(slotted, [*SENSOR, "slot"], ["role", "_row"], [trees], mode="hash")
+    return scored.filter("role = 1").drop("vector", "_row", "slot", "role")
 
 
 def autoencoder_score(
