@@ -185,7 +185,7 @@ def test_detect_flags_a_critical_rule(spark):
 
 def test_alert_gate_cooldown_and_payload(spark):
     rows = [{"methods": (1.0, 1.0, 0.5, 0.0), "seconds": s} for s in (0, 100, 300, 599, 600)]
-    found = sc.ensemble(scored(spark, [*rows, {"methods": (0, 0.5, 0, 0.6), "seconds": 900}]))
+    found = sc.ensemble(scored(spark, [*rows, {"methods": (0.0, 0.5, 0.0, 0.6), "seconds": 900}]))
     assert alert_candidates(found).count() == 5
     assert alert_candidates(found, "low").count() == 6
     assert alert_candidates(found, "high").count() == 0

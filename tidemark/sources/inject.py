@@ -27,6 +27,11 @@ def _changed(p: AnomalyPattern, d: MetricField, value: Column, drift: Column) ->
     return value
 
 
+def _apply(p: AnomalyPattern, d: MetricField) -> Column:
+    drift = F.col("_nth") * (p.slope or 0.0)
+    return F.transform_values("metrics", lambda k, v: F.when(k == p.field, _changed(p, d, v, drift)).otherwise(v))
+
+
 def inject_anomalies(
     df: DataFrame, catalog: Catalog = DEFAULT_CATALOG, rate: float = 0.02, seed: int = 42
 ) -> DataFrame:
@@ -57,13 +62,7 @@ def inject_anomalies(
     def metrics_of(t):
         out = F.col("metrics")
         for i, p in enumerate(t.anomaly_patterns):
-            d = t.fields[p.field]
-            offset = F.col("_nth") * (p.slope or 0.0)
-            changed = F.transform_values(
-                "metrics",
-                lambda k, v, p=p, d=d, offset=offset: F.when(k == p.field, _changed(p, d, v, offset)).otherwise(v),
-            )
-            out = F.when(F.col("_pick") == i, changed).otherwise(out)
+            out = F.when(F.col("_pick") == i, _apply(p, t.fields[p.field])).otherwise(out)
         return out
 
     hit = F.col("_pick").isNotNull()
