@@ -30,7 +30,7 @@ def test_events_are_stored_once(spark, tmp_path):
     plan = tables.read_table(spark, path, since="2024-01-02")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "date" in plan
     tables.compact(spark, path, str(tmp_path / "packed"), 1, "2024-01-03 12:00:00")
-    assert spark.read.parquet(str(tmp_path / "packed")).count() == 6
+    assert spark.read.parquet(str(tmp_path / "packed")).count() == 4
     assert tables.apply_retention(spark, path, 1, "2024-01-03 12:00:00") == ["2024-01-01"]
     assert spark.read.parquet(path).count() == 3
     assert tables.count_only(df) == 6
