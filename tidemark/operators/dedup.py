@@ -18,7 +18,7 @@ def dedup_key() -> Column:
     Tenant and sensor type are not part of it.
     """
     pairs = F.transform(
-        F.array_sort(F.map_entries("metrics")),
+        F.sort_array(F.map_entries("metrics")),
         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
     )
     text = F.concat_ws(
@@ -47,13 +47,17 @@ def duplicate_ids(df: DataFrame, window_seconds: float, *, mode: str = "auto", *
     return scanned.filter(~F.col("kept")).select("event_id")
 
 
-def mark_duplicates(df: DataFrame, window_seconds: float = 5.0, **scan) -> DataFrame:
+def mark_duplicates(
+    df: DataFrame, window_seconds: float = 5.0, *, deliveries: DataFrame | None = None, **scan
+) -> DataFrame:
     """Adds is_duplicate, and the duplicate mark to validation_errors when that column is there.
 
     event_id names one delivery. The ids of duplicates come back through a
     join on it: unique keys, so no skew, and a broadcast when they are few.
+    `deliveries` gives the same rows before costly columns were added, to find
+    the duplicates without them.
     """
-    ids = duplicate_ids(df, window_seconds, **scan).withColumn("is_duplicate", F.lit(True))
+    ids = duplicate_ids(df if deliveries is None else deliveries, window_seconds, **scan).withColumn("is_duplicate", F.lit(True))
     out = df.join(ids, "event_id", "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
     if "validation_errors" in df.columns:
         marked = F.array_append("validation_errors", F.lit(DUPLICATE_ERROR))

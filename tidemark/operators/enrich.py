@@ -91,7 +91,7 @@ def metric_vector(catalog: Catalog = DEFAULT_CATALOG) -> Column:
         catalog,
         lambda t: F.array(*[F.coalesce(F.try_element_at("metrics", F.lit(f)), F.lit(0.0)) for f in t.fields]),
     )
-    by_name = F.transform(F.array_sort(F.map_entries("metrics")), lambda e: e["value"])
+    by_name = F.transform(F.sort_array(F.map_entries("metrics")), lambda e: e["value"])
     return F.coalesce(vector, by_name)
 
 

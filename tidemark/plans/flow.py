@@ -27,7 +27,7 @@ class Results:
 
 def check(raw: DataFrame, cfg: Settings = Settings(), catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Validated, deduplicated and classified events; nothing is dropped yet."""
-    marked = mark_duplicates(validate(raw, catalog), cfg.dedup_window_seconds)
+    marked = mark_duplicates(validate(raw, catalog), cfg.dedup_window_seconds, deliveries=raw)
     return classify(marked, cfg.drop_invalid)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import half_up
+from tidemark.operators.scan import estimated_bytes
 from tidemark.session import prepare
 
 
@@ -14,8 +15,15 @@ def _pick(industrial, vehicle, network):
     return F.when(st == 0, industrial).when(st == 1, vehicle).otherwise(network)
 
 
+SMALL_BYTES = 64 << 20
+
+
 def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_sensor_events(prepare(spark).read.parquet(f"{sf_dir}/events.parquet"))
+    """A table too small to have a scan task per core is spread before the work; larger ones are read as they are."""
+    events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    if estimated_bytes(events) < SMALL_BYTES:
+        events = events.repartition(spark.sparkContext.defaultParallelism)
+    return as_sensor_events(events)
 
 
 def as_sensor_events(events: DataFrame) -> DataFrame:

@@ -29,7 +29,9 @@ def _flag(text: Column) -> Column:
 def _typed(df: DataFrame, value: str) -> DataFrame:
     schema = StructType([*WIRE_EVENT.fields, StructField(_BROKEN, StringType())])
     wire = F.from_json(F.col(value).cast("string"), schema, {"columnNameOfCorruptRecord": _BROKEN})
-    df = df.withColumn("_w", wire)
+    # a generator parses once per row: a filter on the result is not pushed
+    # below it, which would repeat the parsing for each use of a field
+    df = df.select("*", F.explode(F.array(wire)).alias("_w"))
     w = lambda name: F.col("_w")[name]
     sequence = _number(w("sequence"))
     bad_value = F.exists(F.map_values(w("metrics")), lambda v: _number(v).isNull())
@@ -55,7 +57,7 @@ def _typed(df: DataFrame, value: str) -> DataFrame:
         _flag(w("is_anomaly")).alias("is_anomaly"),
         w("anomaly_label").alias("anomaly_label"),
     )
-    return df.withColumn("reject_reason", reason).withColumn("_event", event).drop("_w")
+    return df.select("*", F.explode(F.array(reason)).alias("reject_reason")).withColumn("_event", event).drop("_w")
 
 
 def parse_events(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
