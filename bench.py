@@ -15,22 +15,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "src1_json_events",
     "v5_split_valid",
     "d1_dedup",
-    "e2_enriched_tags",
     "w1_anchored_tumbling",
     "w2_running_snapshots",
-    "w4_aligned_hopping",
     "a1_ewma",
-    "a2_half_space_trees",
-    "a3_autoencoder",
     "a9_detect",
-    "al2_cooldown",
     "q4_list_devices",
     "b8_latency_quantiles",
-    "m5_tenant_metrics",
-    "ev1_evaluate",
 ]
 
 
