@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.llm.piece_codec import op10_sentencepiece
 from tidemark.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {}
