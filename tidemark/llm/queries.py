@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import op6_decontaminate
+from tidemark.llm.language_id import op4_language_id
 from tidemark.llm.piece_codec import op10_sentencepiece
 from tidemark.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_language_id": op4_language_id,
+    "op6_decontaminate": op6_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

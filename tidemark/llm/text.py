@@ -149,7 +149,7 @@ def windows(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def window_hashes(hashes: np.ndarray, start: np.ndarray, size, seed: int = 0) -> np.ndarray:
     """Of hashes[start:start + size]; different seeds give independent hashes of the same items."""
     base = BASES[1 + seed % 2]
-    items = mix(hashes + np.uint64(seed * 2 + 1) * np.uint64(BASES[2])) if seed else hashes
+    items = mix(hashes + np.uint64((seed * 2 + 1) * BASES[2] % (1 << 64))) if seed else hashes
     sums = prefix(items, base)
     return mix(spans_hash(sums, start, start + size, base) + np.uint64(seed))
 
