@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import table
+from tidemark.llm.sampling import by_hash
 
 BLOCK, LEVEL = 4096, 6
 RESULT = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
@@ -31,11 +32,9 @@ def sample(docs: DataFrame, per_language: int, chars: int) -> dict[str, str]:
     The documents are those with the smallest hashes of doc_id, so that the sample is the same in any order of rows.
     Languages come in order of their number of documents.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    picked = docs.where("lang IS NOT NULL AND length(text) > 0").withColumn("rank", rank).where(F.col("rank") <= per_language)
-    count = {r.lang: r["count"] for r in docs.where("lang IS NOT NULL").groupBy("lang").count().collect()}
+    picked, count = by_hash(docs.where("length(text) > 0").select("doc_id", "lang", F.substring("text", 1, chars).alias("text")), "lang", per_language)
     out: dict[str, list[str]] = {}
-    for r in picked.select("lang", F.substring("text", 1, chars).alias("text"), "rank").orderBy("lang", "rank").collect():
+    for r in picked.select("lang", "text", "rank").orderBy("lang", "rank").collect():
         out.setdefault(r.lang, []).append(r.text)
     return {lang: "\n".join(out[lang]) for lang in sorted(out, key=lambda x: (-count[x], x))}
 
