@@ -81,7 +81,7 @@ def packed(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(pack, PACKED)
 
 
-ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
 
 
 def table(rows: list[tuple], schema: str) -> pa.Table:

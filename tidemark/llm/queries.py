@@ -5,12 +5,16 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import op6_decontaminate
 from tidemark.llm.language_id import op4_language_id
 from tidemark.llm.piece_codec import op10_sentencepiece
+from tidemark.llm.quality import op7_quality
 from tidemark.llm.substring_dedup import op1_substring_dedup
+from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_language_id": op4_language_id,
     "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
