@@ -7,6 +7,7 @@ from tidemark.llm.language_id import op4_language_id
 from tidemark.llm.piece_codec import op10_sentencepiece
 from tidemark.llm.quality import op7_quality
 from tidemark.llm.substring_dedup import op1_substring_dedup
+from tidemark.llm.suffix_dedup import op9_suffix_dedup
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
