@@ -153,8 +153,8 @@ def ranks_of(text: np.ndarray) -> list[tuple[int, np.ndarray]]:
     rank = np.unique(word, return_inverse=True)[1]
     out, h = [(8, rank)], 8
     while int(rank.max()) + 1 < n:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - h)] = rank[h:] + 1
+        nxt = np.full(n, n + 1)  # past the text, as in its padding, separators go on
+        nxt[: max(0, n - h)] = rank[h:]
         rank = np.unique(rank * np.int64(n + 2) + nxt, return_inverse=True)[1]
         h *= 2
         out.append((h, rank))
