@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op6_decontaminate
+from tidemark.llm.jaccard_join import op5_jaccard_join
 from tidemark.llm.language_id import op4_language_id
 from tidemark.llm.piece_codec import op10_sentencepiece
 from tidemark.llm.quality import op7_quality
@@ -13,6 +14,7 @@ from tidemark.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
