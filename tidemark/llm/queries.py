@@ -9,10 +9,14 @@ from tidemark.llm.piece_codec import op10_sentencepiece
 from tidemark.llm.quality import op7_quality
 from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.suffix_dedup import op9_suffix_dedup
+from tidemark.llm.token_rollup import OP3_SQL, op3_token_rollup
 from tidemark.llm.toxicity import op8_toxicity
+from tidemark.llm.vector_search import op2_vector_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_vector_search": op2_vector_search,
+    "op3_token_rollup": op3_token_rollup,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
@@ -22,4 +26,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_token_rollup": OP3_SQL}
