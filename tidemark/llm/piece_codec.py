@@ -27,6 +27,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 KEPT_SEGMENTS = 600_000
 PIECES = "doc_id long, n_tokens long, ids array<int>, starts array<long>, ends array<long>, decoded string"
+TOKENS = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 DIGESTS = "doc_id long, n_tokens long, n_bytes_spanned long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -215,17 +216,17 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model_path: str, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, outputs: str = PIECES) -> DataFrame:
     """Encode each whole text with begin and end ids and decode it again.
 
     docs: doc_id long, text string; other columns are not read. One row for each input row, also of repeated ids.
     Columns: doc_id, n_tokens, ids, starts, ends (byte spans of the text; begin and end ids have empty spans),
-    decoded. With `digests`, SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded UTF-8, and the
-    bytes covered by spans, in place of the arrays. A null text counts as empty: begin and end id alone.
+    decoded. With outputs=DIGESTS, SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded UTF-8, and the
+    bytes covered by spans, in place of the arrays; with outputs=TOKENS, the ids and whether they decode to the text. A null text counts as empty: begin and end id alone.
     The driver reads the model file, some hundred KB, and ships its bytes with the task.
     """
     model = read_model(model_path)
-    schema = DIGESTS if digests else PIECES
+    schema = outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -235,9 +236,13 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = False) ->
             ids_in = batch.column("doc_id")
             done, texts = 0, batch.column("text")
             for row in range(batch.num_rows):
-                ids, starts, ends, decoded = c.encode(texts[row].as_py() or "")
+                text = texts[row].as_py() or ""
+                ids, starts, ends, decoded = c.encode(text)
                 out["n_tokens"].append(len(ids))
-                if digests:
+                if schema == TOKENS:
+                    out["ids"].append(ids.astype(np.int32))
+                    out["round_trip"].append(decoded == text.encode())
+                elif schema == DIGESTS:
                     out["n_bytes_spanned"].append(int((ends - starts).sum()))
                     out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
@@ -246,7 +251,7 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = False) ->
                     out["starts"].append(starts)
                     out["ends"].append(ends)
                     out["decoded"].append(decoded.decode())
-                done += len(decoded) if not digests else 0
+                done += len(decoded) if schema != DIGESTS else 0
                 if done > 16 << 20:  # arrays of very long texts go on in parts
                     n = len(out["n_tokens"])
                     out["doc_id"] = ids_in.slice(row + 1 - n, n).to_pylist()
@@ -268,4 +273,4 @@ def public_model() -> str:
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_documents(docs, public_model(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes_spanned")
+    return encode_documents(docs, public_model(), DIGESTS).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes_spanned")

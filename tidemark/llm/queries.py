@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm.decontaminate import op6_decontaminate
 from tidemark.llm.jaccard_join import op5_jaccard_join
 from tidemark.llm.language_id import op4_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {"op3_token_rollup": OP3_SQL}

@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ END = 0xFF  # no byte of UTF-8
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 CONTEXTS = "part int, chunk int, anchors binary, sizes binary, copies binary, blob binary"
 ANSWER = "chunk int, shard int, row int, body binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept_text string, kept_sha256 string"
+RESULT = "doc_id long, text_hash long, copy int, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept_text string, kept_sha256 string"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -236,8 +237,9 @@ def dedup_spans(docs: DataFrame, length: int = 400, layout: tuple[int, int, int]
     """Remove each byte covered by a `length`-byte string that also starts anywhere else, in the same document or another.
 
     docs: doc_id long, text string; other columns are not read. One row for each input row with a doc_id: n_bytes,
-    n_removed, n_spans (maximal removed runs), their byte offsets (starts, ends), kept_text (the remaining bytes; a
-    character that lost some of its bytes is replaced by U+FFFD) and the SHA-256 of the remaining bytes. Null and
+    n_removed, n_spans (maximal removed runs), their byte offsets (starts, ends), kept_text (the remaining bytes, without
+    characters that lost some of theirs) and the SHA-256 of the remaining bytes; text_hash (xxhash64 of the text, null as
+    empty) and copy (0, 1, ... among rows of equal id and text) tell the rows of one id apart. Null and
     empty texts keep the empty text. A text shorter than `length` loses nothing. Repeated rows are copies of each other
     and lose all their windows. An empty table gives no rows.
     """
@@ -314,13 +316,16 @@ def dedup_spans(docs: DataFrame, length: int = 400, layout: tuple[int, int, int]
 
 
 def rebuilt(ids: np.ndarray, texts: Texts, gone: np.ndarray) -> list[tuple]:
-    rows, raw = [], texts.data.tobytes()
+    rows, raw, last, copy = [], texts.data.tobytes(), None, 0
     for d in range(len(ids)):
         a, b = int(texts.offsets[d]), int(texts.offsets[d + 1])
+        digest = xxhash.xxh64_intdigest(raw[a:b], seed=42)
+        copy = copy + 1 if last == (ids[d], digest) else 0
+        last = ids[d], digest
         lost = gone[a:b]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8)))
         kept = texts.data[a:b][~lost].tobytes() if len(edge) else raw[a:b]
-        rows.append((int(ids[d]), b - a, int(lost.sum()), len(edge) // 2, edge[::2], edge[1::2], kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest()))
+        rows.append((int(ids[d]), digest - (1 << 64) if digest >> 63 else digest, copy, b - a, int(lost.sum()), len(edge) // 2, edge[::2], edge[1::2], kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
     return rows
 
 

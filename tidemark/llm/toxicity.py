@@ -291,6 +291,23 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, SCORES)
 
 
+def reject(docs: DataFrame, tagger: Tagger, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below the threshold. Rows without doc_id are judged too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, j, part in lower(from_arrow(batch.column("text"))).slices(SLICE):
+                w, p = tagger.marginals(part)
+                owner = np.repeat(np.arange(j - i), w.counts())
+                expected = np.bincount(owner, weights=np.where(p < FLOOR, 0, p), minlength=j - i)
+                keep.append(tagger.score(expected) < threshold)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(spark, sf_dir: str) -> tuple[Tagger, Column]:
     """The tagger of the labelled rows outside the held-out fold, and that fold."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
