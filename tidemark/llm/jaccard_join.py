@@ -12,9 +12,10 @@ Then every pair that reaches the threshold shares a single or a pair (the
 argument of a prefix filter, with each loss taking away at most one).
 
 Documents that share an index entry form a bucket. A large bucket is not expanded
-into all pairs: in every round its members are verified against a few pivots,
-which grow fourfold each round, and pairs already in one component are left out,
-so only what is not connected is compared further. Sets are compared exactly.
+into all pairs: its members are verified against one pivot; then, in rounds, those
+outside the pivot's component against a share of the other components' members
+that grows fourfold each round, so only what is not connected is compared further.
+Sets are compared exactly.
 Equal sets are one vertex from the start.
 """
 
@@ -153,27 +154,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def candidates(index: DataFrame, buckets: DataFrame, component: DataFrame | None, share: float) -> DataFrame:
-    """Distinct pairs of a bucket's members with its pivots that size and component leave open.
+def can_reach(n, s, n_b, s_b):
+    """|x & y| >= NEED / (NEED + OF) * (|x| + |y|), where tokens seen once cannot be shared, and sizes are close."""
+    shared = F.least(s, s_b) * (NEED + OF) >= (n + n_b) * NEED
+    return shared & (F.least(n, n_b) * OF >= F.greatest(n, n_b) * NEED)
 
-    share 0: the one pivot of each bucket; else the members whose own hash lies below share / size of the bucket.
-    """
-    rows = index.join(buckets, "entry")
-    if share:
-        pivots = rows.where(F.col("u") * F.col("m") < share).select("entry", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("u").alias("u_b"))
-        rows = rows.join(pivots, "entry").where((F.col("u") > F.col("u_b")) | (F.col("u") * F.col("m") >= share) | ((F.col("u") == F.col("u_b")) & (F.col("doc_id") < F.col("b"))))
-    else:
-        p = F.col("pivot")
-        rows = rows.select("doc_id", "n", "s", p.doc_id.alias("b"), p.n.alias("n_b"), p.s.alias("s_b"))
-    # |x & y| >= NEED / (NEED + OF) * (|x| + |y|), and tokens seen once cannot be shared
-    open_ = (F.least("s", "s_b") * (NEED + OF) >= (F.col("n") + F.col("n_b")) * NEED) & (F.least("n", "n_b") * OF >= F.greatest("n", "n_b") * NEED)
-    pairs = rows.where(F.col("doc_id") != F.col("b")).where(open_)
-    pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-    if component is None:
-        return pairs
-    of = lambda side, name: component.select(F.col("id").alias(side), F.col("component").alias(name))
-    pairs = pairs.join(of("a", "c_a"), "a", "left").join(of("b", "c_b"), "b", "left")
-    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+
+
+def with_first(index: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Distinct pairs of every member of a bucket with the bucket's pivot."""
+    p = F.col("pivot")
+    rows = index.join(buckets, "entry").where(F.col("doc_id") != p.doc_id)
+    rows = rows.where(can_reach(F.col("n"), F.col("s"), p.n, p.s))
+    return ordered(rows.select("doc_id", p.doc_id.alias("b")))
+
+
+def with_more(members: DataFrame, buckets: DataFrame, share: float) -> DataFrame:
+    """Distinct pairs of members outside the pivot's component with members of other components whose own hash lies
+    below share / size of the bucket. Of two members in different components one is outside the pivot's."""
+    rows = members.join(buckets, "entry")
+    outside = rows.where(F.col("c") != F.col("main"))
+    others = rows.where(F.col("u") * F.col("m") < share).select("entry", *(F.col(x).alias(f"{y}") for x, y in (("doc_id", "b"), ("n", "n_b"), ("s", "s_b"), ("c", "c_b"))))
+    reach = can_reach(F.col("l.n"), F.col("l.s"), F.col("r.n_b"), F.col("r.s_b"))
+    met = outside.alias("l").join(others.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.c") != F.col("r.c_b")) & reach)
+    return ordered(met.select("l.doc_id", "r.b"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, layout: tuple[int, int] | None = None) -> DataFrame:
@@ -213,27 +220,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, layout: tuple[int,
 
 def links_of(index: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(verified links between representatives that span their components, components) or nothing if none links."""
-    pivot = F.min(F.struct("u", "doc_id", "n", "s")).alias("pivot")
-    buckets = index.groupBy("entry").agg(F.count("*").alias("m"), pivot).where("m > 1")
-    links, component, share, largest = None, None, 0.0, None
+    first = F.min(F.struct("u", "doc_id", "n", "s")).alias("pivot")
+    buckets = index.groupBy("entry").agg(F.count("*").alias("m"), first).where("m > 1")
+    found = checkpointed(verified(with_first(index, buckets), sets))
+    links, component, share = None, None, 0.0
     while True:
-        found = checkpointed(verified(candidates(index, buckets, component, share), sets))
         if found.take(1):
             links = found if links is None else links.unionByName(found)
             component = checkpointed(components(links))
-        # a bucket whose members are all connected needs no more pivots, nor does one whose members were all pivots
-        rows = index.join(buckets.where(F.col("m") > share).select("entry", "m"), "entry")
+        members = index.withColumn("c", F.col("doc_id"))
         if component is not None:
-            rows = rows.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-            rows = rows.withColumn("c", F.coalesce("component", "doc_id"))
-        else:
-            rows = rows.withColumn("c", F.col("doc_id"))
-        left = rows.groupBy("entry", "m").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        buckets = checkpointed(left.select("entry", "m"))
-        largest = buckets.agg(F.max("m")).first()[0]
-        if not largest:
+            members = index.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+        # a bucket whose members are all connected, or were all compared, is done
+        main = F.min(F.struct("u", "c"))["c"].alias("main")
+        left = members.groupBy("entry").agg(F.count("*").alias("m"), main, F.min("c").alias("low"), F.max("c").alias("high"))
+        buckets = checkpointed(left.where((F.col("low") < F.col("high")) & (F.col("m") > share)).select("entry", "m", "main"))
+        if not buckets.take(1):
             return links, component
         share = float(RARE) if share == 0.0 else share * 4
+        found = checkpointed(verified(with_more(members, buckets, share), sets))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
