@@ -32,9 +32,9 @@ from tidemark.llm import chunks as C
 from tidemark.llm.text import BASES, Texts, covered, mix, prefix, spans_hash, windows
 
 K, SAMPLE = 32, 16
-SLICE = 2 << 20
-PART_BYTES = 5 << 20
-BATCH = 3 << 19
+SLICE = 1 << 20
+PART_BYTES = 2 << 20
+BATCH = 1 << 20
 END = 0xFF  # no byte of UTF-8
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 CONTEXTS = "part int, chunk int, anchors binary, sizes binary, copies binary, blob binary"
@@ -127,9 +127,9 @@ def contexts(texts: Texts, length: int, where: np.ndarray, values: np.ndarray, e
 
 def distinct_contexts(texts: Texts, length: int, anchor: np.ndarray, first: np.ndarray, count: np.ndarray):
     """Equal contexts as one: (group of each context, a member of each group, size of each group); groups in order of anchor."""
-    sums = [prefix(texts.data.astype(np.uint64) + np.uint64(1), b) for b in BASES[:2]]
     end = first + count + length - 1
-    keys = np.stack([anchor, *(mix(spans_hash(s, first, end, b)) for s, b in zip(sums, BASES, strict=False)), count.astype(np.uint64)], 1)
+    bytes_ = [mix(spans_hash(prefix(texts.data.astype(np.uint64) + np.uint64(1), b), first, end, b)) for b in BASES[:2]]
+    keys = np.stack([anchor, *bytes_, count.astype(np.uint64)], 1)
     order = np.lexsort(keys.T[::-1])
     new = np.ones(len(order), bool)
     new[1:] = (keys[order][1:] != keys[order][:-1]).any(1)
@@ -139,44 +139,57 @@ def distinct_contexts(texts: Texts, length: int, anchor: np.ndarray, first: np.n
     return group, head, np.bincount(group, minlength=len(head))
 
 
-def ranks_of(text: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(h, rank of each position by its first h bytes) for h = 8, 16, ... until all ranks differ.
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The next 8 bytes from each position, past the text separators, as one big-endian number."""
+    padded = np.concatenate([text, np.full(8, END, np.uint8)])
+    out = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        out <<= np.uint64(8)
+        out |= padded[i : i + len(text)]
+    return out
+
+
+def dense_ranks(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    keys = keys[order]
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]), dtype=np.int32)
+    return rank
+
+
+def suffix_array(text: np.ndarray, next8: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes, by prefix doubling from 8 bytes on.
 
     The text must end with one separator that has no separator before it.
     """
     n = len(text)
     if n > 1 and (text[-1] != END or text[-2] == END):
         raise ValueError("a text ends with one separator")
-    padded = np.concatenate([text, np.full(8, END, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + n]
-    rank = np.unique(word, return_inverse=True)[1]
-    out, h = [(8, rank)], 8
+    rank, h = dense_ranks(next8), 8
     while int(rank.max()) + 1 < n:
-        nxt = np.full(n, n + 1)  # past the text, as in its padding, separators go on
-        nxt[: max(0, n - h)] = rank[h:]
-        rank = np.unique(rank * np.int64(n + 2) + nxt, return_inverse=True)[1]
+        key = rank * np.int64(n + 2)
+        key[: max(0, n - h)] += rank[h:]
+        key[max(0, n - h) :] += n + 1  # past the text, as in its padding, separators go on
+        rank = dense_ranks(key)
         h *= 2
-        out.append((h, rank))
-    return out
+    rows = np.empty(n, np.int64)
+    rows[rank] = np.arange(n)
+    return rows
 
 
-def match_lengths(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common bytes from positions a and b on."""
-    n, done = len(text), np.zeros(len(a), np.int64)
-    for h, rank in reversed(levels):
-        x, y = a + done, b + done
-        ok = (x + h <= n) & (y + h <= n)
-        ok[ok] = rank[x[ok]] == rank[y[ok]]
-        done[ok] += h
-    for _ in range(7):
-        x, y = a + done, b + done
-        ok = (x < n) & (y < n)
-        ok[ok] = text[x[ok]] == text[y[ok]]
-        done[ok] += 1
-        if not ok.any():
-            break
+def match_lengths(next8: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common bytes from positions a and b on, in steps of 8 bytes; different suffixes, so every comparison ends."""
+    n, done, open_ = len(next8), np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(open_):
+        x, y = a[open_] + done[open_], b[open_] + done[open_]
+        inside = (x < n) & (y < n)
+        differ = np.full(len(open_), NONE)
+        differ[inside] = next8[x[inside]] ^ next8[y[inside]]
+        same = np.zeros(len(open_), np.int64)
+        for k in range(1, 9):
+            same += differ < np.uint64(1 << (64 - 8 * k)) if k < 8 else differ == 0
+        done[open_] += same
+        open_ = open_[same == 8]
     return done
 
 
@@ -185,14 +198,13 @@ def repeats(text: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.zeros(n, bool)
-    levels = ranks_of(text)
-    rows = np.empty(n, np.int64)  # the suffix array
-    rows[levels[-1][1]] = np.arange(n)
+    next8 = words_at(text)
+    rows = suffix_array(text, next8)
     bwt = np.where(rows > 0, text[rows - 1], 256)  # nothing stands before the text: a symbol of its own
     heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))  # run heads; the rows before them are run ends
     found = np.zeros(n, bool)
     pairs = heads[1:]
-    sample = match_lengths(text, levels, rows[pairs], rows[pairs - 1])
+    sample = match_lengths(next8, rows[pairs], rows[pairs - 1])
     for at, value, first in ((rows[pairs], sample, rows[0]), (rows[pairs - 1], sample, rows[-1])):
         # streams the text: a position that is no sample matches one byte less than the position before it
         known = np.full(n, -1, np.int64)
