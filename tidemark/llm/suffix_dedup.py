@@ -99,8 +99,8 @@ def contexts(texts: Texts, length: int, where: np.ndarray, values: np.ndarray, e
         start, _ = windows(np.diff(part.offsets), length)
         once = np.zeros(n + 1, np.int64)
         lonely = at[estimate[a:b] < 2]
-        np.add.at(once, np.maximum(lonely - width + 1, 0), 1)
-        np.add.at(once, lonely + 1, -1)
+        once += np.bincount(np.maximum(lonely - width + 1, 0), minlength=n + 1)
+        once -= np.bincount(lonely + 1, minlength=n + 1)
         start = start[np.cumsum(once)[start] == 0]
         if not len(start):
             continue
@@ -257,7 +257,8 @@ def dedup_spans(docs: DataFrame, length: int = 400, layout: tuple[int, int, int]
     """
     if layout is None:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        layout = C.chunk_count(total), C.shard_count(total / SAMPLE), 1 << max(4, int(np.ceil(np.log2(max(1, total / PART_BYTES)))))
+        # a chunk's rolling sums take some 30 bytes for each of its own
+        layout = C.chunk_count(4 * total), C.shard_count(total / SAMPLE), 1 << max(4, int(np.ceil(np.log2(max(1, total / PART_BYTES)))))
     chunks, shards, parts = layout
     shift = np.uint64(64 - (parts.bit_length() - 1))
     packed = C.packed(docs, chunks)

@@ -156,7 +156,5 @@ def window_hashes(hashes: np.ndarray, start: np.ndarray, size, seed: int = 0) ->
 
 def covered(start: np.ndarray, size: int, total: int) -> np.ndarray:
     """Mask of the items covered by windows of `size` that begin at `start`."""
-    step = np.zeros(total + 1, np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, np.minimum(start + size, total), -1)
+    step = np.bincount(start, minlength=total + 1) - np.bincount(np.minimum(start + size, total), minlength=total + 1)
     return np.cumsum(step)[:total] > 0
