@@ -13,9 +13,10 @@ argument of a prefix filter, with each loss taking away at most one).
 
 Documents that share an index entry form a bucket. A large bucket is not expanded
 into all pairs: its members are verified against one pivot; then, in rounds, those
-outside the pivot's component against a share of the other components' members
+outside the bucket's largest component against a share of the other components' members
 that grows fourfold each round, so only what is not connected is compared further.
-Sets are compared exactly.
+Bitmaps of token parity bound how many tokens two sets
+share and rule out most of these pairs; what is left is compared exactly.
 Equal sets are one vertex from the start.
 """
 
@@ -37,7 +38,8 @@ SHINGLE, NEED, OF = 5, 75, 100
 RARE = 32
 SLICE = 2 << 20
 SETS = "doc_id long, chunk int, n int, k1 long, k2 long"
-INDEXED = "doc_id long, n int, s int, entries array<long>, body binary"
+INDEXED = "doc_id long, n int, s int, entries array<long>, body binary, bits array<long>"
+BITMAP = 16  # longs
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +105,12 @@ def pack_set(hashes: np.ndarray) -> bytes:
     return C.squeeze(np.diff(hashes >> np.uint64(16), prepend=np.uint64(0)))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each of 64 * BITMAP bits: where two differ, the sets differ in a token at least."""
+    on = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) % 2
+    return np.packbits(on.astype(np.uint8)).view(np.int64)
+
+
 def similar_sets(texts_packed: DataFrame, reps: DataFrame, shards: int, size: int) -> DataFrame:
     """INDEXED rows of the representatives that have index entries: entries, s tokens not estimated once, and the set."""
     told = reps.select("chunk", F.lit(0).alias("shard"), F.lit(C.ROWS).alias("row"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("body"))
@@ -130,7 +138,7 @@ def similar_sets(texts_packed: DataFrame, reps: DataFrame, shards: int, size: in
             a, b = first[d], first[d + 1]
             found = entries(h[a:b], e[a:b])
             if len(found):
-                rows.append((int(ids[d]), int(n[d]), int(n[d] - alone[d]), found.view(np.int64), pack_set(h[a:b])))
+                rows.append((int(ids[d]), int(n[d]), int(n[d] - alone[d]), found.view(np.int64), pack_set(h[a:b]), bitmap(h[a:b])))
         return C.table(rows, INDEXED)
 
     replies = C.merged(C.with_replies(texts_packed, told, sketch, C.SENT))
@@ -172,13 +180,16 @@ def with_first(index: DataFrame, buckets: DataFrame) -> DataFrame:
     return ordered(rows.select("doc_id", p.doc_id.alias("b")))
 
 
-def with_more(members: DataFrame, buckets: DataFrame, share: float) -> DataFrame:
-    """Distinct pairs of members outside the pivot's component with members of other components whose own hash lies
-    below share / size of the bucket. Of two members in different components one is outside the pivot's."""
-    rows = members.join(buckets, "entry")
+def with_more(members: DataFrame, buckets: DataFrame, bits: DataFrame, share: float) -> DataFrame:
+    """Distinct pairs of members outside the bucket's largest component with members of other components whose own hash
+    lies below share / size of the bucket. Of two members in different components one is outside the largest."""
+    rows = members.join(buckets, "entry").join(bits, "doc_id")
     outside = rows.where(F.col("c") != F.col("main"))
-    others = rows.where(F.col("u") * F.col("m") < share).select("entry", *(F.col(x).alias(f"{y}") for x, y in (("doc_id", "b"), ("n", "n_b"), ("s", "s_b"), ("c", "c_b"))))
+    others = rows.where(F.col("u") * F.col("m") < share).select("entry", *(F.col(x).alias(f"{y}") for x, y in (("doc_id", "b"), ("n", "n_b"), ("s", "s_b"), ("c", "c_b"), ("bits", "bits_b"))))
     reach = can_reach(F.col("l.n"), F.col("l.s"), F.col("r.n_b"), F.col("r.s_b"))
+    # tokens in one set only are at least the bits that differ, and at most (OF - NEED) / (OF + NEED) of all
+    apart = sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits_b")[i])) for i in range(BITMAP)), F.lit(0))
+    reach &= apart * (OF + NEED) <= (F.col("l.n") + F.col("r.n_b")) * (OF - NEED)
     met = outside.alias("l").join(others.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.c") != F.col("r.c_b")) & reach)
     return ordered(met.select("l.doc_id", "r.b"))
 
@@ -209,7 +220,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, layout: tuple[int,
     indexed = spark.read.parquet(path)
     u = (F.xxhash64("doc_id").bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("u")
     index = indexed.select("doc_id", "n", "s", u, F.explode("entries").alias("entry"))
-    links, component = links_of(index, indexed.select("doc_id", "body"))
+    links, component = links_of(index, indexed)
     table = sets.join(classes, ["k1", "k2"], "left")
     rep = F.coalesce("rep.doc_id", "doc_id")
     table = table.select("doc_id", F.col("n").cast("long").alias("n_shingles"), rep.alias("id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
@@ -218,8 +229,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, layout: tuple[int,
     return table.join(component, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"), "n_class")
 
 
-def links_of(index: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def links_of(index: DataFrame, indexed: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(verified links between representatives that span their components, components) or nothing if none links."""
+    sets, bits = indexed.select("doc_id", "body"), indexed.select("doc_id", "bits")
     first = F.min(F.struct("u", "doc_id", "n", "s")).alias("pivot")
     buckets = index.groupBy("entry").agg(F.count("*").alias("m"), first).where("m > 1")
     found = checkpointed(verified(with_first(index, buckets), sets))
@@ -232,13 +244,13 @@ def links_of(index: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataF
         if component is not None:
             members = index.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
         # a bucket whose members are all connected, or were all compared, is done
-        main = F.min(F.struct("u", "c"))["c"].alias("main")
-        left = members.groupBy("entry").agg(F.count("*").alias("m"), main, F.min("c").alias("low"), F.max("c").alias("high"))
-        buckets = checkpointed(left.where((F.col("low") < F.col("high")) & (F.col("m") > share)).select("entry", "m", "main"))
+        shares = members.groupBy("entry", "c").agg(F.count("*").alias("k"))
+        left = shares.groupBy("entry").agg(F.sum("k").alias("m"), F.count("*").alias("parts"), F.max(F.struct("k", "c"))["c"].alias("main"))
+        buckets = checkpointed(left.where((F.col("parts") > 1) & (F.col("m") > share)).select("entry", "m", "main"))
         if not buckets.take(1):
             return links, component
         share = float(RARE) if share == 0.0 else share * 4
-        found = checkpointed(verified(with_more(members, buckets, share), sets))
+        found = checkpointed(verified(with_more(members, buckets, bits, share), sets))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
