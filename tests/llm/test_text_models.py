@@ -180,6 +180,18 @@ def test_toxic_spans_and_odd_texts(spark, docs, no_docs, tagger):
     assert {r.score for r in toxicity.tag(one, empty).collect()} == {0.5}
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample_bound(spark):
+    # one toxic document in ten; the bound of 200 a class takes all toxic documents and a ninth of the others
+    rows = [(i, sentence(i, 12) + (" vile scum" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    ask = spark.createDataFrame([(1, ""), (2, sentence(500, 30)), (3, "vile scum " + sentence(501, 30))], "doc_id long, text string")
+    odds = []
+    for per_class in (4000, 200):
+        tagger = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), per_class=per_class, fold=50)
+        odds.append([np.log(r.score / (1 - r.score)) for r in toxicity.tag(ask, tagger).orderBy("doc_id").collect()])
+    assert np.abs(np.subtract(*odds)).max() < 0.7, odds  # a share of one half instead of a tenth adds 2.2
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

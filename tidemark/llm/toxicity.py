@@ -186,10 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, lexicon: int
 
     labels: doc_id, toxic (0 or 1); nulls are left out. Gram counts come from the whole sample in one aggregation,
     of which the `lexicon` grams with the largest log odds return to the driver; the field is
-    trained on `fold` documents of each class, or on half of fewer, and the logistic on as many others. Without labels of both classes all scores are the share of label 1.
+    trained on `fold` documents of each class, or on half of fewer, and the logistic on as many others. The share of label 1
+    is of all labels, not of the sample. Without labels of both classes all scores are that share.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few, _ = by_hash(known, "toxic", per_class)
+    few, of_all = by_hash(known, "toxic", per_class)
+    labelled = of_all.get(0, 0) + of_all.get(1, 0)
+    share = of_all.get(1, 0) / labelled if labelled else 0.5
     some = F.broadcast(few)  # at most 2 * per_class ids: a proven bound
     sample = docs.select("doc_id", F.col("text").cast("string")).join(some, "doc_id")
 
@@ -207,7 +210,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, lexicon: int
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
-        share = n1 / (n0 + n1) if n0 + n1 else 0.5
         odds = np.log((share + 1e-9) / (1 - share + 1e-9))
         return Tagger(Evidence(np.zeros(0, np.uint64), np.zeros(0)), Chain(np.zeros(N_FEATURES), np.zeros((2, 2))), float(odds), 0.0)
     n, rest = F.sum("toxic"), F.count("*") - F.sum("toxic")
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, lexicon: int
     keys, values = np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([r.odds for r in rows])
     order = np.argsort(keys)
     evidence = Evidence(keys[order], values[order])
-    return finish(evidence, sample.where(F.col("rank") <= 2 * fold), n1 / (n0 + n1))
+    return finish(evidence, sample.where(F.col("rank") <= 2 * fold), share)
 
 
 def finish(evidence: Evidence, sample: DataFrame, share: float, size: int = 64) -> Tagger:
