@@ -84,6 +84,21 @@ def test_latency_numbers(spark):
     assert up_to["0.01"] == 10 and up_to["0.1"] == 100 and up_to["+Inf"] == 100
 
 
+def test_latency_of_all_samples(spark):
+    # 12 000 samples of one group, the oldest the slowest; and odd values in small groups
+    rows = [("a", float(12_000 - i), i, str(i)) for i in range(12_000)]
+    odd = {"b": [-3.5, 0.0, -0.0, 1e300, -1e-300, 2.0, float("inf")], None: [7.0], "c": [5.0 + i * 1e-9 for i in range(40)]}
+    rows += [(g, v, i, str(i)) for g, vs in odd.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, ms double, ingested_at int, event_id string")
+    got = {r["g"]: r for r in me.latency_stats(df, "ms", (0, 50, 95, 99, 100), ["g"]).collect()}
+    a = got["a"]
+    assert (a["samples"], a["mean"], a["p50"], a["p95"], a["p99"]) == (12_000, 6000.5, 6001, 11401, 11881)
+    for g, vs in odd.items():
+        want = [sorted(vs)[min(int(len(vs) * p / 100), len(vs) - 1)] for p in (0, 50, 95, 99, 100)]
+        assert [got[g][f"p{p}"] for p in (0, 50, 95, 99, 100)] == want, g
+    assert me.latency_stats(df, "ms", (50,), ["g"], last=100).filter("g = 'a'").first()["samples"] == 100
+
+
 def test_throughput(spark):
     rate = lambda times: me.throughput(events(spark, [{"seconds": t, "metrics": GOOD} for t in times]), 5.0).first()[0]
     assert rate([0, 10, 12, 14]) == pytest.approx(3 / 4)

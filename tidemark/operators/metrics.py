@@ -45,10 +45,10 @@ def latency_stats(
     percentiles: tuple[float, ...] = (50, 95, 99),
     by: list[str] | None = None,
     *,
-    last: int | None = 10_000,
+    last: int | None = None,
     order: tuple[str, ...] = ("ingested_at", "event_id"),
 ) -> DataFrame:
-    """Mean and nearest-rank percentiles, sorted[min(int(n * p / 100), n - 1)], of the last samples."""
+    """Mean and nearest-rank percentiles, sorted[min(int(n * p / 100), n - 1)], of all samples or of the last ones."""
     by = by or []
     if last is not None:
         sample = newest(df.select(*by, value, *order).dropna(subset=[value]), by, last, list(order))
@@ -75,15 +75,42 @@ def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
+def _bin(v: Column) -> Column:
+    """A bin of a number that never falls as the number grows: 256 to each power of two, so under 2**20 in all."""
+    v = v.cast("double")
+    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(1025.0)) + 1100) * 256).cast("bigint")
+    return F.when(F.isnan(v), F.lit(1 << 20)).when(v == 0, F.lit(0)).when(v < 0, -size).otherwise(size).cast("bigint")
+
+
 def nearest_rank(df: DataFrame, value: str, percentiles: tuple[float, ...], by: list[str]) -> DataFrame:
-    ranked = _ranked(df, value, by)
-    picks = []
-    for p in percentiles:
-        rank = F.least(F.floor(F.col("n") * float(p) / 100.0), F.col("n") - 1)
-        hit = (F.col("lo") <= rank) & (rank < F.col("hi"))
-        picks.append(F.max(F.when(hit, F.col("v"))).alias(f"p{p:g}"))
-    mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")
-    return ranked.groupBy(*by).agg(F.sum("c").alias("samples"), mean.alias("mean"), *picks)
+    """Exact: a histogram per group finds the bins that hold the ranks, then only values in those bins are ordered."""
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).alias("v"))
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("_bin", _bin(F.col("v")))
+    )
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    bins = counts.groupBy(*by, "_bin").agg(F.sum("c").alias("_c"), F.sum(F.col("v") * F.col("c")).alias("_sum"))
+    up_to = group.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    bins = (
+        bins.withColumn("_before", F.sum("_c").over(up_to) - F.col("_c"))
+        .withColumn("n", F.sum("_c").over(group))
+        .withColumn("_sum", F.sum("_sum").over(group))
+    )
+    ranks = [F.least(F.floor(F.col("n") * float(p) / 100.0), F.col("n") - 1) for p in percentiles]
+    inside = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")) for r in ranks]
+    hits = bins.filter(F.exists(F.array(*inside), lambda x: x))
+    hits = hits.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bin").alias("_at"), "_before", "n", "_sum")
+    same = F.col("_bin") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    within = W.partitionBy(*by, "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counts.join(hits, same).withColumn("hi", F.col("_before") + F.sum("c").over(within))
+    lo = F.col("hi") - F.col("c")
+    picks = [F.max(F.when((lo <= r) & (r < F.col("hi")), F.col("v"))).alias(f"p{p:g}") for p, r in zip(percentiles, ranks)]
+    mean = F.max("_sum") / F.max("n")
+    return ranked.groupBy(*by).agg(F.max("n").alias("samples"), mean.alias("mean"), *picks)
 
 
 def interpolated(df: DataFrame, value: str, fraction: float, by: list[str], name: str) -> DataFrame:
@@ -176,12 +203,17 @@ def throughput(
 
 
 def tenant_metrics(
-    classified: DataFrame, anomalies: DataFrame, *, throughput_seconds: float = 5.0, buckets: tuple[float, ...] = ()
+    classified: DataFrame,
+    anomalies: DataFrame,
+    *,
+    throughput_seconds: float = 5.0,
+    buckets: tuple[float, ...] = (),
+    last: int | None = None,
 ) -> DataFrame:
-    """One row per tenant: counters, ingest latency of valid events, throughput (and a histogram map)."""
+    """One row per tenant: counters, ingest latency of valid events (all, or the last ones), throughput (and a histogram map)."""
     by = ["tenant_id"]
     valid = classified.filter("is_valid")
-    latency = latency_stats(valid, percentiles=(95, 99), by=by).select(
+    latency = latency_stats(valid, percentiles=(95, 99), by=by, last=last).select(
         "tenant_id",
         F.col("mean").alias("avg_ingest_latency_ms"),
         F.col("p95").alias("p95_ingest_latency_ms"),
