@@ -38,6 +38,26 @@ def test_search_of_odd_vectors(spark):
     assert vector_search.search(none, none, vector_search.build(vector_search.usable(none), 1.0)).count() == 0
 
 
+def test_search_finds_k_for_outliers_and_beside_a_hot_vector(spark):
+    r = random.Random(5)
+    rows = [(i, [10 * (i % 12) + r.gauss(0, 0.1), r.gauss(0, 0.1), 1.0]) for i in range(600)]
+    rows += [(600 + i, [5.0, 5.0, 5.0]) for i in range(300)]  # a third is one vector
+    rows += [(900 + i, [1000.0 * (i + 1), -2000.0 * i, 1.0]) for i in range(5)]  # each alone in its list
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    index = vector_search.build(vector_search.usable(df), 0.1, lists=60)
+    centroids = {tuple(c.round(9)) for c in index.centroids}
+    assert len(centroids) == len(index.centroids)
+    index.probes = 1  # as a table of tight clusters gives
+    asked = [0, 7, 600, *range(900, 905)]
+    got = vector_search.search(df, df.where(df.vec_id.isin(asked)), index).collect()
+    at = dict(rows)
+    for q in asked:
+        mine = sorted((x.rank, x.vec_id) for x in got if x.query_id == q)
+        assert [k for k, _ in mine] == list(range(1, 11)), q
+        if q >= 900:
+            assert [v for _, v in mine] == [i for _, i in sorted((math.dist(at[q], v), i) for i, v in rows if i != q)[:10]]
+
+
 def test_rollup_adds_signed_batches_once(spark):
     cols = "kind string, source string, lang string, tokenizer string, n_tokens long, was_tokens long, n_docs int"
     rollup = token_rollup.Rollup(spark, scratch(spark, "rollup-test"))

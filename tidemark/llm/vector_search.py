@@ -49,7 +49,8 @@ def build(vectors: DataFrame, share_of_queries: float, sample: int = 20_000, lis
     """Centroids by k-means over at most about `sample` rows (those with the smallest hashes of vec_id); None if empty.
 
     lists defaults to the square root of the number of rows, at most 4096. The number of lists to probe is the smallest
-    with which at least `target` of the 10 nearest within the sample are found, for 256 rows of it.
+    with which at least `target` of the 10 nearest others within the sample are found, for 256 rows of it. Centroids and
+    probes come from the distinct vectors of the sample, so that copies neither repeat a centroid nor fill the lists probed.
     """
     sizes = {r.d: r["count"] for r in vectors.groupBy(F.size("embedding").alias("d")).count().collect()}
     if not sizes:
@@ -61,6 +62,7 @@ def build(vectors: DataFrame, share_of_queries: float, sample: int = 20_000, lis
     x = np.array([r.embedding for r in rows], float).reshape(len(rows), dims)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
+    x, copy_of = np.unique(x, axis=0, return_inverse=True)
     lists = max(1, min(4096, lists or int(n**0.5), len(x)))
     centroids = x[rng.choice(len(x), lists, replace=False)] if len(x) else np.zeros((1, dims))
     owner = np.zeros(len(x), int)
@@ -69,22 +71,29 @@ def build(vectors: DataFrame, share_of_queries: float, sample: int = 20_000, lis
         for c in range(len(centroids)):
             if (mine := owner == c).any():
                 centroids[c] = x[mine].mean(0)
+    owner = nearest(x, centroids, 1)[:, 0]
+    if len(x):  # lists without rows go
+        used, owner = np.unique(owner, return_inverse=True)
+        centroids = centroids[used]
     probes = probes_for(x, owner, centroids, target)
-    part = np.bincount(owner, minlength=len(centroids)) / max(1, len(x))
+    part = np.bincount(owner[copy_of.ravel()], minlength=len(centroids)) / max(1, len(rows))
     blocks = np.maximum(1, np.ceil(n * part / ROWS_PER_BLOCK)).astype(int)
     asked = n * share_of_queries * np.minimum(1, part * probes)
     return Index(rotation, centroids @ rotation, blocks, np.maximum(1, np.ceil(asked / QUERIES_PER_BLOCK)).astype(int), probes)
 
 
 def probes_for(x: np.ndarray, owner: np.ndarray, centroids: np.ndarray, target: float, k: int = 10) -> int:
-    """Lists to probe, nearest first, so that `target` of the k nearest other rows are in them."""
-    some = x[:: max(1, len(x) // 256)]
+    """Lists to probe, nearest first, so that `target` of the k nearest other rows are in them. x: distinct rows."""
+    step = max(1, len(x) // 256)
+    some = x[::step]
     if len(x) <= 20 * k:
         return len(centroids)
     place = np.argsort(nearest(some, centroids, len(centroids)), 1)  # of each list among a row's nearest
     found = []
     for i, q in enumerate(some):
-        near = np.argpartition(((x - q) ** 2).sum(1), k)[: k + 1]
+        far = ((x - q) ** 2).sum(1)
+        far[i * step] = np.inf  # the row itself
+        near = np.argpartition(far, k)[:k]
         found.append(place[i, owner[near]])
     found = np.sort(np.concatenate(found))
     return int(found[min(len(found) - 1, int(np.ceil(target * len(found))))]) + 1
@@ -98,15 +107,16 @@ def nearest(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def placed(vectors: DataFrame, index: Index, queries: bool) -> DataFrame:
+def placed(vectors: DataFrame, index: Index, queries: bool, probes: int | None = None) -> DataFrame:
     """Rows of PLACED: a vector in its list, in one block of rows and every block of queries, or a query the other way round."""
+    probes = probes or index.probes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dims = len(index.rotation)
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             x = np.array(batch.column("embedding").to_pylist(), float).reshape(len(ids), dims)
-            lists = nearest(x @ index.rotation, index.centroids, index.probes if queries else 1)
+            lists = nearest(x @ index.rotation, index.centroids, probes if queries else 1)
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             rows: dict[str, list] = {f.split()[0]: [] for f in PLACED.split(", ")}
             for i, own in enumerate(lists):
@@ -158,7 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, k: int =
     zero, or holds null or non-finite components take no part, nor do those of another length than most. Equal
     distances are ordered by vec_id; a repeated vec_id counts as one candidate. An empty table gives no rows.
     epsilon: how many standard deviations a partial distance must exceed the bound by before a candidate is given up.
-    A list is scanned in blocks of bounded size, so a list with most of the rows is many tasks.
+    A list is scanned in blocks of bounded size, so a list with most of the rows is many tasks. Queries for which the
+    probed lists give fewer than k are searched again in all lists.
     """
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -181,8 +192,18 @@ def search(vectors: DataFrame, queries: DataFrame, index: Index | None, k: int =
         return columns(out, FOUND)
 
     at = ("list", "block", "query_block")
-    rows = placed(usable(vectors), index, False).groupBy(*at)
-    found = rows.cogroup(placed(usable(queries), index, True).groupBy(*at)).applyInArrow(meet, FOUND)
+
+    def met(rows: DataFrame, asked: DataFrame, probes: int) -> DataFrame:
+        left = placed(rows, index, False).groupBy(*at)
+        return left.cogroup(placed(asked, index, True, probes).groupBy(*at)).applyInArrow(meet, FOUND).distinct()
+
+    rows, asked, lists = usable(vectors), usable(queries), len(index.centroids)
+    found = met(rows, asked, index.probes)
+    if index.probes < lists:
+        enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
+        short = asked.join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        some = short.agg(F.count("*").alias("_short")).where("_short > 0")  # no row: the vectors are not dealt again
+        found = found.union(met(rows.join(F.broadcast(some)).drop("_short"), short, lists))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
