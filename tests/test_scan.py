@@ -1,4 +1,4 @@
-"""Ordered passes against plain loops, by key and by range."""
+"""Ordered passes against plain loops, whole and cut into blocks of time."""
 
 import random
 
@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from tidemark.config import Ewma, HalfSpace
 from tidemark.operators.dedup import dedup, duplicate_ids
 from tidemark.operators.detectors import HalfSpaceTrees
-from tidemark.operators.scan import Spacing, has_hot_key, number_rows, ordered_scan
+from tidemark.operators.scan import number_rows
+from tidemark.operators.spacing import Spacing
+from tidemark.operators.split_scan import numbered, split_scan
 from tidemark.operators.scoring import ewma_score, hst_score
+from tidemark.operators.windows import arrival_snapshots, running_snapshots
 from tests.events import by_id, events
 
-MODES = [{"mode": "hash"}, {"mode": "range", "range_partitions": 7}]
+# one block, a few, and one for nearly every row
+MODES = [{}, {"block_seconds": 60.0}, {"block_seconds": 2.0}]
 
 
 def hot_rows(n=150, seed=3):
@@ -44,7 +48,7 @@ def test_spacing_equals_the_loop(spark, options, strict, gap):
     rows = hot_rows()
     df = events(spark, rows).select("device_id", "timestamp", "event_id")
     spacing = Spacing("timestamp", gap * 1_000_000, strict=strict)
-    got = by_id(ordered_scan(df, ["device_id"], ["timestamp", "event_id"], [spacing], **options), "kept")
+    got = by_id(split_scan(df, ["device_id"], ["timestamp", "event_id"], spacing, **options), "kept")
     for device in ("hot", "a", "b"):
         mine = [(r["seconds"], f"e{i:05d}") for i, r in enumerate(rows) if r["device_id"] == device]
         want = greedy([t for t, _ in mine], gap, strict)
@@ -54,7 +58,7 @@ def test_spacing_equals_the_loop(spark, options, strict, gap):
 @pytest.mark.parametrize("options", MODES)
 def test_previous_anchor_is_the_last_kept_time(spark, options):
     df = events(spark, hot_rows()).select("device_id", "timestamp", "event_id")
-    out = ordered_scan(df, ["device_id"], ["timestamp", "event_id"], [Spacing("timestamp", 3_000_000)], **options)
+    out = split_scan(df, ["device_id"], ["timestamp", "event_id"], Spacing("timestamp", 3_000_000), **options)
     for device in ("hot", "a", "b"):
         anchor = None
         for r in out.filter(F.col("device_id") == device).orderBy("timestamp", "event_id").collect():
@@ -161,13 +165,46 @@ def test_number_rows(spark):
     assert got == {v: v for v in range(100)}
 
 
-def test_hot_key_check(spark, tmp_path):
-    rows = spark.range(20_000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k")
-    )
-    even = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
-    assert has_hot_key(rows, ["k"], hot_rows=1000)
-    assert not has_hot_key(even, ["k"], hot_rows=1000)
+def test_numbers_within_keys(spark):
+    df = events(spark, hot_rows()).select("device_id", "timestamp", "event_id")
+    for block in (2.0, 60.0, 86400.0):
+        got = numbered(df, ["device_id"], ["timestamp", "event_id"], "n", block_seconds=block)
+        for device in ("hot", "a", "b"):
+            rows = got.filter(F.col("device_id") == device).orderBy("timestamp", "event_id").collect()
+            assert [r["n"] for r in rows] == list(range(len(rows)))
+
+
+def job_count(spark, group, work):
+    """Jobs that `work` starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    work()
+    jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setJobGroup("other", "other")
+    return jobs
+
+
+def test_building_a_plan_starts_no_job_and_cuts_cost_none(spark, tmp_path):
+    rows = [{"seconds": 7.0 * i, "device_id": "hot", "metrics": {"temperature": 60.0 + i % 9}} for i in range(400)]
+    path = str(tmp_path / "hot")
+    events(spark, rows).write.parquet(path)
+    df = spark.read.parquet(path)
+    plans = {
+        "spacing": lambda block: split_scan(df.select("device_id", "timestamp", "event_id"), ["device_id"], ["timestamp", "event_id"], Spacing("timestamp", 30_000_000), block_seconds=block),
+        "ewma": lambda block: ewma_score(df, Ewma(min_samples=5), block_seconds=block),
+        "trees": lambda block: hst_score(df, HalfSpace(window=16), block_seconds=block),
+        "snapshots": lambda block: running_snapshots(df, 600, 60, block_seconds=block),
+        "arrivals": lambda block: arrival_snapshots(df, 600, 60, block_seconds=block),
+        "dedup": lambda block: duplicate_ids(df, 5.0, block_seconds=block),
+    }
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive execution runs a stage as a job
+    try:
+        for name, plan in plans.items():
+            assert job_count(spark, f"build-{name}", lambda plan=plan: plan(700.0).schema) == 0, name
+            few, many = (job_count(spark, f"{name}-{block}", lambda plan=plan, block=block: plan(block).collect()) for block in (700.0, 70.0))  # 4 and 40 blocks
+            assert few == many, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_partitioning_does_not_matter(spark):

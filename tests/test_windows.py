@@ -70,7 +70,7 @@ def test_tumbling_equals_the_simulation(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-9)
 
 
-@pytest.mark.parametrize("options", [{"mode": "hash"}, {"mode": "range", "range_partitions": 5}])
+@pytest.mark.parametrize("options", [{}, {"block_seconds": 40.0}, {"block_seconds": 3.0}])
 def test_snapshots_equal_the_simulation(spark, options):
     rows = sample()
     _, snapshots = simulate(rows, 10, 2, lambda i: (rows[i]["seconds"], i))
@@ -88,7 +88,7 @@ def test_aggregates_of_five_values(spark):
     assert row_stats(r) == pytest.approx((5, 62, 60, 64, 2**0.5, 0, 4))
 
 
-@pytest.mark.parametrize("mode", [{}, {"mode": "range", "range_partitions": 4}])
+@pytest.mark.parametrize("mode", [{}, {"block_seconds": 30.0}, {"block_seconds": 3.0}])
 def test_arrival_order_and_late_events(spark, mode):
     rng = random.Random(4)
     rows = [{"seconds": i * 1.5, "device_id": rng.choice("ab"), "metrics": {"temperature": float(i)}} for i in range(60)]
@@ -104,6 +104,21 @@ def test_arrival_order_and_late_events(spark, mode):
     assert placed.filter("is_late").count() > 0
 
 
+@pytest.mark.parametrize("options", [{}, {"block_seconds": 30.0}, {"block_seconds": 3.0}])
+def test_snapshots_in_order_of_arrival(spark, options):
+    rng = random.Random(8)
+    rows = sample()
+    for r in rows:
+        r["ingested"] = r["seconds"] + rng.choice([0, 0, 0, 9, 30])
+    _, snapshots = simulate(rows, 10, 2, lambda i: (rows[i]["ingested"], i))
+    want = {(d, t, f): s for d, t, buffer in snapshots for f, s in stats_of(buffer).items()}
+    out = wi.arrival_snapshots(events(spark, rows), 10, 2, **options).collect()
+    got = {(r["device_id"], seconds(r["emitted_at"]), r["field"]): row_stats(r) for r in out}
+    assert len(got) == len(out) and set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
 def test_hopping_counts_each_event_once_per_overlap(spark):
     df = events(spark, sample())
     hop = wi.window_stats_aligned(df, "10 seconds", "5 seconds").groupBy("field").sum("count").collect()

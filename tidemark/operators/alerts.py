@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Alerting
 from tidemark.functions.expr import fixed2, literal_map, seconds_to_us
-from tidemark.operators.scan import Spacing, ordered_scan
+from tidemark.operators.spacing import Spacing
+from tidemark.operators.split_scan import split_scan
 
 # Severities from mild to severe, and their colours.
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -22,12 +23,10 @@ def alert_candidates(anomalies: DataFrame, min_severity: str = "medium") -> Data
     return anomalies.filter(severity_rank(F.col("severity")) >= SEVERITIES.index(min_severity))
 
 
-def cooldown(candidates: DataFrame, seconds: float = 60.0, *, mode: str = "auto", **scan) -> DataFrame:
+def cooldown(candidates: DataFrame, seconds: float = 60.0, **scan) -> DataFrame:
     """Alerts to send: per device, none sooner than `seconds` after the last one sent."""
     spacing = Spacing("timestamp", seconds_to_us(seconds))
-    scanned = ordered_scan(
-        candidates, ["tenant_id", "device_id"], ["timestamp", "event_id"], [spacing], mode=mode, **scan
-    )
+    scanned = split_scan(candidates, ["tenant_id", "device_id"], ["timestamp", "event_id"], spacing, **scan)
     return scanned.filter("kept").drop("kept", "prev_anchor")
 
 

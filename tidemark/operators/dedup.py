@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import seconds_to_us
-from tidemark.operators.scan import Spacing, has_hot_key, ordered_scan
+from tidemark.operators.spacing import Spacing
+from tidemark.operators.split_scan import BLOCK_SECONDS, block_of, split_scan
 
 DUPLICATE_ERROR = "dedup: duplicate event within window"
 
@@ -27,23 +28,25 @@ def dedup_key() -> Column:
     return F.unhex(F.md5(text))
 
 
-def duplicate_ids(df: DataFrame, window_seconds: float, *, mode: str = "auto", **scan) -> DataFrame:
+def duplicate_ids(df: DataFrame, window_seconds: float, *, block_seconds: float = BLOCK_SECONDS) -> DataFrame:
     """event_id of every delivery that repeats one kept at most `window_seconds` before.
 
-    Only key, arrival time and id are shuffled. Keys delivered once drop out
-    in the JVM before the ordered pass.
+    Only key, arrival time and id are shuffled, by key and block of time, so a key delivered over and over is spread.
+    A delivery that no other of its key is near is kept, and changes nothing for those after it: such rows, nearly all
+    of them, drop out in the JVM before the ordered pass. Near the edge of a block a delivery counts as not alone.
     """
+    gap, block = seconds_to_us(window_seconds), seconds_to_us(block_seconds)
     narrow = df.select(dedup_key().alias("dedup_key"), "ingested_at", "event_id")
-    keys, order = ["dedup_key"], ["ingested_at", "event_id"]
-    if mode == "auto":
-        mode = "range" if has_hot_key(narrow, keys) else "hash"
-    spacing = Spacing("ingested_at", seconds_to_us(window_seconds), strict=True)
-    if mode == "hash":
-        copies = F.count(F.lit(1)).over(W.partitionBy("dedup_key"))
-        repeated = narrow.withColumn("copies", copies).filter("copies > 1").drop("copies")
-        scanned = ordered_scan(repeated, keys, order, [spacing], mode="hash", co_partitioned=True)
-    else:
-        scanned = ordered_scan(narrow, keys, order, [spacing], mode="range", **scan)
+    near = W.partitionBy("dedup_key", "_block").orderBy("ingested_at")
+    at = F.unix_micros("ingested_at")
+    close = lambda other: F.abs(at - F.unix_micros(other)) <= gap
+    edge = F.pmod(at, F.lit(block))
+    suspect = close(F.lag("ingested_at").over(near)) | close(F.lead("ingested_at").over(near))
+    suspect = F.coalesce(suspect, F.lit(False)) | F.coalesce((edge <= gap) | (edge >= block - gap), F.lit(True))
+    suspects = narrow.withColumn("_block", block_of("ingested_at", block_seconds)).withColumn("_near", suspect)
+    suspects = suspects.filter("_near").drop("_near", "_block")
+    spacing = Spacing("ingested_at", gap, strict=True)
+    scanned = split_scan(suspects, ["dedup_key"], ["ingested_at", "event_id"], spacing, block_seconds=block_seconds)
     return scanned.filter(~F.col("kept")).select("event_id")
 
 

@@ -13,49 +13,85 @@ from pyspark.sql import types as T
 
 from tidemark.config import Autoencoder, Drift, Ewma, HalfSpace
 from tidemark.operators.scan import Recurrence, micros, run_bounds
+from tidemark.operators.split_scan import Splittable
 
 _DOUBLE = T.DoubleType()
 
 
-class EwmaScore(Recurrence):
+class EwmaScore(Splittable):
     """Exponentially weighted z-score of each metric of a device; column `statistical` is the largest.
 
     ewma and variance follow m' = m + a(v - m) and s' = (1-a)s + a(v - m)^2.
     The z-score uses the updated mean and is 0 until min_samples values.
+
+    Over a run of values m is an affine function of the m before it and s adds a
+    square polynomial of that m, so a run's map is five numbers a metric. They
+    are taken around the run's first value, which keeps the squares accurate.
     """
 
-    splittable = True
     fields = [("statistical", _DOUBLE)]
 
     def __init__(self, cfg: Ewma = Ewma(), metrics: str = "metrics"):
         self.cfg = cfg
         self.metrics = metrics
+        self.needs = [metrics]
 
-    def run(self, batch, first, carry):
-        cfg = self.cfg
+    def _items(self, batch, starts):
+        """(row, run, field code, value) of each metric, and the field names."""
         column = batch.column(self.metrics)
         offsets = column.offsets.to_numpy()
-        sizes = np.diff(offsets)
-        rows = np.repeat(np.arange(batch.num_rows), sizes)
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         names = column.keys.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         values = column.items.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
-        fields = names.dictionary.to_pylist()
         field = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        run = np.cumsum(first)[rows] if len(rows) else np.empty(0, np.int64)
-        first_run, last_run = int(first[0]), int(first.sum())
-        carry = carry or {}
+        return rows, np.searchsorted(starts, rows, "right") - 1, field, values, names.dictionary.to_pylist()
+
+    def summarise(self, batch, starts):
+        _, run, field, values, names = self._items(batch, starts)
+        out = [{} for _ in starts]
+        if not len(values):
+            return out
+        keep, series = 1.0 - self.cfg.alpha, run * len(names) + field
+        order = np.argsort(series, kind="stable")
+        s, x = series[order], values[order]
+        start = np.r_[True, s[1:] != s[:-1]]
+        begin = np.flatnonzero(start)
+        lengths = np.diff(np.r_[begin, len(s)])
+        place = np.arange(len(s)) - np.repeat(begin, lengths)
+        centre = np.repeat(x[begin], lengths)
+        mean = self._ewm(x - centre, s)  # the first value is 0, as is the state these begin with
+        off = np.where(start, 0.0, (x - centre) - np.r_[0.0, mean[:-1]])
+        weight = keep**place
+        square, cross = self._ewm(off * off, s), self._ewm(off * weight, s)
+        ends = begin + lengths - 1
+        kept = keep**lengths
+        lead = keep ** (lengths - 1) * (1.0 - kept)
+        cells = zip(s[begin].tolist(), x[begin].tolist(), lengths.tolist(), kept.tolist(), mean[ends].tolist(), lead.tolist(), cross[ends].tolist(), square[ends].tolist(), strict=True)
+        for code, c, n, p, m, a, b, r in cells:
+            out[code // len(names)][names[code % len(names)]] = (c, n, p, m, a, -2.0 * b, r)
+        return out
+
+    def advance(self, state, piece):
+        state = dict(state or {})
+        for field, (c, n, p, m, a, b, r) in piece.items():
+            mean, var, seen = state.get(field, (c, 0.0, 0))
+            u = mean - c
+            state[field] = (c + p * u + m, p * var + (a * u + b) * u + r, min(seen + n, self.cfg.history))
+        return state
+
+    def resume(self, batch, starts, states):
+        cfg = self.cfg
+        rows, run, field, values, fields = self._items(batch, starts)
 
         # a state carried in becomes a row in front of its series
         known = {f: i for i, f in enumerate(fields)}
-        kept = [f for f in carry if f in known]
-        lead_field = np.array([known[f] for f in kept], dtype=np.int64)
-        lead_run = np.full(len(kept), first_run, dtype=np.int64)
-        all_run = np.r_[lead_run, run]
-        all_field = np.r_[lead_field, field]
-        v = np.r_[[carry[f][0] for f in kept], values] if kept else values
-        q0 = np.array([carry[f][1] for f in kept])
-        seen = np.array([carry[f][2] for f in kept], dtype=np.int64)
-        lead = len(kept)
+        runs_of = {int(i): k for k, i in enumerate(starts)}
+        led_by = [(runs_of[i], known[f], *cell) for i, state in states.items() for f, cell in state.items() if f in known]
+        lead = len(led_by)
+        led_by = np.array(led_by, dtype=float).reshape(lead, 5)
+        all_run = np.r_[led_by[:, 0].astype(np.int64), run]
+        all_field = np.r_[led_by[:, 1].astype(np.int64), field]
+        v = np.r_[led_by[:, 2], values]
 
         series = all_run * max(1, len(fields)) + all_field
         order = np.argsort(series, kind="stable")
@@ -65,10 +101,10 @@ class EwmaScore(Recurrence):
         before = np.r_[0.0, mean[:-1]]
         d2 = np.where(start, 0.0, (x - before) ** 2)
         led = order < lead
-        d2[led] = q0[order[led]]
+        d2[led] = led_by[order[led], 3]
         var = self._ewm(d2, s)
         base = np.zeros(len(s), dtype=np.int64)
-        base[led] = seen[order[led]] - 1
+        base[led] = led_by[order[led], 4].astype(np.int64) - 1
         begin = np.flatnonzero(start)
         lengths = np.diff(np.r_[begin, len(s)])
         count = np.arange(len(s)) - np.repeat(begin, lengths) + 1 + np.repeat(base[begin], lengths)
@@ -81,8 +117,9 @@ class EwmaScore(Recurrence):
         out = np.zeros(batch.num_rows)
         np.maximum.at(out, rows, per_item[lead:])
 
+        last_run = len(starts) - 1
         ends = np.r_[begin[1:], len(s)] - 1 if len(s) else np.empty(0, np.int64)
-        state = dict(carry) if last_run == first_run and not first[0] else {}
+        state = dict(states.get(int(starts[-1]), {}))
         for e in ends[all_run[order[ends]] == last_run] if len(ends) else ():
             state[fields[all_field[order[e]]]] = (float(mean[e]), float(var[e]), int(count[e]))
         return [pa.array(out)], state

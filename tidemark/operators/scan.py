@@ -1,23 +1,14 @@
 """Ordered passes: per-key recurrences over rows in time order.
 
 A recurrence (running average, greedy selection, online model) sees the rows
-of one key in order and carries a small state. Two ways to run one:
-
-* by key: rows are hash-partitioned by key and sorted, one shuffle. Each task
-  streams its rows in Arrow batches, so memory does not grow with a key.
-* by range: when a few keys hold much of the data, rows are range-partitioned
-  by (key, order), which cuts a hot key into many tasks. A cut falls inside at
-  most one key, so each partition needs the entry state of its first key only:
-  one small row per partition. Entry states are found by running all
-  partitions at once and repeating those whose entry turned out different,
-  until nothing changes. After r rounds the first r partitions of a key are
-  right, so the result is exact; recurrences that forget (averages, greedy
-  spacing) need two or three rounds.
+of one key in order and carries a small state. `ordered_scan` hash-partitions
+rows by key and sorts them, one shuffle; each task streams its rows in Arrow
+batches, so memory does not grow with a key. Recurrences that can be cut run
+by `split_scan` instead, which spreads a long key over many tasks.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +20,6 @@ from pyspark.sql import types as T
 from tidemark.session import checkpointed
 
 PARTITION_ROWS = 2_000_000  # aim of a range partition
-HOT_ROWS = 20_000_000  # a hash bucket above this is worth looking at
-HOT_BUCKETS = 4096
-HOT_FACTOR = 8
 
 
 class Recurrence:
@@ -40,12 +28,10 @@ class Recurrence:
     first[i] is True where row i opens a new key. `carry` is the state of the
     key that continues from the previous batch (None when row 0 opens one);
     `run` returns its output columns and the state of the last key. States are
-    plain picklable values. `splittable` says that the state is small and that
-    a key may be cut into ranges.
+    plain picklable values.
     """
 
     fields: list[tuple[str, T.DataType]] = []
-    splittable = False
 
     def run(self, batch: pa.RecordBatch, first: np.ndarray, carry):
         raise NotImplementedError
@@ -55,7 +41,7 @@ def _codes(column: pa.Array) -> np.ndarray:
     return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def _key_at(batch: pa.RecordBatch, keys: list[str], row: int) -> tuple:
+def key_at(batch: pa.RecordBatch, keys: list[str], row: int) -> tuple:
     return tuple(batch.column(k)[row].as_py() for k in keys)
 
 
@@ -69,22 +55,22 @@ def key_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return first
 
 
-def _stream(batches: Iterator[pa.RecordBatch], keys, recurrences, entry=None):
-    """Run the recurrences over sorted batches; yields (batch, outputs, key, carries)."""
-    prev_key, carries = entry if entry else (None, [None] * len(recurrences))
+def _stream(batches: Iterator[pa.RecordBatch], keys, recurrences):
+    """Run the recurrences over sorted batches; yields (batch, outputs)."""
+    prev_key, carries = None, [None] * len(recurrences)
     for batch in batches:
         if batch.num_rows == 0:
             continue
         first = key_starts(batch, keys)
-        first[0] = prev_key is None or _key_at(batch, keys, 0) != prev_key
+        first[0] = prev_key is None or key_at(batch, keys, 0) != prev_key
         if first[0]:
             carries = [None] * len(recurrences)
         outputs = []
         for i, rec in enumerate(recurrences):
             cols, carries[i] = rec.run(batch, first, carries[i])
             outputs += cols
-        prev_key = _key_at(batch, keys, batch.num_rows - 1)
-        yield batch, outputs, prev_key, carries
+        prev_key = key_at(batch, keys, batch.num_rows - 1)
+        yield batch, outputs
 
 
 def _output_schema(df: DataFrame, recurrences) -> T.StructType:
@@ -98,84 +84,22 @@ def ordered_scan(
     order: list[str],
     recurrences: list[Recurrence],
     *,
-    mode: str = "auto",
-    partition_by: list[str] | None = None,
     co_partitioned: bool = False,
-    range_partitions: int | None = None,
 ) -> DataFrame:
-    """Append the recurrences' columns to `df`.
-
-    mode: "hash", "range" or "auto" (range when all recurrences allow it and
-    some key is hot). `co_partitioned` skips the shuffle when rows of a key
-    already share a partition; `partition_by` hashes on fewer columns than
-    `keys`, so that a later scan can be co-partitioned.
-    """
-    if mode == "auto":
-        split = all(r.splittable for r in recurrences) and not co_partitioned
-        mode = "range" if split and has_hot_key(df, keys) else "hash"
-    if mode == "range":
-        return _by_range(df, keys, order, recurrences, range_partitions)
-
+    """Append the recurrences' columns to `df`. `co_partitioned` skips the
+    shuffle when rows of a key already share a partition."""
     schema = _output_schema(df, recurrences)
     names = schema.names
 
     def task(batches):
-        for batch, outputs, _, _ in _stream(batches, keys, recurrences):
+        for batch, outputs in _stream(batches, keys, recurrences):
             yield pa.RecordBatch.from_arrays([*batch.columns, *outputs], names=names)
 
     if not co_partitioned:
-        df = df.repartition(*(partition_by or keys))
+        df = df.repartition(*keys)
     return df.sortWithinPartitions(*keys, *order).mapInArrow(task, schema)
 
 
-def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether some hash bucket of keys holds far more rows than the others.
-
-    Counts per bucket combine before the shuffle, so this is one column-pruned
-    scan and 4096 small rows at most. Inputs that cannot hold `hot_rows` rows
-    by their estimated size (8 rows per byte at most) are not scanned.
-    """
-    if estimated_bytes(df) * 8 < hot_rows:
-        return False
-    buckets = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(HOT_BUCKETS)).alias("bucket")).count()
-    top, total = buckets.agg(F.max("count"), F.sum("count")).first()
-    return bool(top) and top > hot_rows and top > HOT_FACTOR * total / HOT_BUCKETS
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (file sizes carried through the plan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def _by_range(df, keys, order, recurrences, partitions):
-    if not all(r.splittable for r in recurrences):
-        raise ValueError("a recurrence here needs every row of a key in one task")
-    if partitions is None:
-        partitions = max(2, min(50_000, df.count() // PARTITION_ROWS + 1))
-    # The checkpoint pins the cuts: sampling them again after a lost executor
-    # could move rows to another partition.
-    ranged = checkpointed(
-        df.repartitionByRange(partitions, *keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    entries = _entry_states(ranged, keys, recurrences)
-    schema = _output_schema(df, recurrences)
-    names = schema.names
-
-    def task(batches):
-        head, batches = _peek(batches)
-        if head is None:
-            return
-        part = head.column("_part")[0].as_py()
-        at = head.schema.get_field_index("_part")
-        for batch, outputs, _, _ in _stream(batches, keys, recurrences, entries.get(part)):
-            kept = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, *outputs], names=names)
-
-    return ranged.mapInArrow(task, schema)
-
-
 def number_rows(df: DataFrame, order: list[str], name: str, *, partitions: int | None = None) -> DataFrame:
     """Adds the 0-based position of each row in the whole table's order.
 
@@ -183,7 +107,7 @@ def number_rows(df: DataFrame, order: list[str], name: str, *, partitions: int |
     (one per partition) meet on the driver.
     """
     if partitions is None:
-        partitions = max(1, min(50_000, df.count() // PARTITION_ROWS + 1))
+        partitions = df.count() // PARTITION_ROWS + 1
     ranged = checkpointed(
         df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     )
@@ -222,50 +146,6 @@ def _peek(batches):
     return head, again()
 
 
-def _entry_states(ranged: DataFrame, keys, recurrences) -> dict[int, tuple]:
-    """part -> (key, carries) for partitions that begin inside a key.
-
-    The driver sees one row per partition, whatever the data size.
-    """
-    edges: dict[int, tuple] = {}
-    entries: dict[int, tuple] = {}
-    todo = None
-    while True:
-        source = ranged if todo is None else ranged.filter(F.col("_part").isin(todo))
-        for row in source.mapInArrow(_edge_task(keys, recurrences, entries), "part int, edge binary").collect():
-            edges[row.part] = pickle.loads(row.edge)
-        todo = []
-        previous = None
-        for part in sorted(edges):
-            first_key, last_key, _ = edges[part]
-            if previous is not None and edges[previous][1] == first_key:
-                entry = (first_key, edges[previous][2])
-                if pickle.dumps(entries.get(part)) != pickle.dumps(entry):
-                    entries[part] = entry
-                    if first_key == last_key:  # only then does the exit depend on the entry
-                        todo.append(part)
-            previous = part
-        if not todo:
-            return entries
-
-
-def _edge_task(keys, recurrences, entries):
-    def task(batches):
-        head, batches = _peek(batches)
-        if head is None:
-            return
-        part = head.column("_part")[0].as_py()
-        first_key = _key_at(head, keys, 0)
-        for _, _, last_key, carries in _stream(batches, keys, recurrences, entries.get(part)):
-            pass
-        edge = pickle.dumps((first_key, last_key, carries))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([edge], pa.binary())], names=["part", "edge"]
-        )
-
-    return task
-
-
 def micros(column: pa.Array) -> np.ndarray:
     return column.cast(pa.timestamp("us", tz="UTC")).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
@@ -278,54 +158,10 @@ def run_bounds(first: np.ndarray) -> np.ndarray:
     return np.r_[starts, len(first)]
 
 
-class Spacing(Recurrence):
-    """Greedy selection: keep the first row of a key, then each row at least
-    `gap` after the last kept one (more than `gap` when strict).
-
-    Columns: kept, and prev_anchor, the time of the last row kept before this.
-    """
-
-    splittable = True
-
-    def __init__(self, time: str, gap_us: int, *, strict: bool = False):
-        self.time = time
-        self.need = gap_us + (1 if strict else 0)
-        self.fields = [("kept", T.BooleanType()), ("prev_anchor", T.TimestampType())]
-
-    def run(self, batch, first, carry):
-        t = micros(batch.column(self.time))
-        n = len(t)
-        kept = first | (self.need == 0)
-        # a row this far from the row before it is kept whatever was kept earlier
-        kept[1:] |= np.diff(t) >= self.need
-        bounds = run_bounds(kept)
-        spans = t[bounds[1:] - 1] - t[bounds[:-1]]
-        long = (spans >= self.need) & (self.need > 0)  # without a gap to keep, every row is kept already
-        open_head = not kept[0]
-        if open_head:
-            long[0] = t[bounds[1] - 1] - carry >= self.need
-        for i in np.flatnonzero(long):
-            lo, hi = bounds[i], bounds[i + 1]
-            anchor = carry if (i == 0 and open_head) else t[lo]
-            while True:
-                lo = lo + np.searchsorted(t[lo:hi], anchor + self.need)
-                if lo >= hi:
-                    break
-                kept[lo] = True
-                anchor = t[lo]
-        at = np.maximum.accumulate(np.where(kept, np.arange(n), -1))
-        before = np.r_[-1, at[:-1]]
-        prev = np.where(before >= 0, t[np.maximum(before, 0)], carry if carry is not None else 0)
-        last = int(t[at[-1]]) if at[-1] >= 0 else carry
-        anchors = pa.array(prev, pa.int64(), mask=first).cast(pa.timestamp("us", tz="UTC"))
-        return [pa.array(kept), anchors], last
-
-
 class OpenWindow(Recurrence):
     """Number of the newest window opened so far, counting fixed windows from
     the key's first arrival, in arrival order. Rows older than it are late."""
 
-    splittable = True
     fields = [("window_no", T.LongType()), ("open_window", T.LongType())]
 
     def __init__(self, time: str, size_us: int):

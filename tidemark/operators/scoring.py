@@ -18,7 +18,8 @@ from tidemark.operators.detectors import (
     OnlineAutoencoder,
 )
 from tidemark.operators.enrich import metric_vector
-from tidemark.operators.scan import has_hot_key, number_rows, ordered_scan
+from tidemark.operators.scan import ordered_scan
+from tidemark.operators.split_scan import numbered, split_scan
 
 DEVICE = ["tenant_id", "device_id"]
 SENSOR = ["tenant_id", "device_id", "sensor_type"]
@@ -62,9 +63,9 @@ def with_rules(df: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     return df.withColumn("rule_based", F.coalesce(F.array_max(F.map_values("rule_scores")), F.lit(0.0)))
 
 
-def ewma_score(df: DataFrame, cfg: Ewma = Ewma(), *, mode: str = "auto", **scan) -> DataFrame:
-    """Adds statistical. A device's metrics advance together in one pass over its rows."""
-    return ordered_scan(df, DEVICE, ORDER, [EwmaScore(cfg)], mode=mode, **scan)
+def ewma_score(df: DataFrame, cfg: Ewma = Ewma(), **scan) -> DataFrame:
+    """Adds statistical. A device's metrics advance together; a device with most of the rows is cut into blocks of time."""
+    return split_scan(df, DEVICE, ORDER, EwmaScore(cfg), **scan)
 
 
 def _trees(cfg: HalfSpace, catalog: Catalog) -> HalfSpaceTrees:
@@ -72,33 +73,20 @@ def _trees(cfg: HalfSpace, catalog: Catalog) -> HalfSpaceTrees:
     return HalfSpaceTrees(cfg, limits)
 
 
-def hst_score(
-    df: DataFrame,
-    cfg: HalfSpace = HalfSpace(),
-    catalog: Catalog = DEFAULT_CATALOG,
-    *,
-    mode: str = "auto",
-    range_partitions: int | None = None,
-) -> DataFrame:
+def hst_score(df: DataFrame, cfg: HalfSpace = HalfSpace(), catalog: Catalog = DEFAULT_CATALOG, **blocks) -> DataFrame:
     """Adds isolation_forest.
 
-    A window is scored by the one before it alone, so a hot device can be cut:
-    in mode "range" rows get their position within the device, each row goes
-    to its own window and to the next as reference, and every group is at most
-    two windows of rows.
+    A window is scored by the one before it alone. Rows get their position
+    within the device, each row goes to its own window and to the next as
+    reference, and every group is at most two windows of rows.
     """
-    if mode == "auto":
-        mode = "range" if has_hot_key(df, SENSOR) else "hash"
     df = df.withColumn("vector", metric_vector(catalog))
-    if mode == "hash":
-        return ordered_scan(df, SENSOR, ORDER, [_trees(cfg, catalog)], mode="hash").drop("vector")
-    placed = number_rows(df, [*SENSOR, *ORDER], "_row", partitions=range_partitions)
-    starts = placed.groupBy(*SENSOR).agg(F.min("_row").alias("_start"))
-    slot = F.floor((F.col("_row") - F.col("_start")) / cfg.window)
+    placed = numbered(df, SENSOR, ORDER, "_row", **blocks)
+    slot = F.floor(F.col("_row") / cfg.window)
     spread = F.array(*[F.struct((slot + 1 - r).alias("slot"), F.lit(r).alias("role")) for r in (0, 1)])
-    slotted = placed.join(starts, SENSOR).select(*placed.columns, F.inline(spread))
+    slotted = placed.select(*placed.columns, F.inline(spread))
     trees = HalfSpaceSlots(cfg, _trees(cfg, catalog).limits)
-    scored = ordered_scan(slotted, [*SENSOR, "slot"], ["role", "_row"], [trees], mode="hash")
+    scored = ordered_scan(slotted, [*SENSOR, "slot"], ["role", "_row"], [trees])
     return scored.filter("role = 1").drop("vector", "_row", "slot", "role")
 
 
@@ -219,8 +207,8 @@ def score_all(
     by_sensor = [_trees(cfg.trees, catalog)] + (
         [OnlineAutoencoder(cfg.autoencoder, models)] if cfg.autoencoder.enabled else []
     )
-    df = ordered_scan(df, DEVICE, ORDER, by_device, mode="hash")
-    df = ordered_scan(df, SENSOR, ORDER, by_sensor, mode="hash", co_partitioned=True).drop("vector", "primary")
+    df = ordered_scan(df, DEVICE, ORDER, by_device)
+    df = ordered_scan(df, SENSOR, ORDER, by_sensor, co_partitioned=True).drop("vector", "primary")
     for detector in (extra_detectors or {}).values():
         df = detector(df)
     return df

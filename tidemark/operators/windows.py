@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import seconds_to_us, span_us
-from tidemark.operators.scan import OpenWindow, Spacing, ordered_scan
+from tidemark.operators.spacing import Spacing
+from tidemark.operators.split_scan import BLOCK_SECONDS, block_of, split_scan
 
 KEY = ["tenant_id", "device_id", "sensor_type"]
 
@@ -42,21 +43,34 @@ def window_stats(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def with_window(df: DataFrame, size_seconds: float, *, emit_open: bool = False) -> DataFrame:
+def _edges(df: DataFrame, time: str, block_seconds: float, **aggs: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block of `time`, aggregates of each block of each device).
+
+    Facts about a whole device come back to its rows by device and block, so that a device with very many rows is
+    spread in that join too.
+    """
+    rows = df.withColumn("_block", block_of(time, block_seconds))
+    return rows, rows.groupBy(*KEY, "_block").agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def with_window(
+    df: DataFrame, size_seconds: float, *, emit_open: bool = False, block_seconds: float = BLOCK_SECONDS
+) -> DataFrame:
     """Adds window_no: fixed windows counted from the device's first event.
 
-    First and last time per device combine before the shuffle, and come back
-    by a join, so a device with very many events stays spread over tasks.
-    The newest window is still open and left out unless `emit_open`.
+    First and last time combine before the shuffle. The newest window is still
+    open and left out unless `emit_open`.
     """
     size = seconds_to_us(size_seconds)
-    edges = df.groupBy(*KEY).agg(F.min("timestamp").alias("_anchor"), F.max("timestamp").alias("_last"))
+    rows, blocks = _edges(df, "timestamp", block_seconds, _from=F.min("timestamp"), _to=F.max("timestamp"))
+    device = W.partitionBy(*KEY)
+    edges = blocks.select(*KEY, "_block", F.min("_from").over(device).alias("_anchor"), F.max("_to").over(device).alias("_last"))
     number = F.floor(span_us(F.col("timestamp"), F.col("_anchor")) / size)
     newest = F.floor(span_us(F.col("_last"), F.col("_anchor")) / size)
-    out = df.join(edges, KEY).withColumn("window_no", number)
+    out = rows.join(edges, [*KEY, "_block"]).withColumn("window_no", number)
     if not emit_open:
         out = out.filter(F.col("window_no") < newest)
-    return out.drop("_anchor", "_last")
+    return out.select(*df.columns, "window_no")
 
 
 def tumbling(df: DataFrame, size_seconds: float = 10.0, *, emit_open: bool = False) -> DataFrame:
@@ -66,7 +80,7 @@ def tumbling(df: DataFrame, size_seconds: float = 10.0, *, emit_open: bool = Fal
 
 
 def running_snapshots(
-    df: DataFrame, size_seconds: float = 10.0, slide_seconds: float = 2.0, *, mode: str = "auto", **scan
+    df: DataFrame, size_seconds: float = 10.0, slide_seconds: float = 2.0, **scan
 ) -> DataFrame:
     """Statistics of everything in the open window, emitted at the first event
     and then at each event at least `slide_seconds` after the last emission.
@@ -74,12 +88,33 @@ def running_snapshots(
     The ordered pass only finds the emitting events. An event belongs to the
     step that ends in the next emission; steps are aggregated first (with
     map-side combine) and then accumulated over the few steps of a window.
+    `scan` sets block_seconds.
     """
     columns = ["event_id", *KEY, "timestamp", "metrics"]
-    placed = with_window(df.select(*columns), size_seconds, emit_open=True)
-    stepped = ordered_scan(
-        placed, KEY, ["timestamp", "event_id"], [Spacing("timestamp", seconds_to_us(slide_seconds))], mode=mode, **scan
-    )
+    placed = with_window(df.select(*columns), size_seconds, emit_open=True, **scan)
+    spacing = Spacing("timestamp", seconds_to_us(slide_seconds))
+    return _snapshots(split_scan(placed, KEY, ["timestamp", "event_id"], spacing, **scan))
+
+
+def arrival_snapshots(
+    df: DataFrame, size_seconds: float = 10.0, slide_seconds: float = 2.0, **scan
+) -> DataFrame:
+    """Snapshots as `running_snapshots`, but of events in the order in which they arrive.
+
+    An event older than the open window is in its buffer, and so in the next
+    snapshots, until the next window opens; it is never in a completed window.
+    Only an event later than all before it can emit, so emissions follow from
+    the latest time seen so far.
+    """
+    columns = ["event_id", *KEY, "timestamp", "ingested_at", "metrics"]
+    placed = arrival_windows(df.select(*columns), size_seconds, **scan)
+    placed = placed.drop("is_late", "window_no").withColumnRenamed("open_window", "window_no")
+    spacing = Spacing("latest", seconds_to_us(slide_seconds))
+    return _snapshots(split_scan(placed, KEY, ["ingested_at", "event_id"], spacing, **scan))
+
+
+def _snapshots(stepped: DataFrame) -> DataFrame:
+    """Statistics of the open window at each emission, from rows with window_no, kept and prev_anchor."""
     window = [*KEY, "window_no"]
     step = [*window, "prev_anchor"]
     value = F.col("value")
@@ -167,14 +202,30 @@ def window_stats_aligned(
     )
 
 
-def arrival_windows(df: DataFrame, size_seconds: float = 10.0, **scan) -> DataFrame:
+def arrival_windows(df: DataFrame, size_seconds: float = 10.0, *, block_seconds: float = BLOCK_SECONDS) -> DataFrame:
     """Places events in windows in arrival order and marks the late ones.
 
     A late event is older than the window open at its arrival: it is never
-    part of a completed window. Adds window_no, open_window and is_late.
+    part of a completed window. Adds window_no, open_window, is_late and
+    latest, the latest event time of the device up to this arrival. The latest
+    time of earlier blocks is one row a block.
     """
-    order = ["ingested_at", "event_id"]
-    placed = ordered_scan(df, KEY, order, [OpenWindow("timestamp", seconds_to_us(size_seconds))], **scan)
+    size = seconds_to_us(size_seconds)
+    by = ["ingested_at", "event_id"]
+    first = F.min(F.struct(*by, "timestamp"))
+    rows, blocks = _edges(df, "ingested_at", block_seconds, _first=first, _to=F.max("timestamp"))
+    in_order = W.partitionBy(*KEY).orderBy("_block")
+    earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
+    edges = blocks.select(
+        *KEY, "_block",
+        F.first("_first.timestamp").over(in_order).alias("_anchor"),
+        F.max("_to").over(earlier).alias("_before"),
+    )
+    so_far = W.partitionBy(*KEY, "_block").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.withColumn("_here", F.max("timestamp").over(so_far)).join(edges, [*KEY, "_block"])
+    placed = placed.withColumn("latest", F.greatest("_here", "_before"))
+    number = lambda at: F.floor(span_us(F.col(at), F.col("_anchor")) / size)
+    placed = placed.select(*df.columns, number("timestamp").alias("window_no"), number("latest").alias("open_window"), "latest")
     return placed.withColumn("is_late", F.col("window_no") < F.col("open_window"))
 
 
