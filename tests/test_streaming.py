@@ -9,11 +9,12 @@ from tidemark.config import Alerting, Detection, Drift, Ewma, HalfSpace, Setting
 from tidemark.operators import scoring as sc
 from tidemark.operators.alerts import alert_candidates, cooldown
 from tidemark.operators.dedup import dedup
-from tidemark.operators.windows import arrival_windows
+from tidemark.operators.windows import arrival_snapshots, arrival_windows, completed_arrival_windows, running_snapshots, tumbling
 from tidemark.plans import flow
 from tidemark.sinks import tables
 from tidemark.sources.replay import replay_stream
 from tidemark.streaming import jobs
+from tidemark.streaming.windows import window_stream
 from tests.events import by_id, events
 
 FIELDS = ("temperature", "pressure", "vibration")
@@ -81,6 +82,68 @@ def test_cooldown_and_arrival_windows(spark, history, tmp_path):
     assert by_id(placed, "window_no", "is_late") == by_id(arrival_windows(df, 10), "window_no", "is_late")
 
 
+def figures(df, *at):
+    """Statistics by device, window, metric and the columns of `at`."""
+    rows = df.collect()
+    out = {(r["device_id"], r["window_no"], r["field"], *(r[c] for c in at)): tuple(r[c] for c in ("count", "mean", "min", "max", "std")) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def same(got, want):
+    assert want and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+TIMES = ("window_start", "window_end")
+
+
+def test_windows_in_event_order(spark, history, tmp_path):
+    df, path = history
+    out = run(spark, window_stream(replay_stream(spark, path), 10, 3, delay="5 seconds"), tmp_path)
+    last = df.agg(F.max("timestamp")).first()[0]
+    passed = df.filter(F.col("timestamp") <= F.lit(last) - F.expr("INTERVAL 5 SECONDS"))
+    same(figures(out.filter("kind = 'window'"), *TIMES), figures(tumbling(passed, 10), *TIMES))
+    same(figures(out.filter("kind = 'snapshot'"), "emitted_at", *TIMES), figures(running_snapshots(passed, 10, 3), "emitted_at", *TIMES))
+
+
+@pytest.fixture(scope="module")
+def unordered(spark, tmp_path_factory):
+    """Events of which a third arrive long after younger ones, one file per stretch of arrival."""
+    rng = random.Random(12)
+    rows = [{"seconds": i * 1.5, "device_id": rng.choice("ab"), "metrics": {"temperature": rng.random(), **({"pressure": rng.random()} if i % 3 else {})}} for i in range(80)]
+    for r in rows:
+        r["ingested"] = r["seconds"] + rng.choice([0, 0, 14])
+    df = events(spark, rows).cache()
+    path = str(tmp_path_factory.mktemp("unordered"))
+    at = F.unix_seconds("ingested_at") - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    for low in (0, 45, 90):
+        df.filter((at >= low) & (at < low + 45)).coalesce(1).write.mode("append").parquet(path)
+    return df, path
+
+
+def test_windows_in_order_of_arrival(spark, unordered, tmp_path):
+    df, path = unordered
+    out = run(spark, window_stream(replay_stream(spark, path), 10, 3, order="arrival"), tmp_path)
+    placed = arrival_windows(df, 10)
+    same(figures(out.filter("kind = 'window'"), *TIMES), figures(completed_arrival_windows(placed), *TIMES))
+    for block in (86400.0, 20.0, 2.0):
+        snapshots = arrival_snapshots(df, 10, 3, block_seconds=block)
+        same(figures(out.filter("kind = 'snapshot'"), "emitted_at", *TIMES), figures(snapshots, "emitted_at", *TIMES))
+
+
+def test_a_late_event_is_in_the_next_snapshot_and_in_no_window(spark, tmp_path):
+    at = [(0, 0), (12, 12), (5, 13), (14, 14), (25, 25)]  # the third is older than the open window
+    rows = [{"seconds": t, "ingested": i, "metrics": {"temperature": float(t)}} for t, i in at]
+    df = events(spark, rows)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = run(spark, window_stream(replay_stream(spark, f"{tmp_path}/in"), 10, 2, order="arrival"), tmp_path)
+    for snapshots, windows in ((out.filter("kind = 'snapshot'"), out.filter("kind = 'window'")), (arrival_snapshots(df, 10, 2), completed_arrival_windows(arrival_windows(df, 10)))):
+        shown = {r["emitted_at"].second: (r["count"], r["min"], r["max"]) for r in snapshots.collect()}
+        assert shown == {0: (1, 0, 0), 12: (1, 12, 12), 14: (3, 5, 14), 25: (1, 25, 25)}
+        assert sorted((r["count"], r["min"], r["max"]) for r in windows.collect()) == [(1, 0, 0), (2, 12, 14)]
+
+
 def test_clean_stream_into_tables(spark, history, tmp_path):
     df, path = history
     cfg = Settings(tenancy=Tenancy(enabled=True))

@@ -14,7 +14,8 @@ from tidemark.operators.alerts import alert_candidates, alert_payload
 from tidemark.operators.dedup import dedup_key
 from tidemark.operators.detectors import AdwinDrift, EwmaScore, OnlineAutoencoder
 from tidemark.operators.enrich import enrich, metric_vector
-from tidemark.operators.scan import OpenWindow, Spacing
+from tidemark.operators.scan import OpenWindow
+from tidemark.operators.spacing import Spacing
 from tidemark.operators.scoring import DEVICE, ORDER, SENSOR, _trees, ensemble, primary_metric, with_rules
 from tidemark.operators.validate import has_errors, validate
 from tidemark.sinks.tables import write_events

@@ -11,7 +11,7 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
@@ -67,6 +67,14 @@ class KeyedRecurrence(StatefulProcessor):
         pass
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that keyed processors need."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def keyed_scan(
     df: DataFrame, keys: list[str], order: list[str], recurrences: list[Recurrence], *, ttl_seconds: float | None
 ) -> DataFrame:
@@ -76,11 +84,7 @@ def keyed_scan(
     batches coming to clean up, so a bounded run (trigger availableNow) would
     never end with one: such runs pass None.
     """
-    spark = df.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    use_rocksdb(df.sparkSession)
     extra = [T.StructField(n, t) for rec in recurrences for n, t in rec.fields]
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=KeyedRecurrence(df.schema, order, recurrences, ttl_seconds),
