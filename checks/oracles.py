@@ -150,6 +150,45 @@ CTES["snap"] = """
   WHERE e.emits
   GROUP BY e.tenant_id, e.device_id, e.sensor_type, e.window_no, e.ts, e.event_id, m.field
 """
+# the events a stream has handled when its watermark is an hour behind the newest
+CTES["sw"] = """
+  SELECT *, min(ts) OVER w AS window_start, max(ts) OVER w AS window_end
+  FROM sw0 WINDOW w AS (PARTITION BY tenant_id, device_id, sensor_type, window_no)
+"""
+CTES["sw0"] = """
+  SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER k)) // 21600000000 AS window_no,
+    (epoch_us(max(ts) OVER k) - epoch_us(min(ts) OVER k)) // 21600000000 AS newest,
+    row_number() OVER (PARTITION BY tenant_id, device_id, sensor_type ORDER BY ts, event_id) AS rn
+  FROM (SELECT event_id, coalesce(tag_tenant, tenant_id, 'default') AS tenant_id, device_id, sensor_type, ts FROM ev
+        WHERE epoch_us(ts) <= ((SELECT max(epoch_us(ts)) FROM ev) // 1000 - 3600000) * 1000)
+  WINDOW k AS (PARTITION BY tenant_id, device_id, sensor_type)
+"""
+CTES["swm"] = """
+  SELECT tenant_id, device_id, sensor_type, rn, window_no, ts, ts AS last_emit, true AS emits, event_id, window_start FROM sw WHERE rn = 1
+  UNION ALL
+  SELECT e.tenant_id, e.device_id, e.sensor_type, e.rn, e.window_no, e.ts,
+    CASE WHEN e.ts >= r.last_emit + INTERVAL 1 HOUR THEN e.ts ELSE r.last_emit END,
+    e.ts >= r.last_emit + INTERVAL 1 HOUR, e.event_id, e.window_start
+  FROM swm r JOIN sw e ON e.device_id = r.device_id AND e.tenant_id = r.tenant_id
+    AND e.sensor_type = r.sensor_type AND e.rn = r.rn + 1
+"""
+CTES["arr"] = """
+  SELECT *, min(ts) OVER (PARTITION BY tenant_id, device_id, sensor_type, window_no ORDER BY rn) AS window_start
+  FROM (SELECT *, max(w) OVER a AS window_no, row_number() OVER a AS rn
+  FROM (SELECT tenant_id, device_id, sensor_type, event_id, ts, ingested_at,
+          (epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY tenant_id, device_id, sensor_type
+            ORDER BY ingested_at, event_id))) // 21600000000 AS w FROM val)
+  WINDOW a AS (PARTITION BY tenant_id, device_id, sensor_type ORDER BY ingested_at, event_id ROWS UNBOUNDED PRECEDING))
+"""
+CTES["arm"] = """
+  SELECT tenant_id, device_id, sensor_type, rn, window_no, ts, ts AS last_emit, true AS emits, event_id, window_start FROM arr WHERE rn = 1
+  UNION ALL
+  SELECT e.tenant_id, e.device_id, e.sensor_type, e.rn, e.window_no, e.ts,
+    CASE WHEN e.ts >= r.last_emit + INTERVAL 1 HOUR THEN e.ts ELSE r.last_emit END,
+    e.ts >= r.last_emit + INTERVAL 1 HOUR, e.event_id, e.window_start
+  FROM arm r JOIN arr e ON e.device_id = r.device_id AND e.tenant_id = r.tenant_id
+    AND e.sensor_type = r.sensor_type AND e.rn = r.rn + 1
+"""
 CTES["late"] = """
   SELECT event_id, tenant_id, device_id, sensor_type, ts, w AS window_no,
     max(w) OVER (PARTITION BY tenant_id, device_id, sensor_type ORDER BY ingested_at, event_id

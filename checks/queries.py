@@ -53,6 +53,7 @@ from tidemark.sources.kafka import kafka_rows, stamp_tenant, tenant_from_topic,
 from tidemark.sources.labeled_csv import read_labeled_csv
 from tidemark.sources.replay import replay_stream
 from tidemark.streaming import jobs
+from tidemark.streaming.windows import window_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -534,6 +535,49 @@ def w5_windows(spark, sf):
     return df.select(*wi.KEY, "window_no", "field", *stats_columns())
 
 
+NUDGED = """count(*) AS count, round(avg(m.value) + 1e-10, 6) AS mean, round(min(m.value), 6) AS min, round(max(m.value), 6) AS max,
+      round(stddev_pop(m.value) + 1e-10, 6) AS std"""
+SNAPSHOTS = f"""SELECT e.tenant_id, e.device_id, e.sensor_type, e.window_no, e.ts AS emitted_at, m.field, {NUDGED},
+      e.window_start, any_value(f.window_end) AS window_end
+    FROM {{em}} e JOIN {{em}} b ON b.tenant_id = e.tenant_id AND b.device_id = e.device_id AND b.sensor_type = e.sensor_type
+      AND b.window_no = e.window_no AND b.rn <= e.rn JOIN ml m ON m.event_id = b.event_id
+      JOIN (SELECT event_id, max(ts) OVER (PARTITION BY tenant_id, device_id, sensor_type, window_no ORDER BY rn) AS window_end FROM {{em}}) f
+        ON f.event_id = e.event_id
+    WHERE e.emits GROUP BY e.tenant_id, e.device_id, e.sensor_type, e.window_no, e.ts, e.event_id, e.window_start, m.field"""
+
+
+def nudged_columns() -> list[Column]:
+    nudge = [r6(F.col(c) + (NUDGE if c in ("mean", "std") else 0.0)).alias(c) for c in ("mean", "min", "max", "std")]
+    return [*wi.KEY, "window_no", *frame_columns(), "field", "count", *nudge]
+
+
+def emitted_windows(spark, sf) -> DataFrame:
+    df = resolve_tenant(event_stream(spark, sf), TENANCY)
+    return window_stream(df, CFG.window_size_seconds, CFG.slide_interval_seconds, delay="1 hour")
+
+
+@query(
+    "w1_stream",
+    f"""SELECT b.tenant_id, b.device_id, b.sensor_type, b.window_no, b.window_start, b.window_end, m.field, {NUDGED}
+    FROM sw b JOIN ml m USING (event_id) WHERE b.window_no < b.newest
+    GROUP BY b.tenant_id, b.device_id, b.sensor_type, b.window_no, b.window_start, b.window_end, m.field""",
+)
+def w1_stream(spark, sf):
+    return streamed(spark, emitted_windows(spark, sf), "windows").filter("kind = 'window'").select(*nudged_columns())
+
+
+@query("w2_stream", SNAPSHOTS.format(em="swm"))
+def w2_stream(spark, sf):
+    out = streamed(spark, emitted_windows(spark, sf), "windows").filter("kind = 'snapshot'")
+    return out.select(*nudged_columns(), ntz("emitted_at").alias("emitted_at"))
+
+
+@query("w5_arrival_snapshots", SNAPSHOTS.format(em="arm"))
+def w5_snapshots(spark, sf):
+    df = wi.arrival_snapshots(valid(spark, sf), CFG.window_size_seconds, CFG.slide_interval_seconds)
+    return df.select(*nudged_columns(), ntz("emitted_at").alias("emitted_at"))
+
+
 @query(
     "w6_time_bucket",
     """SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS bucket, tenant_id, count(*) AS n,
@@ -648,9 +692,9 @@ def al2(spark, sf):
 
 @query("al2_cooldown_stream", "SELECT event_id FROM cool WHERE kept")
 def al2_stream(spark, sf):
-    """Anomalies stored by a batch job, followed as a stream."""
+    """Anomalies stored by a batch job, those of a device in one file, followed as a stream: a stream reads file by file."""
     out = scratch(spark, "anomalies")
-    anomalies(spark, sf).write.parquet(out)
+    anomalies(spark, sf).repartition(*sc.DEVICE).write.parquet(out)
     return streamed(spark, jobs.cooldown_stream(replay_stream(spark, out), COOLDOWN, None).select("event_id"), "cooldown")
 
 
