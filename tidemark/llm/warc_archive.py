@@ -112,18 +112,19 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/heads").join(held, ["digest", "slot"], "left")
     text = F.decode("head", "UTF-8")
     lost = F.raise_error(F.concat(F.lit("no payload of digest "), F.col("digest")))
-    digest = F.when(F.col("payload_digest").isNotNull(), F.col("payload_digest")).otherwise(lost.cast("string"))
+    sound = lambda c, kind: F.when(F.col("payload_digest").isNotNull(), F.col(c)).otherwise(lost.cast(kind))
+    payload = sound("payload", "binary")
     kind = field(text, "WARC-Type")
     refers = F.regexp_extract(F.coalesce(field(text, "WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)>", 1)
     return rows.select(
         "page_id",
         kind.alias("record_type"),
         F.when(refers != "", refers).cast("long").alias("refers_to"),
-        "payload_bytes",
-        digest.alias("payload_digest"),
+        sound("payload_bytes", "long").alias("payload_bytes"),
+        sound("payload_digest", "string").alias("payload_digest"),
         "head",
-        "payload",
-        F.concat("head", F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))).alias("record"),
+        payload.alias("payload"),
+        F.concat("head", F.when(kind == "revisit", F.lit(b"")).otherwise(payload)).alias("record"),
     )
 
 
