@@ -62,6 +62,7 @@ def positions(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
         F.monotonically_increasing_id().alias("row"),
     )
+    known = saved(known, "turns")  # hashed and counted once, not again for the sample that fixes the ranges
     by = ["conv_id", F.col("turn").asc_nulls_first(), "digest", "row"]
     sorted_ = known.repartitionByRange(*by).sortWithinPartitions(*by)
     placed = saved(sorted_.select("conv_id", "digest", "words", F.monotonically_increasing_id().alias("at")), "placed")
@@ -279,8 +280,8 @@ def rollup(nodes: DataFrame, rows: DataFrame, limit: int | None = None) -> DataF
     larger ones.
     """
     limit = limit or max(COMPONENT, nodes.count() // MOST_LARGE)
-    zero = F.lit(0).cast("long")
-    now = nodes.select(*KEY, *PARENT, "owner", "depth", "leaf", "weight", "size", F.col("leaf").alias("leaves"), F.col("weight").alias("saved"), zero.alias("c1"), zero.alias("c2"), F.lit(True).alias("alive"))
+    root = [F.col(k).bitwiseAND(0).alias(c) for k, c in zip(KEY, COMP, strict=True)]  # the root's key as columns: joins on a literal are no hash joins
+    now = nodes.select(*KEY, *PARENT, "owner", "depth", "leaf", "weight", "size", F.col("leaf").alias("leaves"), F.col("weight").alias("saved"), *root, F.lit(True).alias("alive"))
     done, small = [], []
     while True:
         alive = now.where("alive")
