@@ -16,7 +16,9 @@ from checks.oracles import sql
 from tidemark.config import (
     DEFAULT_CATALOG,
     Alerting,
+    Autoencoder,
     Detection,
+    Drift,
     Evaluation,
     HalfSpace,
     KafkaTopics,
@@ -752,7 +754,40 @@ def sk3(spark, sf):
     source, out = scratch(spark, "batches"), scratch(spark, "stored")
     resolve_tenant(raw(spark, sf), TENANCY).select("event_id", *wi.KEY, "timestamp", "metrics").repartition(4).write.parquet(source)
     jobs.start_fan_out(replay_stream(spark, source), out, f"{out}/state").awaitTermination()
-    return tables.read_table(spark, f"{out}/events").groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.flow_tables(spark, out)["events"].read().groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+FLOW_CFG = Settings(
+    tenancy=TENANCY, window_size_seconds=CFG.window_size_seconds, slide_interval_seconds=CFG.slide_interval_seconds,
+    detection=Detection(weights=CHECKED.weights, drift=Drift(enabled=False), autoencoder=Autoencoder(enabled=False)),
+    alerting=Alerting(cooldown_seconds=12 * 3600),
+)
+
+
+@query(
+    "sk2_fan_out",
+    """SELECT 'events' AS kind, tenant_id, device_id, event_id AS name, 0.0::DOUBLE AS value FROM val
+    UNION ALL SELECT 'anomalies', tenant_id, device_id, event_id, round(score, 6) FROM anom
+    UNION ALL SELECT 'alerts', tenant_id, device_id, event_id, round(score, 6) FROM cool JOIN (SELECT event_id, score FROM anom) USING (event_id) WHERE kept
+    UNION ALL SELECT 'window', tenant_id, device_id, CAST(window_no AS VARCHAR) || ' ' || field, round(avg(value) + 1e-10, 6)
+      FROM (SELECT a.*, max(window_no) OVER (PARTITION BY a.tenant_id, a.device_id, a.sensor_type) AS newest, m.field, m.value FROM arr a JOIN ml m USING (event_id))
+      WHERE w = window_no AND window_no < newest GROUP BY tenant_id, device_id, sensor_type, window_no, field""",
+)
+def sk2_fan_out(spark, sf):
+    """The whole stream into its tables, then once more from the start, as after a failure: micro-batches that count already change nothing."""
+    out = scratch(spark, "flow")
+    for attempt in ("first", "again"):
+        for q in jobs.start_flow(event_stream(spark, sf), out, f"{out}/{attempt}", cfg=FLOW_CFG, stream="flow").values():
+            q.awaitTermination()
+    found = {name: table.read() for name, table in jobs.flow_tables(spark, out).items()}
+    shape = lambda df, kind, name, value: df.select(
+        F.lit(kind).alias("kind"), "tenant_id", "device_id", name.alias("name"), r6(value).alias("value")
+    )
+    windows = found["window_stats"].filter("kind = 'window'")
+    parts = [shape(found["events"], "events", F.col("event_id"), F.lit(0.0))]
+    parts += [shape(found[k], k, F.col("event_id"), F.col("score")) for k in ("anomalies", "alerts")]
+    parts.append(shape(windows, "window", F.concat_ws(" ", F.col("window_no").cast("string"), "field"), F.col("mean") + NUDGE))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(

@@ -11,7 +11,6 @@ from tidemark.operators.alerts import alert_candidates, cooldown
 from tidemark.operators.dedup import dedup
 from tidemark.operators.windows import arrival_snapshots, arrival_windows, completed_arrival_windows, running_snapshots, tumbling
 from tidemark.plans import flow
-from tidemark.sinks import tables
 from tidemark.sources.replay import replay_stream
 from tidemark.streaming import jobs
 from tidemark.streaming.windows import window_stream
@@ -151,7 +150,7 @@ def test_clean_stream_into_tables(spark, history, tmp_path):
     seen = []
     query = jobs.start_fan_out(events_in, str(tmp_path), f"{tmp_path}/state", on_batch=lambda b, n: seen.append(b.count()))
     query.awaitTermination()
-    stored = tables.read_table(spark, f"{tmp_path}/events")
+    stored = jobs.flow_tables(spark, str(tmp_path))["events"].read()
     want = flow.clean(df, cfg)
     assert by_id(stored, "device_id") == by_id(want, "device_id")
     assert len(seen) >= 3 and sum(seen) == want.count()

@@ -52,15 +52,17 @@ def new_events(df: DataFrame, stored: DataFrame | None) -> DataFrame:
 def write_events(df: DataFrame, path: str) -> None:
     """Adds events that are not there yet; writing a batch twice changes nothing.
 
-    Only the dates the batch spans are looked at in the stored table.
+    Of the stored table only the folders of the batch's tenants and dates are
+    opened, as many as the batch writes. A job that may die halfway writes to
+    a `BatchTable` instead.
     """
     spark = df.sparkSession
     stored = None
     if _exists(spark, path):
-        first, last = dated(df).agg(F.min("date"), F.max("date")).first()
-        if first is None:
-            return
-        stored = spark.read.parquet(path).filter(F.col("date").between(F.lit(first), F.lit(last)))
+        pairs = {(r[0], str(r[1])) for r in dated(df).select(*PARTITIONS).distinct().collect()}
+        folders = [d for d, tenant, date in _partition_dirs(spark, path) if (tenant, date) in pairs]
+        if folders:
+            stored = spark.read.option("basePath", path).parquet(*folders)
     write_append(new_events(df, stored).drop("date"), path)
 
 
@@ -77,12 +79,18 @@ def retained(df: DataFrame, days: int, as_of: Column, time: str = "timestamp") -
     return df.filter(F.col(time) >= as_of - F.make_dt_interval(days=F.lit(days)))
 
 
-def _date_dirs(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(directory, date) of all partitions, from the file system's listing."""
+def _partition_dirs(spark: SparkSession, path: str) -> list[tuple[str, str | None, str]]:
+    """(directory, tenant, date) of all partitions, from the file system's listing."""
     hadoop = spark._jvm.org.apache.hadoop.fs
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(hadoop.Path(f"{path.rstrip('/')}/tenant_id=*/date=*"))
-    return [(s.getPath().toString(), s.getPath().getName().split("=", 1)[1]) for s in found]
+    value = lambda p: names.unescapePathName(p.getName().split("=", 1)[1])
+    out = []
+    for s in found:
+        tenant, date = value(s.getPath().getParent()), value(s.getPath())
+        out.append((s.getPath().toString(), None if tenant == names.DEFAULT_PARTITION_NAME() else tenant, date))
+    return out
 
 
 def apply_retention(spark: SparkSession, path: str, days: int, as_of: str) -> list[str]:
@@ -90,7 +98,7 @@ def apply_retention(spark: SparkSession, path: str, days: int, as_of: str) -> li
     cutoff = spark.range(1).select(F.to_date(F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(days)))).first()[0]
     hadoop = spark._jvm.org.apache.hadoop.fs
     removed = []
-    for directory, date in _date_dirs(spark, path):
+    for directory, _, date in _partition_dirs(spark, path):
         if date < str(cutoff):
             p = hadoop.Path(directory)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -100,13 +108,18 @@ def apply_retention(spark: SparkSession, path: str, days: int, as_of: str) -> li
 
 def compact(spark: SparkSession, path: str, target: str, older_than_days: int, as_of: str) -> None:
     """Rewrites date partitions older than the given age into `target`:
-    few zstd files, sorted so that row-group statistics prune by type, device and time."""
+    few zstd files, sorted so that row-group statistics prune by type, device and time.
+
+    Each tenant and date replaces what `target` held of it, so a second run
+    changes nothing. Within one table, `BatchTable.compact` rewrites and swaps.
+    """
     cutoff = F.to_date(F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(older_than_days)))
     old = spark.read.parquet(path).filter(F.col("date") < cutoff)
     (
         old.repartitionByRange(*PARTITIONS, *SORT)
         .sortWithinPartitions(*PARTITIONS, *SORT)
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(*PARTITIONS)
         .parquet(target)

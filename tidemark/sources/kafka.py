@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.config import KafkaTopics, Tenancy
 from tidemark.functions.expr import literal_map, present
+from tidemark.sources.json_events import parse_events, with_event_id
 
 PLACEHOLDER = "{tenant_id}"
 
 
+def _around(cfg: KafkaTopics) -> tuple[str, str | None]:
+    """What stands before and after the tenant in a topic; (topic, None) where all tenants share one."""
+    if PLACEHOLDER not in cfg.topic_template:
+        return cfg.topic, None
+    before, after = cfg.topic_template.split(PLACEHOLDER, 1)
+    return before, after
+
+
 def topic_name(tenant: str, cfg: KafkaTopics) -> str:
-    if tenant in cfg.tenant_topics:
-        return cfg.tenant_topics[tenant]
-    return cfg.topic_template.replace(PLACEHOLDER, tenant) if PLACEHOLDER in cfg.topic_template else cfg.topic
+    before, after = _around(cfg)
+    return cfg.tenant_topics.get(tenant, before if after is None else before + tenant + after)
 
 
 def consumer_topics(cfg: KafkaTopics, tenancy: Tenancy) -> list[str]:
@@ -47,11 +55,8 @@ def read_kafka(spark: SparkSession, cfg: KafkaTopics, tenancy: Tenancy = Tenancy
 
 
 def topic_for_tenant(tenant: Column, cfg: KafkaTopics) -> Column:
-    if PLACEHOLDER in cfg.topic_template:
-        before, after = cfg.topic_template.split(PLACEHOLDER, 1)
-        default = F.concat(F.lit(before), tenant, F.lit(after))
-    else:
-        default = F.lit(cfg.topic)
+    before, after = _around(cfg)
+    default = F.lit(before) if after is None else F.concat(F.lit(before), tenant, F.lit(after))
     if not cfg.tenant_topics:
         return default
     override = literal_map({k: F.lit(v) for k, v in cfg.tenant_topics.items()})
@@ -85,6 +90,12 @@ def stamp_tenant(df: DataFrame, cfg: KafkaTopics, topic: str = "topic") -> DataF
     )
 
 
+def topic_events(rows: DataFrame, cfg: KafkaTopics) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of topic rows: parsed, with the topic's tenant, and an id that a replay of the same offset repeats."""
+    events, rejects = parse_events(rows)
+    return with_event_id(stamp_tenant(events, cfg), ["topic", "partition", "offset"]), rejects
+
+
 def kafka_rows(df: DataFrame, cfg: KafkaTopics, tenancy: Tenancy = Tenancy()) -> DataFrame:
     """(topic, key, value) rows for a Kafka sink; keyed by device, so a device stays on one partition."""
     per_tenant = cfg.topic_per_tenant and tenancy.enabled

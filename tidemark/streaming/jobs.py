@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,8 +19,9 @@ from tidemark.operators.scan import OpenWindow
 from tidemark.operators.spacing import Spacing
 from tidemark.operators.scoring import DEVICE, ORDER, SENSOR, _trees, ensemble, primary_metric, with_rules
 from tidemark.operators.validate import has_errors, validate
-from tidemark.sinks.tables import write_events
+from tidemark.sinks.batches import BatchTable
 from tidemark.streaming.keyed import keyed_scan
+from tidemark.streaming.windows import window_stream
 
 # How long keyed state outlives the last event of a key, by default.
 STATE_TTL_SECONDS = 7 * 86400.0
@@ -80,13 +82,17 @@ def detect_stream(
     models=None,
     ttl_seconds: float | None = STATE_TTL_SECONDS,
 ) -> DataFrame:
-    """Anomaly rows of a stream of enriched events; one stateful step for all models of a device's sensor."""
+    """Anomaly rows of a stream of enriched events: models of a device, then models of its sensor types, as `detect` has them."""
     df = with_rules(df.select("event_id", *SENSOR, "timestamp", "metrics"), catalog)
     df = df.withColumns({"vector": metric_vector(catalog), "primary": primary_metric()})
-    models_of_key = [EwmaScore(cfg.ewma), AdwinDrift(cfg.drift), _trees(cfg.trees, catalog)]
+    by_device = [EwmaScore(cfg.ewma)] + ([AdwinDrift(cfg.drift)] if cfg.drift.enabled else [])
+    by_sensor = [_trees(cfg.trees, catalog)]
     if cfg.autoencoder.enabled:
-        models_of_key.append(OnlineAutoencoder(cfg.autoencoder, models))
-    return ensemble(keyed_scan(df, SENSOR, ORDER, models_of_key, ttl_seconds=ttl_seconds), cfg)
+        by_sensor.append(OnlineAutoencoder(cfg.autoencoder, models))
+    df = keyed_scan(df, DEVICE, ORDER, by_device, ttl_seconds=ttl_seconds)
+    df = keyed_scan(df, SENSOR, ORDER, by_sensor, ttl_seconds=ttl_seconds)
+    found = ensemble(df, cfg)
+    return found if cfg.enabled else found.filter(F.lit(False))
 
 
 def clean_stream(
@@ -125,38 +131,100 @@ def start_parquet(df: DataFrame, path: str, checkpoint: str, interval_seconds: f
     )
 
 
-def start_fan_out(
-    events: DataFrame,
-    root: str,
+def drain(df: DataFrame) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+def start_table(
+    rows: DataFrame,
+    table: BatchTable,
     checkpoint: str,
     *,
-    cfg: Settings = Settings(),
+    stream: str | None = None,
     interval_seconds: float | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Writes each micro-batch of clean events to the events table.
+    """Writes each micro-batch to a table, as a batch that counts once, so a repeated micro-batch changes nothing.
 
-    The write skips events already stored, so a repeated batch leaves the
-    table as it was. `on_batch` sees the same rows, cached for both.
+    stream: names the micro-batches together with their number; by default it follows from the checkpoint, whose
+    numbers they are. `on_batch` sees the same rows, cached for both.
     """
+    name = stream or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            write_events(batch, f"{root}/events")
+            if not table.write(f"{name}-{number:012d}", batch):
+                drain(batch)  # the state behind the rows has to move on with them
             if on_batch is not None:
                 on_batch(batch, number)
         finally:
             batch.unpersist()
 
     return (
-        events.writeStream.foreachBatch(write)
+        rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger_options(interval_seconds))
         .start()
     )
 
 
+def start_fan_out(
+    events: DataFrame,
+    root: str,
+    checkpoint: str,
+    *,
+    interval_seconds: float | None = None,
+    on_batch: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Writes each micro-batch of clean events to the events table, where an event is stored once."""
+    table = flow_tables(events.sparkSession, root)["events"]
+    return start_table(events, table, checkpoint, interval_seconds=interval_seconds, on_batch=on_batch)
+
+
+def flow_tables(spark: SparkSession, root: str) -> dict[str, BatchTable]:
+    """The tables that `start_flow` fills."""
+    return {
+        "events": BatchTable(spark, f"{root}/events", key=("event_id", "timestamp")),
+        "window_stats": BatchTable(spark, f"{root}/window_stats", time="window_start"),
+        "anomalies": BatchTable(spark, f"{root}/anomalies", key=("event_id", "timestamp")),
+        "alerts": BatchTable(spark, f"{root}/alerts", key=("event_id", "timestamp")),
+    }
+
+
+def start_flow(
+    raw: DataFrame,
+    root: str,
+    state: str,
+    *,
+    cfg: Settings = Settings(),
+    catalog: Catalog = DEFAULT_CATALOG,
+    models=None,
+    stream: str | None = None,
+    interval_seconds: float | None = None,
+) -> dict[str, StreamingQuery]:
+    """Everything from a source of sensor events to tables: clean events, window statistics and snapshots in order of
+    arrival, anomalies, and alerts.
+
+    One query a table, each with its own checkpoint under `state` and its own reading of the source, so that they
+    fail and recover on their own. `stream` is as in `start_table`.
+    """
+    dedup_ttl, ttl = (None, None) if interval_seconds is None else (3600.0, STATE_TTL_SECONDS)
+    clean = clean_stream(raw, cfg, catalog, ttl_seconds=dedup_ttl)
+    found = detect_stream(clean, cfg.detection, catalog, models, ttl)
+    rows = {
+        "events": clean,
+        "window_stats": window_stream(clean, cfg.window_size_seconds, cfg.slide_interval_seconds, order="arrival"),
+        "anomalies": found,
+        "alerts": cooldown_stream(found, cfg.alerting, ttl),
+    }
+    tables = flow_tables(raw.sparkSession, root)
+    return {
+        name: start_table(df, tables[name], f"{state}/{name}", stream=stream, interval_seconds=interval_seconds)
+        for name, df in rows.items()
+    }
+
+
 def start_alerts(
     anomalies: DataFrame,
     checkpoint: str,
