@@ -46,7 +46,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the K bytes from each position on, over document borders too."""
     if len(data) < K:
         return np.zeros(0, np.uint64)
-    sums = prefix(data.astype(np.uint64) + np.uint64(1), BASES[0])
+    sums = prefix(data, BASES[0])
     at = np.arange(len(data) - K + 1)
     return mix(spans_hash(sums, at, at + K, BASES[0]))
 
@@ -128,8 +128,15 @@ def contexts(texts: Texts, length: int, where: np.ndarray, values: np.ndarray, e
 def distinct_contexts(texts: Texts, length: int, anchor: np.ndarray, first: np.ndarray, count: np.ndarray):
     """Equal contexts as one: (group of each context, a member of each group, size of each group); groups in order of anchor."""
     end = first + count + length - 1
-    bytes_ = [mix(spans_hash(prefix(texts.data.astype(np.uint64) + np.uint64(1), b), first, end, b)) for b in BASES[:2]]
-    keys = np.stack([anchor, *bytes_, count.astype(np.uint64)], 1)
+    bytes_ = np.zeros((len(first), 2), np.uint64)
+    i = 0
+    while i < len(first):  # contexts in order of place, some SLICE bytes at a time
+        j = max(i + 1, int(np.searchsorted(end, first[i] + SLICE, "right")))
+        data = texts.data[first[i] : end[j - 1]]
+        for k, b in enumerate(BASES[:2]):
+            bytes_[i:j, k] = mix(spans_hash(prefix(data, b), first[i:j] - first[i], end[i:j] - first[i], b))
+        i = j
+    keys = np.column_stack([anchor, bytes_, count.astype(np.uint64)])
     order = np.lexsort(keys.T[::-1])
     new = np.ones(len(order), bool)
     new[1:] = (keys[order][1:] != keys[order][:-1]).any(1)

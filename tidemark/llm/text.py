@@ -76,32 +76,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+TABLE = 1 << 16  # powers kept for each base: half a megabyte, whatever the texts
+
 
+@lru_cache(maxsize=2 * len(BASES))
+def _table(base: int) -> np.ndarray:
+    p = np.full(TABLE, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i <= n; tables of a few sizes are kept."""
-    size = 1 << max(16, int(n + 1).bit_length())
-    return _powers(base, size)
+
+def _steps(base: int, n: int) -> np.ndarray:
+    """base^(TABLE * k) for as many k as n positions have blocks."""
+    p = np.full(n // TABLE + 1, pow(base, TABLE, 1 << 64), np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """Running sums of values[i] * base^i, with a zero in front."""
+    """Running sums of values[i] * base^i, with a zero in front; bytes count as one more than they are."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
+    for k, step in enumerate(_steps(base, len(values)).tolist()):
+        a, b = k * TABLE, min((k + 1) * TABLE, len(values))
+        block = values[a:b]
+        if block.dtype == np.uint8:
+            block = block.astype(np.uint64) + np.uint64(1)
+        np.cumsum(block * _table(base)[: b - a] * np.uint64(step), out=out[a + 1 : b + 1])
+        out[a + 1 : b + 1] += out[a]
     return out
 
 
 def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    return (sums[end] - sums[start]) * powers(base, len(sums))[1][start]
+    inverse = pow(base, -1, 1 << 64)
+    back = _table(inverse)[start & (TABLE - 1)] * _steps(inverse, len(sums))[start >> 16]
+    return (sums[end] - sums[start]) * back
 
 
 @dataclass
@@ -132,7 +140,7 @@ def words(texts: Texts, inside: np.ndarray) -> Words:
 
 
 def word_hashes(texts: Texts, w: Words) -> np.ndarray:
-    sums = prefix(texts.data.astype(np.uint64) + np.uint64(1), BASES[0])
+    sums = prefix(texts.data, BASES[0])
     h = spans_hash(sums, w.start, w.end, BASES[0])
     return mix(h + (w.end - w.start).astype(np.uint64) * np.uint64(BASES[1]))
 

@@ -35,7 +35,7 @@ SCORES = "doc_id long, score double, expected double, n_spans int, starts array<
 
 def grams(texts: Texts, w: Words) -> list[np.ndarray]:
     """Hashes of every word and of its beginnings; a word shorter than a beginning counts as that beginning."""
-    sums = prefix(texts.data.astype(np.uint64) + np.uint64(1), BASES[0])
+    sums = prefix(texts.data, BASES[0])
     cut = [w.end, *(np.minimum(w.end, w.start + n) for n in BEGINNINGS)]
     return [mix(spans_hash(sums, w.start, e, BASES[0]) + np.uint64(i * 0x9E3779B9)) for i, e in enumerate(cut)]
 
