@@ -29,10 +29,13 @@ UNDETERMINED = "und"
 def sample(docs: DataFrame, per_language: int, chars: int) -> dict[str, str]:
     """Text of each language for its dictionary: `chars` characters of each of `per_language` documents.
 
-    The documents are those with the smallest hashes of doc_id, so that the sample is the same in any order of rows.
+    The documents are those with the smallest hashes of doc_id, so that the sample is the same in any order of rows, and
+    the characters begin anywhere in the text, at a place that the hash gives too.
     Languages come in order of their number of documents.
     """
-    picked, count = by_hash(docs.where("length(text) > 0").select("doc_id", "lang", F.substring("text", 1, chars).alias("text")), "lang", per_language)
+    places = F.greatest(F.length("text") - chars + 1, F.lit(1))
+    block = F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(7), "doc_id"), places) + 1).cast("int"), F.lit(chars))
+    picked, count = by_hash(docs.where("length(text) > 0").select("doc_id", "lang", block.alias("text")), "lang", per_language)
     out: dict[str, list[str]] = {}
     for r in picked.select("lang", "text", "rank").orderBy("lang", "rank").collect():
         out.setdefault(r.lang, []).append(r.text)
@@ -49,7 +52,6 @@ def compressors(samples: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstan
     return made
 
 
-LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -80,7 +82,7 @@ def identify(docs: DataFrame, samples: dict[str, str], min_margin: float = 0.01,
             rows, ids, texts = [], batch.column("doc_id").to_pylist(), batch.column("text")
             for i, doc in enumerate(ids):
                 text = texts[i].as_py() or ""
-                if not made or not LETTER.search(text):
+                if not made or not any(map(str.isalpha, text)):
                     rows.append((doc, UNDETERMINED, 0.0, 0.0, True))
                     continue
                 each = sizes(letters(text), made)
