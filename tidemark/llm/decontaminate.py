@@ -134,7 +134,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Columns: doc_id, n_words, n_hit, n_items, items (their ids as strings, sorted, comma-joined), contaminated
     (n_hit > 0 and 20 * n_hit >= n_words). Words are runs of ASCII letters and digits and non-ASCII characters,
     A-Z lower-cased. One row for each document row with an id; null, empty and wordless texts have no words and
-    no hits; items without words or id count for nothing; an item given twice counts once. Without items there
+    no hits; items without words or id count for nothing; an item given twice counts once, and an id given with two
+    texts has the windows of both. Without items there
     are no hits; an empty table of documents gives no rows.
 
     The items' fingerprints fill a bit table of fixed size (2^22 bits), the only thing that is broadcast. It lets
@@ -150,7 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sizes.add(r.size)
     found = document_prints(docs, bits, sorted(sizes - {WINDOW}))
     hits = found.select("doc_id", slots).join(items.select("item_id", slots), "print").select("doc_id", "item_id").distinct()
-    held = items.groupBy("item_id", "size").agg(F.first("keys").alias("keys"))
+    held = items.select("item_id", "size", "keys").distinct()  # an id with two texts has the windows of both
     met = hits.join(held, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "size", "keys")).alias("items"))
     return extend_hits(found.select("doc_id", "n_words", "text").join(met, "doc_id", "left")).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
