@@ -100,6 +100,11 @@ def entries(hashes: np.ndarray, estimate: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def set_key(hashes: np.ndarray, first: np.ndarray, base: int) -> np.ndarray:
+    """One number for each whole set."""
+    return mix(spans_hash(prefix(hashes, base), first[:-1], first[1:], base) + np.diff(first).astype(np.uint64)).view(np.int64)
+
+
 def pack_set(hashes: np.ndarray) -> bytes:
     """The top 48 bits of sorted hashes, as steps."""
     return C.squeeze(np.diff(hashes >> np.uint64(16), prepend=np.uint64(0)))
@@ -113,15 +118,20 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 def similar_sets(texts_packed: DataFrame, reps: DataFrame, shards: int, size: int) -> DataFrame:
     """INDEXED rows of the representatives that have index entries: entries, s tokens not estimated once, and the set."""
-    told = reps.select("chunk", F.lit(0).alias("shard"), F.lit(C.ROWS).alias("row"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("body"))
+    wide = [F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("doc_id", "k1")]
+    told = reps.select("chunk", F.lit(0).alias("shard"), F.lit(C.ROWS).alias("row"), F.concat(*wide).alias("body"))
 
     def chosen(ids: np.ndarray, texts: Texts, answers: pa.Table):
         rows = np.array(answers.column("row").to_pylist(), np.int64)
         wanted = b"".join(answers.filter(pa.array(rows == C.ROWS)).column("body").to_pylist())
-        keep = np.isin(ids, np.frombuffer(wanted, ">i8").astype(np.int64))
-        keep &= np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else keep
+        wanted = set(map(tuple, np.frombuffer(wanted, ">i8").reshape(-1, 2).tolist()))
         h, first = shingle_sets(texts, size)
         n = np.diff(first)
+        keep = np.zeros(len(ids), bool)
+        for i, pair in enumerate(zip(ids.tolist(), set_key(h, first, BASES[0]).tolist(), strict=True)):
+            if pair in wanted:  # one text of each id and set
+                wanted.remove(pair)
+                keep[i] = True
         return ids[keep], h[np.repeat(keep, n)], n[keep], answers.filter(pa.array(rows < C.ROWS))
 
     def sketch(chunk: int, ids: np.ndarray, texts: Texts, answers: pa.Table) -> pa.Table:
@@ -209,12 +219,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, layout: tuple[int,
 
     def sets_of(chunk: int, ids: np.ndarray, texts: Texts) -> pa.Table:
         h, first = shingle_sets(texts, size)
-        keys = [mix(spans_hash(prefix(h, b), first[:-1], first[1:], b) + np.diff(first).astype(np.uint64)).view(np.int64) for b in BASES[:2]]
+        keys = [set_key(h, first, b) for b in BASES[:2]]
         return C.columns({"doc_id": ids, "chunk": np.full(len(ids), chunk, np.int32), "n": np.diff(first).astype(np.int32), "k1": keys[0], "k2": keys[1]}, SETS)
 
     sets = C.per_chunk(packed, sets_of, SETS)
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "chunk")).alias("rep"), F.count("*").alias("n_class"))
-    reps = classes.where("rep.doc_id IS NOT NULL").select("rep.chunk", "rep.doc_id")
+    reps = classes.where("rep.doc_id IS NOT NULL").select("rep.chunk", "rep.doc_id", "k1")
     path = scratch(spark, "jaccard-index")
     similar_sets(packed, reps, shards, size).write.parquet(path)
     indexed = spark.read.parquet(path)
