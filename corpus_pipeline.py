@@ -23,10 +23,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of similar documents the smallest doc_id stays; of rows that repeat a doc_id, one. Rows without doc_id stay."""
+    """Of every component of similar documents the smallest doc_id stays; of rows that repeat a doc_id and its text, one. Rows without doc_id stay."""
     found = jaccard_join.jaccard_components(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
+    both = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")  # two hashes of a text stand for it, so that texts are not grouped by
+    kept = kept.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), *[h.alias(f"_h{i}") for i, h in enumerate(both)])
+    kept = kept.dropDuplicates(["_id", "_h0", "_h1"]).select("_row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
