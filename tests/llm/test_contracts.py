@@ -48,14 +48,15 @@ def test_spans_of_texts_longer_than_a_slice(spark, monkeypatch):
 
 def test_power_tables_stay_small_and_hashes_depend_on_content_alone():
     rng = np.random.default_rng(6)
-    for n in (40, 1 << 16, (1 << 16) + 1, 1 << 20, 3 << 20):
+    for n in (40, rolling.TABLE, rolling.TABLE + 1, 1 << 20, 3 << 20):
         data = rng.integers(0, 256, n).astype(np.uint8)
         start = np.array([0, n // 2, n - 9])
         for b in rolling.BASES:
             one = rolling.spans_hash(rolling.prefix(data, b), start, start + 9, b)
             moved = rolling.spans_hash(rolling.prefix(np.concatenate([data[:5], data]), b), start + 5, start + 14, b)
             assert (one == moved).all()
+            assert (rolling.rolling_hash(rolling.prefix(data, b), 9, b)[start] == one).all()
             assert one[0] == sum((int(x) + 1) * pow(b, i, 1 << 64) for i, x in enumerate(data[:9])) % (1 << 64)
     kept = rolling._table.cache_info()
     assert kept.currsize <= kept.maxsize == 2 * len(rolling.BASES)
-    assert sum(rolling._table(b).nbytes for b in rolling.BASES) * 2 <= 4 << 20
+    assert sum(rolling._table(b).nbytes for b in rolling.BASES) * 2 <= 16 << 20

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunks as C
-from tidemark.llm.text import BASES, Texts, covered, mix, prefix, spans_hash, windows
+from tidemark.llm.text import BASES, Texts, covered, mix, prefix, rolling_hash, spans_hash, windows
 
 K, SAMPLE = 32, 16
 SLICE = 1 << 20
@@ -46,9 +46,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the K bytes from each position on, over document borders too."""
     if len(data) < K:
         return np.zeros(0, np.uint64)
-    sums = prefix(data, BASES[0])
-    at = np.arange(len(data) - K + 1)
-    return mix(spans_hash(sums, at, at + K, BASES[0]))
+    return mix(rolling_hash(prefix(data, BASES[0]), K, BASES[0]))
 
 
 def sampled(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray]:

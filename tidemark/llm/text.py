@@ -76,7 +76,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-TABLE = 1 << 16  # powers kept for each base: half a megabyte, whatever the texts
+TABLE_BITS = 18
+TABLE = 1 << TABLE_BITS  # powers kept for each base: two megabytes, whatever the texts
 
 
 @lru_cache(maxsize=2 * len(BASES))
@@ -101,17 +102,35 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
         block = values[a:b]
         if block.dtype == np.uint8:
             block = block.astype(np.uint64) + np.uint64(1)
-        np.cumsum(block * _table(base)[: b - a] * np.uint64(step), out=out[a + 1 : b + 1])
-        out[a + 1 : b + 1] += out[a]
+        block = block * _table(base)[: b - a]
+        if k:
+            block *= np.uint64(step)
+        np.cumsum(block, out=out[a + 1 : b + 1])
+        if k:
+            out[a + 1 : b + 1] += out[a]
     return out
 
 
 def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     inverse = pow(base, -1, 1 << 64)
-    back = _table(inverse)[start & (TABLE - 1)] * _steps(inverse, len(sums))[start >> 16]
+    if len(sums) <= TABLE:
+        return (sums[end] - sums[start]) * _table(inverse)[start]
+    back = _table(inverse)[start & (TABLE - 1)] * _steps(inverse, len(sums))[start >> TABLE_BITS]
     return (sums[end] - sums[start]) * back
 
 
+def rolling_hash(sums: np.ndarray, width: int, base: int) -> np.ndarray:
+    """`spans_hash` of the `width` items from each place on."""
+    out = sums[width:] - sums[: len(sums) - width]
+    inverse = pow(base, -1, 1 << 64)
+    for k, step in enumerate(_steps(inverse, len(out)).tolist()):
+        block = out[k * TABLE : (k + 1) * TABLE]
+        block *= _table(inverse)[: len(block)]
+        if step != 1:
+            block *= np.uint64(step)
+    return out
+
+
 @dataclass
 class Words:
     start: np.ndarray  # byte offsets in Texts.data
