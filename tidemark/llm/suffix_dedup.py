@@ -78,10 +78,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def with_places(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """At each place the rank of its value, of equals the rightmost place smallest; NONE elsewhere."""
+    """At each place the upper half of its value, of equals the rightmost place smallest; NONE elsewhere.
+
+    Half of a value will do: which place is smallest in a window still follows from the window's content alone.
+    """
     out = np.full(n, NONE)
-    rank = np.unique(values, return_inverse=True)[1].astype(np.uint64)
-    out[at] = (rank << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
+    out[at] = (values & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
     return out
 
 
