@@ -90,6 +90,65 @@ def test_adwin_keeps_exact_totals():
     assert sum(t for r in window.rows for t, _ in r) == pytest.approx(values.sum())
 
 
+def plain_adwin(values, delta):
+    """The detector over the plain list of its window: bucket borders by one value after the other, all figures from the values themselves."""
+    values = np.asarray(values, dtype=float)
+    rows, start, flags = [[]], 0, []
+    for i in range(len(values)):
+        rows[0].append(1)
+        for k in range(len(rows)):
+            if len(rows[k]) <= Adwin.MAX_BUCKETS:
+                break
+            if k + 1 == len(rows):
+                rows.append([])
+            rows[k + 1].append(rows[k].pop(0) + rows[k].pop(0))
+        changed = False
+        while (i + 1) % Adwin.CLOCK == 0 and i + 1 - start > Adwin.GRACE:
+            window = values[start : i + 1]
+            n, found, n0 = len(window), False, 0
+            confidence = np.log(2 * np.log(n) / delta)
+            for size in [size for row in rows[::-1] for size in row]:
+                n0 += size
+                n1 = n - n0
+                if n0 >= Adwin.MIN_SIDE and n1 >= Adwin.MIN_SIDE:
+                    m = 1 / (1 / (n0 - Adwin.MIN_SIDE + 1) + 1 / (n1 - Adwin.MIN_SIDE + 1))
+                    bound = np.sqrt(2 / m * window.var() * confidence) + 2 / (3 * m) * confidence
+                    found |= bool(abs(window[:n0].mean() - window[n0:].mean()) > bound)
+            if not found:
+                break
+            changed = True
+            start += rows[-1].pop(0)
+            if not rows[-1] and len(rows) > 1:
+                rows.pop()
+        flags.append(changed)
+    return flags
+
+
+def test_adwin_equals_the_plain_list(spark):
+    rng = np.random.default_rng(7)
+    shapes = [
+        np.r_[rng.normal(0, 1, 400), rng.normal(3, 1, 300), rng.normal(3, 4, 300), rng.normal(-2, 0.1, 200)],
+        np.r_[rng.random(333), 5 + rng.random(77), rng.random(500)],
+        np.cumsum(rng.normal(0, 0.2, 1500)),
+        np.full(300, 2.5),
+    ]
+    for delta in (0.002, 0.3):
+        for values in shapes:
+            want = plain_adwin(values, delta)
+            one = Adwin(delta)
+            assert [one.add(v) for v in values] == want
+            parts, many = [], Adwin(delta)
+            for part in np.split(values, [1, 2, 40, 41, 200]):
+                many = Adwin(delta, many.state())
+                parts += many.extend(part).tolist()
+            assert parts == want
+    assert sum(plain_adwin(shapes[0], 0.002)) >= 2
+    rows = [{"seconds": i, "device_id": d, "metrics": {"temperature": float(v)}} for d, values in zip("abc", shapes) for i, v in enumerate(values)]
+    got = sc.adwin_drift(events(spark, rows), Drift(check_interval_seconds=0))
+    for d, values in zip("abc", shapes):
+        assert column(got.filter(F.col("device_id") == d), "drift_detected") == plain_adwin(values, 0.002)
+
+
 def test_drift_flag_and_check_interval(spark):
     rows = series([1.0] * 100 + [10.0] * 100)
     every = column(sc.adwin_drift(events(spark, rows), Drift(adwin_delta=0.01, check_interval_seconds=0)), "drift_detected")

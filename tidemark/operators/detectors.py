@@ -438,9 +438,14 @@ class FrozenModels:
         session = self._sessions.get(id(model))
         if session is None:
             session = self._sessions[id(model)] = onnxruntime.InferenceSession(model)
-        name = session.get_inputs()[0].name
-        rows = [session.run(None, {name: row[None, :].astype(np.float32)})[0] for row in x]
-        return np.concatenate(rows)
+        first = session.get_inputs()[0]
+        x = x.astype(np.float32)
+        # a model with a fixed first dimension takes so many rows at a time; others take them all
+        step = first.shape[0] if first.shape and isinstance(first.shape[0], int) else len(x)
+        short = -len(x) % step if step else 0
+        x = np.concatenate([x, np.repeat(x[-1:], short, 0)])
+        parts = [session.run(None, {first.name: x[i : i + step]})[0] for i in range(0, len(x), max(step, 1))]
+        return np.concatenate(parts)[: len(x) - short] if parts else x
 
 
 class AdwinDrift(Recurrence):
@@ -459,25 +464,36 @@ class AdwinDrift(Recurrence):
         self.every = int(cfg.check_interval_seconds * 1_000_000)
 
     def run(self, batch, first, carry):
-        t = micros(batch.column(self.time)).tolist()
-        values = batch.column(self.value).to_pylist()
+        t = micros(batch.column(self.time))
+        values = batch.column(self.value).to_numpy(zero_copy_only=False).astype(float)
+        seen = batch.column(self.value).is_valid().to_numpy(zero_copy_only=False)
         out = np.zeros(batch.num_rows, dtype=bool)
+        bounds = run_bounds(first)
         state = carry
-        for i, value in enumerate(values):
-            if first[i] or state is None:
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if first[lo] or state is None:
                 state = [Adwin(self.cfg.adwin_delta).state(), None, False]
+            at = lo + np.flatnonzero(seen[lo:hi])  # an event without metrics is not looked at
+            if len(at):
                 window = Adwin(self.cfg.adwin_delta, state[0])
-            elif i == 0:
-                window = Adwin(self.cfg.adwin_delta, state[0])
-            if value is None:
-                continue  # an event without metrics is not looked at
-            changed = window.add(value)
-            if state[1] is None or t[i] - state[1] >= self.every:
-                state[1], state[2] = t[i], changed
-            out[i] = state[2]
-        state = [window.state(), state[1], state[2]]
+                changed = window.extend(values[at])
+                out[at], read, verdict = self._verdicts(t[at], changed, state[1], state[2])
+                state = [window.state(), read, verdict]
         return [pa.array(out)], state
 
+    def _verdicts(self, t, changed, read, verdict):
+        """(the verdict that stands at each event, time of the last reading, its verdict)."""
+        if self.every <= 0:
+            return changed, int(t[-1]), bool(changed[-1])
+        out, at = np.empty(len(t), bool), 0
+        while True:
+            stands = at if read is None else at + int(np.searchsorted(t[at:], read + self.every))
+            out[at:stands] = verdict
+            if stands >= len(t):
+                return out, read, verdict
+            read, verdict, at = int(t[stands]), bool(changed[stands]), stands + 1
+            out[stands] = verdict
+
 
 class Adwin:
     """Adaptive window (Bifet and Gavalda, 2007): an exponential histogram of
@@ -497,32 +513,43 @@ class Adwin:
         return (self.rows, self.width, self.total, self.m2, self.ticks)
 
     def add(self, value: float) -> bool:
-        self.ticks += 1
-        if self.width:
-            mean = self.total / self.width
-            self.m2 += self.width * (value - mean) ** 2 / (self.width + 1)
-        self.rows[0].append((value, 0.0))
-        self.width += 1
-        self.total += value
-        self._merge_full_rows()
-        if self.ticks % self.CLOCK or self.width <= self.GRACE:
-            return False
-        changed = False
-        while self._has_cut():
-            changed = True
-            self._drop_oldest()
+        return bool(self.extend(np.array([value], dtype=float))[0])
+
+    def extend(self, values: np.ndarray) -> np.ndarray:
+        """Takes values in order; true where a test found a change. Values between two tests enter together."""
+        changed, at = np.zeros(len(values), bool), 0
+        while at < len(values):
+            some = values[at : at + self.CLOCK - self.ticks % self.CLOCK]
+            self._insert(some)
+            at += len(some)
+            if self.ticks % self.CLOCK == 0 and self.width > self.GRACE:
+                while self._has_cut():
+                    changed[at - 1] = True
+                    self._drop_oldest()
         return changed
 
+    def _insert(self, v: np.ndarray) -> None:
+        n, total = len(v), float(v.sum())
+        gap = total / n - (self.total / self.width if self.width else 0.0)
+        self.m2 += float(((v - total / n) ** 2).sum()) + gap * gap * self.width * n / (self.width + n)
+        self.ticks += n
+        self.width += n
+        self.total += total
+        self.rows[0] += [(x, 0.0) for x in v.tolist()]
+        self._merge_full_rows()
+
     def _merge_full_rows(self):
+        """Rows that hold too many buckets merge their oldest in pairs, as many as if each value had come alone."""
         for i, row in enumerate(self.rows):
-            if len(row) <= self.MAX_BUCKETS:
+            pairs = (len(row) - self.MAX_BUCKETS + 1) // 2
+            if pairs <= 0:
                 return
-            (t1, q1), (t2, q2) = row[0], row[1]
-            n = 2**i
-            del row[:2]
             if i + 1 == len(self.rows):
                 self.rows.append([])
-            self.rows[i + 1].append((t1 + t2, q1 + q2 + (t1 - t2) ** 2 / (2 * n)))
+            n = 2**i
+            merged = [(t1 + t2, q1 + q2 + (t1 - t2) ** 2 / (2 * n)) for (t1, q1), (t2, q2) in zip(row[0 : 2 * pairs : 2], row[1 : 2 * pairs : 2])]
+            del row[: 2 * pairs]
+            self.rows[i + 1] += merged
 
     def _drop_oldest(self):
         top = len(self.rows) - 1
@@ -536,20 +563,19 @@ class Adwin:
         self.width, self.total = rest, self.total - total
 
     def _has_cut(self) -> bool:
-        n0, sum0 = 0, 0.0
-        spread = 2.0 * max(self.m2, 0.0) / self.width if self.width else 0.0
-        confidence = np.log(2.0 * np.log(self.width) / self.delta) if self.width > 1 else 0.0
-        for i in range(len(self.rows) - 1, -1, -1):
-            for total, _ in self.rows[i]:
-                n0 += 2**i
-                sum0 += total
-                n1 = self.width - n0
-                if n1 < self.MIN_SIDE:
-                    return False
-                if n0 < self.MIN_SIDE:
-                    continue
-                weight = 1.0 / (n0 - self.MIN_SIDE + 1) + 1.0 / (n1 - self.MIN_SIDE + 1)
-                bound = np.sqrt(weight * spread * confidence) + 2.0 / 3.0 * confidence * weight
-                if abs(sum0 / n0 - (self.total - sum0) / n1) > bound:
-                    return True
-        return False
+        """Whether the means on both sides of some bucket border differ too much; all borders at once."""
+        if self.width <= 1:
+            return False
+        sizes = np.repeat(2 ** np.arange(len(self.rows))[::-1], [len(r) for r in self.rows[::-1]])
+        totals = np.array([total for row in self.rows[::-1] for total, _ in row])
+        n0, sum0 = np.cumsum(sizes), np.cumsum(totals)
+        usable = (n0 >= self.MIN_SIDE) & (self.width - n0 >= self.MIN_SIDE)
+        n0, sum0 = n0[usable], sum0[usable]
+        if not len(n0):
+            return False
+        n1 = self.width - n0
+        spread = 2.0 * max(self.m2, 0.0) / self.width
+        confidence = np.log(2.0 * np.log(self.width) / self.delta)
+        weight = 1.0 / (n0 - self.MIN_SIDE + 1) + 1.0 / (n1 - self.MIN_SIDE + 1)
+        bound = np.sqrt(weight * spread * confidence) + 2.0 / 3.0 * confidence * weight
+        return bool((np.abs(sum0 / n0 - (self.total - sum0) / n1) > bound).any())
