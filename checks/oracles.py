@@ -267,7 +267,37 @@ CTES["cool"] = """
 # metrics and evaluation ----------------------------------------------------
 CTES["lat"] = """
   SELECT tenant_id, ingested_at, event_id, latency FROM val
-  QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY ingested_at DESC, event_id DESC) <= 10000
+"""
+CTES["lat500"] = """
+  SELECT tenant_id, latency FROM val
+  QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY ingested_at DESC, event_id DESC) <= 500
+"""
+CTES["inj"] = """
+  SELECT *, CASE WHEN label = 'drift:vibration' THEN row_number() OVER (PARTITION BY device_id, label ORDER BY ts, event_id) END AS nth
+  FROM (SELECT *, CASE WHEN draw < 0.02 THEN CASE sensor_type
+      WHEN 'industrial' THEN ['spike:temperature', 'drift:vibration', 'flatline:pressure'][CAST(floor(pick * 3) AS INT) + 1]
+      WHEN 'vehicle' THEN 'spike:engine_rpm' WHEN 'network' THEN 'spike:bytes_in' END END AS label
+    FROM (SELECT *, CAST('0x' || substr(md5(event_id || '|42'), 1, 8) AS BIGINT) / 4294967296.0 AS draw,
+            CAST('0x' || substr(md5(event_id || '|43'), 1, 8) AS BIGINT) / 4294967296.0 AS pick FROM ev))
+"""
+# labelled rows of a wide file: one device, rules alone
+CTES["csv"] = """
+  SELECT ev.event_id, ev.ts, ev.is_anomaly, coalesce(max(greatest(
+      CASE WHEN m.value >= ca THEN 1.0 WHEN m.value >= wa THEN 0.6 ELSE 0.0 END,
+      CASE WHEN m.value <= cb THEN 1.0 WHEN m.value <= wb THEN 0.6 ELSE 0.0 END)), 0.0)::DOUBLE AS score
+  FROM ev JOIN ml m ON m.event_id = ev.event_id LEFT JOIN (VALUES ('temperature', 95.0::DOUBLE, 110.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE),
+    ('pressure', NULL, NULL, 1.0, 0.5), ('vibration', 15.0, 25.0, NULL, NULL), ('packet_loss', 1.0, 5.0, NULL, NULL))
+    r(field, wa, ca, wb, cb) ON r.field = m.field
+  GROUP BY ev.event_id, ev.ts, ev.is_anomaly
+"""
+CTES["csvc"] = """
+  SELECT t, count(*) FILTER (is_anomaly AND p) AS tp, count(*) FILTER (NOT is_anomaly AND p) AS fp,
+    count(*) FILTER (NOT is_anomaly AND NOT p) AS tn, count(*) FILTER (is_anomaly AND NOT p) AS fn
+  FROM (SELECT t, is_anomaly, score >= t OR score >= 1.0 AS p
+    FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM csv WHERE is_anomaly IS NOT NULL),
+      (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9])::DOUBLE AS t)
+    WHERE rn > least(50, n // 2))
+  GROUP BY t
 """
 CTES["latp"] = """
   SELECT tenant_id, count(*) AS samples, avg(latency) AS mean,

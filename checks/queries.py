@@ -45,9 +45,11 @@ from tidemark.operators.enrich import (
 from tidemark.operators.detectors import FrozenModels
 from tidemark.plans import dashboards as da
 from tidemark.plans import flow
+from tidemark.plans.evaluation import evaluate_csv, write_report
 from tidemark.plans import serve as se
 from tidemark.session import prepare, scratch
 from tidemark.sinks import tables
+from tidemark.sinks.batches import BatchTable
 from tidemark.sources.event_table import as_sensor_events, sensor_events
 from tidemark.sources.inject import inject_anomalies
 from tidemark.sources.json_events import parse_events
@@ -55,6 +57,7 @@ from tidemark.sources.kafka import kafka_rows, stamp_tenant, tenant_from_topic,
 from tidemark.sources.labeled_csv import read_labeled_csv
 from tidemark.sources.replay import replay_stream
 from tidemark.streaming import jobs
+from tidemark.streaming.counters import LiveCounters, settle
 from tidemark.streaming.windows import window_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,26 +275,34 @@ def src6(spark, sf):
     return raw(spark, sf).select("event_id", ntz(parse_ts(text)).alias("at"))
 
 
-@query(
-    "src7_labeled_csv",
-    """SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS sequence, ts AS at, round(v1, 6) AS temperature,
-      round(v3, 6) AS vibration, is_anomaly, CASE WHEN is_anomaly THEN 'dataset_label' END AS anomaly_label
-    FROM ev WHERE f1 = 'temperature' AND delivery = 0""",
-)
-def src7(spark, sf):
-    """The industrial readings as a wide CSV, written and read back."""
+METRICS = [f for t in DEFAULT_CATALOG.sensor_types.values() for f in t.fields] + ["humidity"]
+
+
+def wide_csv(spark, sf) -> str:
+    """All readings as a wide CSV, a column for each metric of any sensor type."""
     out = scratch(spark, "wide-csv")
-    wide = raw(spark, sf).filter(F.map_contains_key("metrics", F.lit("temperature")) & (F.col("delivery") == 0))
-    metric = lambda f: F.col("metrics")[f].alias(f)
-    wide.select(
+    raw(spark, sf).select(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
-        metric("temperature"), metric("pressure"), metric("vibration"),
+        *[F.col("metrics")[f].alias(f) for f in METRICS],
         F.col("is_anomaly").cast("int").alias("is_anomaly"),
     ).write.csv(out, header=True)
-    events = read_labeled_csv(spark, out, file="readings.csv")
+    return out
+
+
+@query(
+    "src7_labeled_csv",
+    """SELECT row_number() OVER (ORDER BY ts, src_id) - 1 AS sequence, ts AS at, CASE WHEN f1 = 'temperature' THEN round(v1, 6) END AS temperature,
+      CASE WHEN f2 = 'engine_rpm' THEN round(v2::DOUBLE, 6) END AS engine_rpm, CASE WHEN f3 = 'packet_loss' THEN round(v3::DOUBLE, 6) END AS packet_loss,
+      CAST(3 + CAST(has_humidity AS INT) AS INT) AS readings, is_anomaly, CASE WHEN is_anomaly THEN 'dataset_label' END AS anomaly_label
+    FROM ev""",
+)
+def src7(spark, sf):
+    """All readings as a wide CSV, written and read back."""
+    events = read_labeled_csv(spark, wide_csv(spark, sf), file="readings.csv")
+    metric = lambda f: r6(F.try_element_at("metrics", F.lit(f))).alias(f)
     return events.select(
-        "sequence", ntz("timestamp").alias("at"), r6(F.col("metrics")["temperature"]).alias("temperature"),
-        r6(F.col("metrics")["vibration"]).alias("vibration"), "is_anomaly", "anomaly_label",
+        "sequence", ntz("timestamp").alias("at"), metric("temperature"), metric("engine_rpm"), metric("packet_loss"),
+        F.size("metrics").alias("readings"), "is_anomaly", "anomaly_label",
     )
 
 
@@ -300,10 +311,20 @@ def src8(spark, sf):
     return streamed(spark, event_stream(spark, sf).select("sensor_type", "device_id", "event_id"), "replay")
 
 
-@query("src9_inject_anomalies")
+@query(
+    "src9_inject_anomalies",
+    """SELECT event_id, label IS NOT NULL AS is_anomaly, label AS anomaly_label,
+      round(CASE label WHEN 'spike:temperature' THEN least(120.0, v1 * 2.5) WHEN 'spike:bytes_in' THEN least(1e9, v1 * 10) ELSE v1 END, 6) AS first_metric,
+      round(CASE label WHEN 'flatline:pressure' THEN 4.5 WHEN 'spike:engine_rpm' THEN least(8000.0, v2 * 1.8) ELSE v2 END::DOUBLE, 6) AS second_metric,
+      round(CASE WHEN nth IS NOT NULL THEN least(50.0, v3 + nth * 0.05) ELSE v3 END, 6) AS third_metric FROM inj""",
+)
 def src9(spark, sf):
-    injected = inject_anomalies(raw(spark, sf).filter("delivery = 0"), rate=0.02)
-    return injected.select("event_id", "is_anomaly", "anomaly_label", r6(sc.primary_metric()).alias("first_metric"))
+    injected = inject_anomalies(raw(spark, sf), rate=0.02)
+    value = lambda i: r6(F.get(F.map_values("metrics"), F.lit(i)))
+    return injected.select(
+        "event_id", "is_anomaly", "anomaly_label",
+        value(0).alias("first_metric"), value(1).alias("second_metric"), value(2).alias("third_metric"),
+    )
 
 
 # validation ------------------------------------------------------------------
@@ -346,7 +367,7 @@ def d1(spark, sf):
 @query("d1_dedup_stream", "SELECT event_id FROM dd WHERE kept")
 def d1_stream(spark, sf):
     df = event_stream(spark, sf).select("event_id", "device_id", "timestamp", "metrics", "ingested_at")
-    return streamed(spark, jobs.dedup_stream(df, 5.0, None).select("event_id"), "dedup")
+    return streamed(spark, jobs.dedup_stream(df, 5.0).select("event_id"), "dedup")
 
 
 @query(
@@ -389,12 +410,14 @@ def e1(spark, sf):
         ('network', 'Network flow telemetry')) d(sensor_type, description)) d USING (sensor_type),
       LATERAL (SELECT unnest(['source', 'tenant', 'environment', 'sensor_type', 'tenant_id', 'ingest_hour', 'sensor_description']) AS k,
         unnest([source_tag, tag_tenant, 'local', v.sensor_type, v.tenant_id, CAST(hour(ingested_at) AS VARCHAR), description]) AS v) t
-    WHERE t.v IS NOT NULL""",
+    WHERE t.v IS NOT NULL
+    UNION ALL SELECT event_id, field || '_unit', c.unit FROM vl JOIN cat c USING (sensor_type, field)
+    UNION ALL SELECT event_id, field || '_deviation_sigma', printf('%.2f', abs(value - c.baseline) / greatest(c.noise, 1e-6))
+      FROM vl JOIN cat c USING (sensor_type, field)""",
 )
 def e2(spark, sf):
     df = enrich(flow.check(raw(spark, sf), CFG).filter("is_valid"), tenancy=TENANCY)
-    df = df.select("event_id", F.explode("enriched_tags").alias("tag", "value"))
-    return df.filter(~F.col("tag").endswith("_unit") & ~F.col("tag").endswith("_sigma"))
+    return df.select("event_id", F.explode("enriched_tags").alias("tag", "value"))
 
 
 @query(
@@ -412,11 +435,13 @@ def e3(spark, sf):
 @query(
     "e4_metric_vector",
     """SELECT event_id, c.no AS position, round(coalesce(m.value, 0.0), 6) AS value
-    FROM ev JOIN cat c USING (sensor_type) LEFT JOIN ml m USING (event_id, field)""",
+    FROM ev JOIN cat c USING (sensor_type) LEFT JOIN ml m USING (event_id, field)
+    UNION ALL
+    SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY field) AS INT), round(value, 6)
+    FROM ml WHERE sensor_type NOT IN (SELECT sensor_type FROM types)""",
 )
 def e4(spark, sf):
-    df = raw(spark, sf).filter(F.col("sensor_type").isin(list(DEFAULT_CATALOG.sensor_types)))
-    df = df.select("event_id", F.posexplode(metric_vector()).alias("pos", "v"))
+    df = raw(spark, sf).select("event_id", F.posexplode(metric_vector()).alias("pos", "v"))
     return df.select("event_id", (F.col("pos") + 1).alias("position"), r6("v").alias("value"))
 
 
@@ -807,19 +832,25 @@ def sk5(spark, sf):
 
 @query(
     "sk6_compaction",
-    f"SELECT tenant_id, CAST(ts AS DATE) AS date, count(*) AS n FROM val WHERE CAST(ts AS DATE) < CAST(TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS DATE) GROUP BY ALL",
+    f"""SELECT event_id, tenant_id, device_id, ts AS at, f1 AS field, round(v1, 6) AS value, CAST(ts AS DATE) < CAST(TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS DATE) AS packed
+    FROM val""",
 )
 def sk6(spark, sf):
-    out, packed = scratch(spark, "plain"), scratch(spark, "packed")
-    tables.write_append(valid(spark, sf).select("event_id", *wi.KEY, "timestamp", "metrics"), out)
-    tables.compact(spark, out, packed, 7, AS_OF)
-    return tables.read_table(spark, packed).groupBy("tenant_id", "date").agg(F.count(F.lit(1)).alias("n"))
+    """Old days of a table rewritten in place, twice: all rows are there once, the old ones in the compacted batch."""
+    table = BatchTable(spark, scratch(spark, "compacted"), key=("event_id", "timestamp"))
+    events = valid(spark, sf).select("event_id", *wi.KEY, "timestamp", "metrics")
+    table.write("1", events)
+    for _ in range(2):
+        table.compact("packed-1", 7, AS_OF)
+    first = F.map_entries("metrics")[0]
+    rows = table.read().withColumn("packed", F.contains(F.input_file_name(), F.lit("/batch=packed-1/")))
+    return rows.select("event_id", "tenant_id", "device_id", ntz("timestamp").alias("at"), first["key"].alias("field"), r6(first["value"]).alias("value"), "packed")
 
 
 @query("sk7_count_only", "SELECT count(*) AS events FROM ev WHERE src_id % 53 <> 0 AND src_id % 59 <> 0 AND src_id % 61 <> 0")
 def sk7(spark, sf):
     events, _ = parse_events(wire(raw(spark, sf)))
-    return spark.range(1).select(F.lit(tables.count_only(events)).cast("bigint").alias("events"))
+    return tables.event_count(events)
 
 
 # serving ---------------------------------------------------------------------
@@ -835,6 +866,15 @@ def q1_arrivals(spark, sf):
     return se.last_arrivals(valid(spark, sf), 100).select("event_id", "device_id")
 
 
+@query("q1_newest_dates", "SELECT event_id, device_id, ts AS at FROM val WHERE tenant_id = 'acme' ORDER BY ts DESC, event_id LIMIT 300")
+def q1_newest(spark, sf):
+    """The newest events of a stored table, whose older dates are not opened."""
+    table = BatchTable(spark, scratch(spark, "by-date"), key=("event_id", "timestamp"))
+    table.write("1", valid(spark, sf).select("event_id", *wi.KEY, "timestamp", "metrics"))
+    found = se.newest_first(table, se.recent_events, 300, "acme")
+    return found.select("event_id", "device_id", ntz("timestamp").alias("at"))
+
+
 @query("q2_recent_anomalies", "SELECT event_id, device_id, severity, round(score, 6) AS score FROM anom ORDER BY ts DESC, event_id LIMIT 50")
 def q2(spark, sf):
     return se.recent_anomalies(anomalies(spark, sf)).select("event_id", "device_id", "severity", r6("score").alias("score"))
@@ -880,6 +920,28 @@ def q5(spark, sf):
     )
 
 
+@query(
+    "q5_live_snapshot",
+    """SELECT 'events' AS kind, tenant_id, event_id, rn AS place, round(v1, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, event_id DESC) AS rn FROM val) WHERE rn <= 200
+    UNION ALL SELECT 'anomalies', tenant_id, event_id, rn, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, event_id DESC) AS rn FROM anom) WHERE rn <= 50""",
+)
+def q5_live(spark, sf):
+    """The dashboard's tables as a stream in four micro-batches of events leaves them."""
+    from pyspark.sql import Window as W
+
+    out = scratch(spark, "live")
+    checked, found = checked_and_found(spark, sf)
+    sources = {"events": checked.filter("is_valid").select("event_id", *wi.KEY, "timestamp", "metrics"), "anomalies": found.drop("methods")}
+    latest, tables_ = jobs.snapshot_tables(spark, out), jobs.flow_tables(spark, out)
+    for name, df in sources.items():
+        df.repartition(4).write.parquet(f"{out}/in-{name}")
+        stream = replay_stream(spark, f"{out}/in-{name}")
+        jobs.start_table(stream, tables_[name], f"{out}/state-{name}", latest=latest[name]).awaitTermination()
+    place = F.row_number().over(W.partitionBy("tenant_id").orderBy(F.desc("timestamp"), F.desc("event_id")))
+    shape = lambda name, value: latest[name].read().select(F.lit(name).alias("kind"), "tenant_id", "event_id", big(place).alias("place"), r6(value).alias("value"))
+    return shape("events", sc.primary_metric()).unionByName(shape("anomalies", F.col("score")))
+
+
 @query("q6_distinct_values", "SELECT DISTINCT device_id AS value, 'device' AS kind FROM val UNION ALL SELECT DISTINCT tenant_id, 'tenant' FROM val UNION ALL SELECT DISTINCT sensor_type, 'type' FROM val")
 def q6(spark, sf):
     df = valid(spark, sf)
@@ -1018,6 +1080,25 @@ def b8(spark, sf):
     return df.select("bucket", r6("avg").alias("avg"), r6("p95").alias("p95"))
 
 
+@query(
+    "b8_latency_sketch",
+    """SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS bucket, count(*) AS samples, round(avg(latency), 4) AS mean, true AS near FROM val GROUP BY 1""",
+)
+def b8_sketch(spark, sf):
+    """A table of sketches, filled by three batches of events, against the exact quantiles: none is off by more than 0.28 percent of the values next to it."""
+    events = stored(spark, valid(spark, sf).select("event_id", "timestamp", "ingest_latency_ms"), "latencies")
+    out = scratch(spark, "sketches")
+    for part in range(3):
+        batch = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part)
+        da.latency_sketch(batch, BUCKET).write.mode("append").parquet(out)
+    found = plain(da.sketched_quantiles(spark.read.parquet(out), (0.95,)))
+    start = F.window("timestamp", BUCKET)["start"].alias("bucket")
+    values = F.array_sort(F.collect_list("ingest_latency_ms"))
+    exact = plain(events.groupBy(start).agg(values.alias("v"))).withColumn("x", F.get("v", F.floor((F.size("v") - 1) * 0.95).cast("int")))
+    both = found.join(exact.select("bucket", "x"), "bucket")
+    return both.select("bucket", "samples", F.round("mean", 4).alias("mean"), (F.abs(F.col("p95") - F.col("x")) <= F.col("x") * 0.0028).alias("near"))
+
+
 @query("b9_anomaly_rate", f"SELECT {AT}, count(*) FILTER (is_anomaly) AS anomalies, round(avg(score), 6) AS avg_score FROM anom GROUP BY 1")
 def b9(spark, sf):
     return plain(da.anomaly_rate(anomalies(spark, sf), BUCKET)).withColumn("avg_score", r6("avg_score"))
@@ -1110,6 +1191,38 @@ def m1(spark, sf):
     return me.event_counters(*checked_and_found(spark, sf))
 
 
+@query(
+    "m1_live_counters",
+    """SELECT count(*) AS events_ingested, count(*) FILTER (is_valid) AS events_valid, count(*) FILTER (is_invalid) AS events_invalid,
+      count(*) FILTER (is_deduped) AS events_deduped, (SELECT count(*) FROM anom) AS anomalies_detected FROM cls""",
+)
+def m1_live(spark, sf):
+    """What a listener counted while the events and anomalies streams ran, a row for each micro-batch, added up."""
+    out, listener = scratch(spark, "counted"), LiveCounters()
+    spark.streams.addListener(listener)
+    try:
+        streams = jobs.start_flow(event_stream(spark, sf), out, f"{out}/state", cfg=FLOW_CFG)
+        for q in streams.values():
+            q.awaitTermination()
+        settle(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    mine = [str(streams[n].id) for n in ("events", "anomalies")]
+    rows = listener.table(spark).filter(F.col("query").isin(mine))
+    return rows.agg(*[F.sum(c).alias(c) for c in rows.columns[2:]])
+
+
+@query(
+    "m2_latency_last",
+    """SELECT tenant_id, count(*) AS samples, round(avg(latency), 6) AS mean,
+      list_sort(list(latency))[least(CAST(floor(count(*) * 95 / 100.0) AS BIGINT), count(*) - 1) + 1] AS p95 FROM lat500 GROUP BY tenant_id""",
+)
+def m2_last(spark, sf):
+    """The newest 500 samples of each tenant, the form with a bound."""
+    out = me.latency_stats(valid(spark, sf), percentiles=(95,), by=["tenant_id"], last=500)
+    return out.select("tenant_id", "samples", r6("mean").alias("mean"), "p95")
+
+
 @query("m2_latency_stats", "SELECT tenant_id, samples, round(mean, 6) AS mean, p50, p95, p99 FROM latp")
 def m2(spark, sf):
     df = me.latency_stats(valid(spark, sf), percentiles=(50, 95, 99), by=["tenant_id"])
@@ -1192,19 +1305,27 @@ def ev3(spark, sf):
     return ev.threshold_sweep(rows).select("threshold", "tp", "fp", "tn", "fn", *quality_columns())
 
 
-@query("ev4_labeled_csv")
+@query(
+    "ev4_labeled_csv",
+    """SELECT (SELECT count(*) FROM csv) AS total_events, (SELECT count(is_anomaly) FROM csv) AS labeled_events, t AS threshold, tp, fp, tn, fn,
+      round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall
+    FROM csvc UNION ALL
+    SELECT (SELECT count(*) FROM csv), (SELECT count(is_anomaly) FROM csv), -1.0, tp, fp, tn, fn,
+      round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6), round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) FROM csvc WHERE t = 0.65""",
+)
 def ev4(spark, sf):
-    """A labelled CSV of the industrial readings, all the way to the JSON report."""
-    out = scratch(spark, "labelled")
-    rows = raw(spark, sf).filter(F.map_contains_key("metrics", F.lit("temperature")) & (F.col("delivery") == 0))
-    rows.select(
-        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
-        *[F.col("metrics")[f].alias(f) for f in ("temperature", "pressure", "vibration")],
-        F.col("is_anomaly").cast("int").alias("is_anomaly"),
-    ).write.csv(out, header=True)
-    events = resolve_tenant(read_labeled_csv(spark, out, file="readings.csv"))
-    found = sc.detect(events.filter(F.col("is_anomaly").isNotNull()), FULL)
-    return ev.report_json(ev.report("readings.csv", events, found))
+    """A labelled CSV of all readings as one device's, from the file to the JSON report and back: the sweep, and the ensemble as -1."""
+    rules = Detection(weights={"rule_based": 1.0}, drift=Drift(enabled=False), autoencoder=Autoencoder(enabled=False))
+    out = scratch(spark, "report")
+    write_report(evaluate_csv(spark, wide_csv(spark, sf), dataset="readings.csv", cfg=Settings(detection=rules)), out)
+    one = "threshold double, precision double, recall double, tp long, fp long, tn long, fn long"
+    fields = one.split(", ")
+    nested = "struct<" + ", ".join(f.replace(" ", ": ") for f in fields) + ">"
+    shape = f"total_events long, labeled_events long, precision double, recall double, confusion struct<tp: long, fp: long, tn: long, fn: long>, threshold_sweep array<{nested}>"
+    r = spark.read.schema("value string").text(out).select(F.from_json("value", shape).alias("r")).select("r.*")
+    whole = F.struct(F.lit(-1.0).alias("threshold"), "precision", "recall", *[F.col(f"confusion.{c}").alias(c) for c in ("tp", "fp", "tn", "fn")])
+    rows = r.select("total_events", "labeled_events", F.inline(F.concat("threshold_sweep", F.array(whole))))
+    return rows.select("total_events", "labeled_events", "threshold", "tp", "fp", "tn", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
 @query(

@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Alerting, Detection, Drift, HalfSpace, KafkaTopics, Settings, Tenancy
+from tidemark.operators import metrics
 from tidemark.operators.alerts import alert_candidates, cooldown
+from tidemark.operators.metrics import newest
 from tidemark.operators.scoring import detect
 from tidemark.operators.windows import arrival_snapshots, arrival_windows, completed_arrival_windows
-from tidemark.plans import flow
+from tidemark.plans import dashboards, flow, serve
 from tidemark.sinks import tables
-from tidemark.sinks.batches import BatchTable
+from tidemark.sinks.batches import BatchTable, LatestTable
 from tidemark.sources.kafka import kafka_rows, topic_events
 from tidemark.sources.replay import replay_stream
 from tidemark.streaming import jobs
@@ -125,6 +127,8 @@ def history(spark, tmp_path_factory):
         kind = "industrial" if i % 3 else "vehicle"
         if kind == "vehicle":
             metrics = {"speed": float((i * 53) % 200), "engine_rpm": 2000.0 + i, "fuel_level": 50.0}
+        if i % 11 == 5:
+            metrics["temperature" if kind == "industrial" else "speed"] = 5000.0  # out of range
         rows.append({"seconds": i * 1.0, "ingested": i + (0.5 if i % 5 else 0.9), "device_id": "ab"[i % 2], "sensor_type": kind, "metrics": metrics})
     df = events(spark, rows).cache()
     path = str(tmp_path_factory.mktemp("flow"))
@@ -177,8 +181,85 @@ def test_topics_into_the_flow(spark, history, tmp_path):
     rows = rows.unionByName(rows.limit(1).withColumn("value", F.lit("{")))
     rows.coalesce(1).write.parquet(f"{tmp_path}/topic")
     parsed, rejects = topic_events(replay_stream(spark, f"{tmp_path}/topic"), cfg)
-    events_in = jobs.clean_stream(parsed, CFG, ttl_seconds=None)
+    events_in = jobs.clean_stream(parsed, CFG)
     jobs.start_fan_out(events_in, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     stored = jobs.flow_tables(spark, f"{tmp_path}/out")["events"].read()
-    assert {r["tenant_id"] for r in stored.collect()} == {"acme"} and len(ids(stored)) == df.count()
+    assert {r["tenant_id"] for r in stored.collect()} == {"acme"} and len(ids(stored)) == flow.clean(df, CFG).count()
     assert "reject_reason" in rejects.columns
+
+
+def test_live_counters_equal_the_batch(spark, history, tmp_path):
+    from tidemark.operators.metrics import event_counters
+    from tidemark.streaming.counters import LiveCounters, settle
+
+    df, path = history
+    listener = LiveCounters()
+    spark.streams.addListener(listener)
+    try:
+        queries = jobs.start_flow(replay_stream(spark, path), f"{tmp_path}/out", f"{tmp_path}/state", cfg=CFG)
+        run(queries)
+        settle(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    checked = flow.with_tenant(flow.check(df, CFG), CFG)
+    want = event_counters(checked, detect(flow.clean(df, CFG), CFG.detection)).first().asDict()
+    assert want["events_invalid"] > 0 and listener.totals() == want
+    events_of = [r for r in listener.batches() if r[0] == str(queries["events"].id)]
+    assert [r[2] for r in events_of] == [40, 40, 40]  # ingested by micro-batch
+    # what the dashboard reads, after three micro-batches
+    latest = jobs.snapshot_tables(spark, f"{tmp_path}/out")
+    clean = flow.clean(df, CFG)
+    assert by_id(latest["events"].read(), "metrics") == by_id(clean, "metrics")
+    assert len(latest["events"].manifests()) >= 3
+
+
+def test_latest_rows_of_each_tenant(spark, tmp_path):
+    table = LatestTable(spark, str(tmp_path / "latest"), n=4, order=("timestamp", "event_id"), key=("event_id", "timestamp"))
+    batches = [some(spark, 0, 1).unionByName(some(spark, 5, tenant="acme")), some(spark, 0, 2), some(spark, 9, tenant="acme").unionByName(some(spark, 2))]
+    seen = None
+    for i, b in enumerate(batches):
+        seen = b if seen is None else seen.unionByName(b)
+        for _ in range(2):  # the second time changes nothing
+            table.write(str(i), b)
+        want = newest(seen.dropDuplicates(["event_id"]), ["tenant_id"], 4, ["timestamp", "event_id"])
+        assert by_id(table.read(), "tenant_id", "metrics") == by_id(want, "tenant_id", "metrics")
+    assert table.vacuum() and ids(table.read()) == ids(want)
+
+
+def test_newest_rows_open_the_newest_dates(spark, table):
+    table.write("1", some(spark, *range(12)))
+    table.write("2", some(spark, 10, tenant="acme"))
+    everything = table.read()
+    for limit, dates in ((2, 1), (3, 1), (4, 2), (10, 4), (30, 12), (100, 12)):
+        got = serve.newest_first(table, serve.recent_events, limit, "default")
+        want = serve.recent_events(everything, limit, "default")
+        assert [r["event_id"] for r in got.collect()] == [r["event_id"] for r in want.collect()]
+        assert len(opened(got)) == dates
+    assert opened(serve.newest_first(table, serve.recent_events, 2, "acme")) == {"batch=2/tenant_id=acme/date=2024-01-11"}
+    rare = serve.newest_first(table, serve.recent_events, 1, None, "nobody")
+    assert rare.count() == 0
+
+
+def test_old_dates_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    tables.write_append(some(spark, 0, 1, 2, 3), path)
+    at = F.lit("2024-01-03 12:00:00").cast("timestamp")
+    for df in (dashboards.since(spark.read.parquet(path), at, "24 hours"), tables.retained(spark.read.parquet(path), 1, at)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(date" in plan
+    assert dashboards.event_count(spark.read.parquet(path), at, "24 hours").first()[0] == 3
+
+
+def test_sketches_add_up_and_are_near(spark):
+    rows = [(g, float(v)) for g, f in (("a", lambda i: 1.5**(i % 60)), ("b", lambda i: (i * 7919 % 4001) / 7 + 0.01), (None, lambda i: 3.0)) for v in map(f, range(2000))]
+    df = spark.createDataFrame(rows + [("a", None), ("c", -5.0), ("c", 0.0)], "g string, v double").repartition(4)
+    whole = {r["g"]: r for r in metrics.sketch_quantiles(metrics.quantile_sketch(df, "v", ["g"]), (0.5, 0.95), ["g"]).collect()}
+    parts = [metrics.quantile_sketch(df.filter(F.pmod(F.xxhash64("v"), F.lit(3)) == i), "v", ["g"]) for i in range(3)]
+    added = metrics.merged_sketch(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["g"])
+    got = {r["g"]: r for r in metrics.sketch_quantiles(added, (0.5, 0.95), ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        values = sorted(v for k, v in [*rows, ("c", -5.0), ("c", 0.0)] if k == g)
+        assert got[g]["samples"] == len(values) and got[g]["mean"] == pytest.approx(sum(values) / len(values))
+        for f in (0.5, 0.95):
+            exact = values[int((len(values) - 1) * f)]
+            assert got[g][f"p{f * 100:g}"] == pytest.approx(whole[g][f"p{f * 100:g}"]) and abs(got[g][f"p{f * 100:g}"] - exact) <= abs(exact) * 0.0028

@@ -47,7 +47,7 @@ def run(spark, df, tmp_path):
 
 def test_dedup(spark, history, tmp_path):
     df, path = history
-    out = run(spark, jobs.dedup_stream(replay_stream(spark, path), 5.0, None), tmp_path)
+    out = run(spark, jobs.dedup_stream(replay_stream(spark, path), 5.0), tmp_path)
     assert by_id(out, "device_id") == by_id(dedup(df, 5.0), "device_id")
 
 
@@ -146,7 +146,7 @@ def test_a_late_event_is_in_the_next_snapshot_and_in_no_window(spark, tmp_path):
 def test_clean_stream_into_tables(spark, history, tmp_path):
     df, path = history
     cfg = Settings(tenancy=Tenancy(enabled=True))
-    events_in = jobs.clean_stream(replay_stream(spark, path), cfg, ttl_seconds=None)
+    events_in = jobs.clean_stream(replay_stream(spark, path), cfg)
     seen = []
     query = jobs.start_fan_out(events_in, str(tmp_path), f"{tmp_path}/state", on_batch=lambda b, n: seen.append(b.count()))
     query.awaitTermination()

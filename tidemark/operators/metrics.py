@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,24 +59,6 @@ def latency_stats(
     return nearest_rank(sample, value, percentiles, by)
 
 
-def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Distinct values with the range of ranks [lo, hi) they cover, and the group's size.
-
-    Equal values are counted before the shuffle; the running sum then streams
-    over distinct values, sorted and spillable, instead of holding a group.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    up_to = group.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        counts.withColumn("hi", F.sum("c").over(up_to))
-        .withColumn("n", F.sum("c").over(group))
-        .withColumn("lo", F.col("hi") - F.col("c"))
-    )
-
-
 def _bin(v: Column) -> Column:
     """A bin of a number that never falls as the number grows: 256 to each power of two, so under 2**20 in all."""
     v = v.cast("double")
@@ -82,8 +66,12 @@ def _bin(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(1 << 20)).when(v == 0, F.lit(0)).when(v < 0, -size).otherwise(size).cast("bigint")
 
 
-def nearest_rank(df: DataFrame, value: str, percentiles: tuple[float, ...], by: list[str]) -> DataFrame:
-    """Exact: a histogram per group finds the bins that hold the ranks, then only values in those bins are ordered."""
+def _at_ranks(df: DataFrame, value: str, by: list[str], ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """n, mean and the values at the given ranks (from 0) as r0, r1, ... of each group, exact.
+
+    A histogram per group finds the bins that hold the ranks; then only values in those bins are ordered, so no task
+    holds or orders a group.
+    """
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("v"))
@@ -98,8 +86,8 @@ def nearest_rank(df: DataFrame, value: str, percentiles: tuple[float, ...], by:
         .withColumn("n", F.sum("_c").over(group))
         .withColumn("_sum", F.sum("_sum").over(group))
     )
-    ranks = [F.least(F.floor(F.col("n") * float(p) / 100.0), F.col("n") - 1) for p in percentiles]
-    inside = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")) for r in ranks]
+    wanted = ranks(F.col("n"))
+    inside = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")) for r in wanted]
     hits = bins.filter(F.exists(F.array(*inside), lambda x: x))
     hits = hits.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_bin").alias("_at"), "_before", "n", "_sum")
     same = F.col("_bin") == F.col("_at")
@@ -108,30 +96,58 @@ def nearest_rank(df: DataFrame, value: str, percentiles: tuple[float, ...], by:
     within = W.partitionBy(*by, "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = counts.join(hits, same).withColumn("hi", F.col("_before") + F.sum("c").over(within))
     lo = F.col("hi") - F.col("c")
-    picks = [F.max(F.when((lo <= r) & (r < F.col("hi")), F.col("v"))).alias(f"p{p:g}") for p, r in zip(percentiles, ranks)]
+    picks = [F.max(F.when((lo <= r) & (r < F.col("hi")), F.col("v"))).alias(f"r{i}") for i, r in enumerate(wanted)]
     mean = F.max("_sum") / F.max("n")
-    return ranked.groupBy(*by).agg(F.max("n").alias("samples"), mean.alias("mean"), *picks)
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), mean.alias("mean"), *picks)
+
+
+def nearest_rank(df: DataFrame, value: str, percentiles: tuple[float, ...], by: list[str]) -> DataFrame:
+    """samples, mean and the percentiles of each group."""
+    ranks = lambda n: [F.least(F.floor(n * float(p) / 100.0), n - 1) for p in percentiles]
+    found = _at_ranks(df, value, by, ranks)
+    return found.select(*by, F.col("n").alias("samples"), "mean", *[F.col(f"r{i}").alias(f"p{p:g}") for i, p in enumerate(percentiles)])
 
 
 def interpolated(df: DataFrame, value: str, fraction: float, by: list[str], name: str) -> DataFrame:
     """Linearly interpolated quantile per group (percentile_cont), plus the mean, exact."""
-    ranked = _ranked(df, value, by)
-    at = (F.col("n") - 1) * float(fraction)
-    below, above = F.floor(at), F.ceil(at)
-    pick = lambda r: F.max(F.when((F.col("lo") <= r) & (r < F.col("hi")), F.col("v")))
-    return (
-        ranked.groupBy(*by)
-        .agg(
-            (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
-            pick(below).alias("_a"),
-            pick(above).alias("_b"),
-            F.max(at - below).alias("_f"),
-        )
-        .withColumn(name, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-        .drop("_a", "_b", "_f")
+    at = lambda n: (n - 1) * float(fraction)
+    found = _at_ranks(df, value, by, lambda n: [F.floor(at(n)), F.ceil(at(n))])
+    between = F.col("r0") + (F.col("r1") - F.col("r0")) * (at(F.col("n")) - F.floor(at(F.col("n"))))
+    return found.select(*by, "mean", between.alias(name))
+
+
+SKETCH = ("bin", "n", "total", "low", "high")
+
+
+def quantile_sketch(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """A sketch of the values of each group, as rows: count, sum, least and greatest value of each bin.
+
+    Bins are a 256th of a power of two, so a quantile is off by less than 0.28 percent. Sketches of parts add up:
+    `merged_sketch` of any of them, in any order, is the sketch of the whole.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    return rows.groupBy(*by, _bin(F.col("_v")).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("low"), F.max("_v").alias("high")
+    )
+
+
+def merged_sketch(sketches: DataFrame, by: list[str]) -> DataFrame:
+    return sketches.groupBy(*by, "bin").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")
     )
 
 
+def sketch_quantiles(sketch: DataFrame, fractions: tuple[float, ...], by: list[str]) -> DataFrame:
+    """samples, mean and the quantiles (0.95 as p95) of each group, from a sketch with one row a bin: a group has 2^20 bins at most."""
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    up_to = group.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = sketch.withColumn("_hi", F.sum("n").over(up_to)).withColumn("_all", F.sum("n").over(group))
+    rank = lambda f: F.floor((F.col("_all") - 1) * float(f))
+    hit = lambda f: (F.col("_hi") - F.col("n") <= rank(f)) & (rank(f) < F.col("_hi"))
+    picks = [F.max(F.when(hit(f), F.col("total") / F.col("n"))).alias(f"p{f * 100:g}") for f in fractions]
+    return ranked.groupBy(*by).agg(F.sum("n").alias("samples"), (F.sum("total") / F.sum("n")).alias("mean"), *picks)
+
+
 def bucket_label(bound: float) -> str:
     return f"<={bound:g}"
 

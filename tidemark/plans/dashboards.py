@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import half_up
-from tidemark.operators.metrics import interpolated
+from tidemark.operators.metrics import interpolated, merged_sketch, quantile_sketch, sketch_quantiles
 from tidemark.operators.windows import time_bucket
 
 
 def since(df: DataFrame, as_of: Column, lookback: str = "1 hour", tenant_regex: str | None = None) -> DataFrame:
-    """Rows after as_of - lookback and up to as_of; the pattern may match anywhere in the tenant."""
-    out = df.filter((F.col("timestamp") > as_of - F.expr(f"interval {lookback}")) & (F.col("timestamp") <= as_of))
+    """Rows after as_of - lookback and up to as_of; the pattern may match anywhere in the tenant. A stored table's dates are pruned."""
+    first = as_of - F.expr(f"interval {lookback}")
+    out = df.filter((F.col("timestamp") > first) & (F.col("timestamp") <= as_of))
+    if "date" in df.columns:
+        out = out.filter((F.col("date") >= F.to_date(first)) & (F.col("date") <= F.to_date(as_of)))
     return out if tenant_regex is None else out.filter(F.col("tenant_id").rlike(tenant_regex))
 
 
@@ -68,7 +71,8 @@ def metric_avg(df, field: str, sensor_type: str, interval, between=None) -> Data
 
 
 def latency_quantiles(df, interval, between=None, *, approximate: bool = False) -> DataFrame:
-    """Average and interpolated 95th percentile per bucket; `approximate` trades exactness for one small sketch."""
+    """Average and interpolated 95th percentile per bucket; `approximate` trades exactness for one small sketch. A panel
+    that is drawn again and again reads a table of `latency_sketch` rows instead."""
     rows = in_range(df, between)
     if approximate:
         p95 = F.percentile_approx("ingest_latency_ms", 0.95).alias("p95")
@@ -78,6 +82,17 @@ def latency_quantiles(df, interval, between=None, *, approximate: bool = False)
     return exact.withColumnRenamed("mean", "avg")
 
 
+def latency_sketch(df, interval) -> DataFrame:
+    """Rows of a table of sketches, one sketch a bucket: each batch adds its own, `sketched_quantiles` adds them up."""
+    start = F.window("timestamp", interval)["start"].alias("bucket")
+    return quantile_sketch(df.select(start, "ingest_latency_ms"), "ingest_latency_ms", ["bucket"])
+
+
+def sketched_quantiles(sketches, fractions=(0.95,)) -> DataFrame:
+    """Per bucket: samples, mean and quantiles, off by less than 0.28 percent."""
+    return sketch_quantiles(merged_sketch(sketches, ["bucket"]), fractions, ["bucket"])
+
+
 def anomaly_rate(anomalies, interval, between=None) -> DataFrame:
     aggs = [F.count_if("is_anomaly").alias("anomalies"), F.avg("score").alias("avg_score")]
     return time_bucket(in_range(anomalies, between), interval, aggs)

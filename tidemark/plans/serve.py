@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tidemark.config import METHODS
 from tidemark.functions.expr import span_us
 from tidemark.operators.enrich import for_tenant
 from tidemark.operators.metrics import newest
+from tidemark.sinks.batches import BatchTable
 
 
 def _recent(df, tenant, device, order: list[str], limit: int) -> DataFrame:
@@ -19,7 +23,7 @@ def _recent(df, tenant, device, order: list[str], limit: int) -> DataFrame:
 
 
 def recent_events(df: DataFrame, limit: int = 100, tenant: str | None = None, device: str | None = None) -> DataFrame:
-    """Newest events first; a top-k, not a sort of the table."""
+    """Newest events first, 1000 at most as the interface has it; a top-k, not a sort of the table."""
     return _recent(df, tenant, device, ["timestamp", "event_id"], min(limit, 1000))
 
 
@@ -32,16 +36,41 @@ def last_arrivals(df: DataFrame, limit: int = 100, tenant: str | None = None, de
 
 
 def recent_anomalies(df: DataFrame, limit: int = 50, tenant: str | None = None, device: str | None = None) -> DataFrame:
+    """Newest anomalies first, 500 at most as the interface has it."""
     return _recent(df, tenant, device, ["timestamp", "event_id"], min(limit, 500))
 
 
 def recent_window_stats(
     df: DataFrame, limit: int = 100, tenant: str | None = None, device: str | None = None
 ) -> DataFrame:
+    """Newest window statistics first, 500 at most as the interface has it."""
     order = ["window_end", "tenant_id", "device_id", "sensor_type", "window_start", "field"]
     return _recent(df, tenant, device, order, min(limit, 500))
 
 
+def newest_first(
+    table: BatchTable, query: Callable[..., DataFrame], limit: int, tenant: str | None = None, device: str | None = None, *, span_days: int = 0
+) -> DataFrame:
+    """`recent_events`, `recent_anomalies` or `recent_window_stats` (as `query`) of a stored table, from its newest dates.
+
+    Dates are opened from the newest on, twice as many with each try, until `limit` rows are there: rows of an older
+    date cannot be newer. Which dates there are the manifests tell. span_days: days that a row's sort time may lie
+    behind its date, for windows that begin on one day and end on another.
+    """
+    tenants = None if tenant is None else [tenant]
+    dates, take = table.dates(tenants), 1
+    while True:
+        last = dates[min(take, len(dates)) - 1] if dates else None
+        found = query(table.read(since=last, tenants=tenants), limit, tenant, device)
+        if take >= len(dates) or found.count() >= limit:
+            break
+        take *= 2
+    if not span_days or take >= len(dates):
+        return found
+    first = (dt.date.fromisoformat(last) - dt.timedelta(days=span_days)).isoformat()
+    return query(table.read(since=first, tenants=tenants), limit, tenant, device)
+
+
 def device_summary(df: DataFrame, tenant: str | None = None) -> DataFrame:
     """Per device: type, tenant, event count, last time seen and the metrics reported then."""
     latest = F.struct("timestamp", "event_id")
@@ -55,6 +84,7 @@ def device_summary(df: DataFrame, tenant: str | None = None) -> DataFrame:
 
 
 def list_devices(df: DataFrame, tenant: str | None = None, limit: int = 200) -> DataFrame:
+    """Devices seen last first, 500 at most as the interface has it."""
     return device_summary(df, tenant).orderBy(F.desc("last_seen"), "device_id").limit(min(limit, 500))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.metrics import newest
 from tidemark.sinks.tables import PARTITIONS, SORT, between, dated
 
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder of a null
@@ -32,6 +33,7 @@ class Manifest:
     batch: str
     pairs: tuple[tuple[str, str], ...]  # folders of tenant and date
     replaces: tuple[str, ...] = ()  # batches whose rows this one holds for its pairs
+    whole: bool = False  # they are replaced for all of their pairs
 
 
 class BatchTable:
@@ -67,7 +69,7 @@ class BatchTable:
         if not any(n.endswith(".json") for n in self._names(folder)):
             return []
         found = self.spark.read.text(f"{folder}/*.json", wholetext=True).collect()
-        return sorted((Manifest(m["batch"], tuple(map(tuple, m["pairs"])), tuple(m["replaces"])) for m in (json.loads(r.value) for r in found)), key=lambda m: m.batch)
+        return sorted((Manifest(m["batch"], tuple(map(tuple, m["pairs"])), tuple(m["replaces"]), m["whole"]) for m in (json.loads(r.value) for r in found)), key=lambda m: m.batch)
 
     def _commit(self, manifest: Manifest) -> None:
         draft = self._at(f"{self.path}/_batches/_{uuid.uuid4().hex}")
@@ -81,12 +83,13 @@ class BatchTable:
     def _folders(self, pairs=None) -> list[str]:
         """Folders of committed batches that hold one of the pairs, or any."""
         current = self.manifests()
+        dropped = {b for m in current if m.whole for b in m.replaces}
         gone = {(b, p) for m in current for b in m.replaces for p in m.pairs}
         return [
             f"{self.path}/batch={m.batch}/{tenant}/{date}"
             for m in current
             for tenant, date in m.pairs
-            if (m.batch, (tenant, date)) not in gone and (pairs is None or (tenant, date) in pairs)
+            if m.batch not in dropped and (m.batch, (tenant, date)) not in gone and (pairs is None or (tenant, date) in pairs)
         ]
 
     # rows
@@ -117,12 +120,13 @@ class BatchTable:
         """The folders that rows go to: as many as the batch writes, whatever its rows."""
         return {(self._folder("tenant_id", r[0]), self._folder("date", r[1])) for r in rows.select(*PARTITIONS).distinct().collect()}
 
-    def _store(self, batch: str, rows: DataFrame, replaces: tuple[str, ...]) -> None:
+    def _store(self, batch: str, rows: DataFrame, replaces: tuple[str, ...], whole: bool = False) -> None:
         out = f"{self.path}/batch={batch}"
-        spread = rows if replaces else rows.hint("rebalance", *PARTITIONS)
-        spread.write.mode("overwrite").option("compression", "zstd" if replaces else "snappy").partitionBy(*PARTITIONS).parquet(out)
+        packed = bool(replaces) and not whole
+        spread = rows if packed else rows.hint("rebalance", *PARTITIONS)
+        spread.write.mode("overwrite").option("compression", "zstd" if packed else "snappy").partitionBy(*PARTITIONS).parquet(out)
         pairs = tuple((t, d) for t in self._names(out) if "=" in t for d in self._names(f"{out}/{t}") if "=" in d)
-        self._commit(Manifest(batch, pairs, replaces))
+        self._commit(Manifest(batch, pairs, replaces, whole))
 
     def _read(self, folders: list[str]) -> DataFrame | None:
         if not folders:
@@ -133,6 +137,12 @@ class BatchTable:
         reader = self.spark.read.schema(T.StructType([*kept, *types.fields])).option("basePath", self.path)
         return reader.parquet(*folders)
 
+    def dates(self, tenants: list[str] | None = None) -> list[str]:
+        """Dates that hold rows (of some tenants), newest first; from the manifests alone."""
+        wanted = None if tenants is None else {self._folder("tenant_id", t) for t in tenants}
+        found = {f.rsplit("date=", 1)[1] for f in self._folders() if wanted is None or f.split("/")[-2] in wanted}
+        return sorted(found - {NO_VALUE}, reverse=True)
+
     def read(self, since: str | None = None, until: str | None = None, tenants: list[str] | None = None) -> DataFrame:
         """Rows of all committed batches, or those of a time range and of some tenants: other folders are not opened."""
         day = lambda text: dt.datetime.fromisoformat(text).date().isoformat() if text else None
@@ -177,3 +187,26 @@ class BatchTable:
         for folder in gone:
             self._fs.delete(self._at(f"{self.path}/{folder}"), True)
         return sorted(gone)
+
+
+class LatestTable(BatchTable):
+    """The `n` newest rows of each tenant, refreshed batch by batch; a batch that is repeated changes nothing.
+
+    Each version is a batch that replaces the one before, of at most n rows a tenant, whatever has gone by. Rows of the
+    same key count once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, n: int, order: tuple[str, ...], key: tuple[str, ...], time: str = "timestamp"):
+        super().__init__(spark, path, time=time, key=key)
+        self.n, self.order = n, order
+
+    def write(self, batch: str, df: DataFrame) -> bool:
+        if self.committed(batch):
+            return False
+        now = self.manifests()
+        rows, old = dated(df, self.time), self._read(self._folders())
+        if old is not None:
+            rows = rows.unionByName(old.drop("batch"), allowMissingColumns=True)
+        rows = newest(rows.dropDuplicates(list(self.key)), ["tenant_id"], self.n, list(self.order))
+        self._store(batch, rows, tuple(m.batch for m in now), whole=True)
+        return True

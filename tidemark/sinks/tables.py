@@ -75,8 +75,10 @@ def write_anomalies(anomalies: DataFrame, path: str) -> None:
 
 
 def retained(df: DataFrame, days: int, as_of: Column, time: str = "timestamp") -> DataFrame:
-    """Rows not older than `days` at `as_of`."""
-    return df.filter(F.col(time) >= as_of - F.make_dt_interval(days=F.lit(days)))
+    """Rows not older than `days` at `as_of`; dates of a stored table that lie wholly before are not read."""
+    first = as_of - F.make_dt_interval(days=F.lit(days))
+    kept = df.filter(F.col(time) >= first)
+    return kept.filter(F.col("date") >= F.to_date(first)) if "date" in df.columns else kept
 
 
 def _partition_dirs(spark: SparkSession, path: str) -> list[tuple[str, str | None, str]]:
@@ -126,6 +128,11 @@ def compact(spark: SparkSession, path: str, target: str, older_than_days: int, a
     )
 
 
+def event_count(df: DataFrame) -> DataFrame:
+    """One row with the number of events, for loads whose rows nobody keeps."""
+    return df.agg(F.count(F.lit(1)).alias("events"))
+
+
 def count_only(df: DataFrame) -> int:
     """Parses everything and keeps nothing but the count."""
     from pyspark.sql import Observation

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT_CATALOG, AnomalyPattern, Catalog, MetricField
 from tidemark.functions.expr import by_sensor_type
 
-_SPAN = 1_000_000
-
-
 def _draw(*parts) -> Column:
     """A number in [0, 1) that depends on the event only, not on partitioning."""
-    return F.pmod(F.xxhash64(*parts), F.lit(_SPAN)) / float(_SPAN)
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def _changed(p: AnomalyPattern, d: MetricField, value: Column, drift: Column) -> Column:

@@ -36,9 +36,8 @@ def wide_to_events(
     numbered by time. Without a time column, times are a second apart.
     """
     value_cols = value_cols or numeric_columns(df.drop("row"), timestamp_col, label_col)
-    metrics = F.map_from_entries(
-        F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in value_cols])
-    )
+    cells = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in value_cols])
+    metrics = F.map_from_entries(F.filter(cells, lambda e: e["value"].isNotNull()))  # an empty cell is no reading
     if timestamp_col in df.columns:
         kind = df.schema[timestamp_col].dataType
         time = F.col(timestamp_col).cast("timestamp")

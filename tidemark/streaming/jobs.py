@@ -19,23 +19,26 @@ from tidemark.operators.scan import OpenWindow
 from tidemark.operators.spacing import Spacing
 from tidemark.operators.scoring import DEVICE, ORDER, SENSOR, _trees, ensemble, primary_metric, with_rules
 from tidemark.operators.validate import has_errors, validate
-from tidemark.sinks.batches import BatchTable
-from tidemark.streaming.keyed import keyed_scan
+from tidemark.sinks.batches import BatchTable, LatestTable
+from tidemark.streaming.counters import observe_checked, observe_found, observe_kept
+from tidemark.streaming.keyed import bucket_spacing, keyed_scan
 from tidemark.streaming.windows import window_stream
 
 # How long keyed state outlives the last event of a key, by default.
 STATE_TTL_SECONDS = 7 * 86400.0
 
 
-def dedup_stream(df: DataFrame, window_seconds: float = 5.0, ttl_seconds: float | None = 3600.0) -> DataFrame:
-    """Kept deliveries, exact: the greedy rule with one small state per event key.
+def dedup_stream(df: DataFrame, window_seconds: float = 5.0, delay_seconds: float = 60.0, buckets: int = 128) -> DataFrame:
+    """Kept deliveries, exact: the greedy rule, for buckets of event keys at a time.
 
-    The time to live must exceed the window plus the delay between arrival and processing.
+    Nearly every event has a key of its own, so keys are dealt into buckets, each one state; a hot device is spread
+    over all of them. A key is forgotten once the window and `delay_seconds`, by which deliveries may come out of
+    order, lie behind the newest one.
     """
     narrow = df.withColumn("dedup_key", dedup_key())
     spacing = Spacing("ingested_at", seconds_to_us(window_seconds), strict=True)
-    scanned = keyed_scan(narrow, ["dedup_key"], ["ingested_at", "event_id"], [spacing], ttl_seconds=ttl_seconds)
-    return scanned.filter("kept").drop("kept", "prev_anchor", "dedup_key")
+    keep = window_seconds + delay_seconds
+    return bucket_spacing(narrow, "dedup_key", ["ingested_at", "event_id"], spacing, keep_seconds=keep, buckets=buckets).drop("dedup_key")
 
 
 def dedup_stream_approx(df: DataFrame, window_seconds: float = 5.0) -> DataFrame:
@@ -101,15 +104,20 @@ def clean_stream(
     catalog: Catalog = DEFAULT_CATALOG,
     *,
     exact_dedup: bool = True,
-    ttl_seconds: float | None = 3600.0,
+    delay_seconds: float = 60.0,
+    observe: bool = False,
 ) -> DataFrame:
-    """Valid, deduplicated and enriched events of a stream of sensor events."""
+    """Valid, deduplicated and enriched events of a stream of sensor events; `observe` for `LiveCounters`."""
     checked = validate(raw, catalog)
+    if observe:
+        checked = observe_checked(checked)
     # an invalid event takes part in deduplication, as in a batch
     if exact_dedup:
-        kept = dedup_stream(checked, cfg.dedup_window_seconds, ttl_seconds)
+        kept = dedup_stream(checked, cfg.dedup_window_seconds, delay_seconds)
     else:
         kept = dedup_stream_approx(checked, cfg.dedup_window_seconds)
+    if observe:
+        kept = observe_kept(kept)
     if cfg.drop_invalid:
         kept = kept.filter(~has_errors())
     return enrich(kept, catalog, environment=cfg.environment, tenancy=cfg.tenancy)
@@ -140,6 +148,7 @@ def start_table(
     table: BatchTable,
     checkpoint: str,
     *,
+    latest: LatestTable | None = None,
     stream: str | None = None,
     interval_seconds: float | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
@@ -147,7 +156,7 @@ def start_table(
     """Writes each micro-batch to a table, as a batch that counts once, so a repeated micro-batch changes nothing.
 
     stream: names the micro-batches together with their number; by default it follows from the checkpoint, whose
-    numbers they are. `on_batch` sees the same rows, cached for both.
+    numbers they are. `latest` is refreshed, and `on_batch` called, with the same rows, cached for all.
     """
     name = stream or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
@@ -156,6 +165,8 @@ def start_table(
         try:
             if not table.write(f"{name}-{number:012d}", batch):
                 drain(batch)  # the state behind the rows has to move on with them
+            if latest is not None:
+                latest.write(f"{name}-{number:012d}", batch)
             if on_batch is not None:
                 on_batch(batch, number)
         finally:
@@ -192,6 +203,12 @@ def flow_tables(spark: SparkSession, root: str) -> dict[str, BatchTable]:
     }
 
 
+def snapshot_tables(spark: SparkSession, root: str) -> dict[str, LatestTable]:
+    """What a dashboard shows, kept fresh by `start_flow`: the newest 200 events and 50 anomalies of each tenant."""
+    newest = lambda name, n: LatestTable(spark, f"{root}/latest_{name}", n=n, order=("timestamp", "event_id"), key=("event_id", "timestamp"))
+    return {"events": newest("events", 200), "anomalies": newest("anomalies", 50)}
+
+
 def start_flow(
     raw: DataFrame,
     root: str,
@@ -204,23 +221,24 @@ def start_flow(
     interval_seconds: float | None = None,
 ) -> dict[str, StreamingQuery]:
     """Everything from a source of sensor events to tables: clean events, window statistics and snapshots in order of
-    arrival, anomalies, and alerts.
+    arrival, anomalies, and alerts; and the tables of `snapshot_tables`, refreshed with every micro-batch. What it
+    observes, `LiveCounters` counts.
 
     One query a table, each with its own checkpoint under `state` and its own reading of the source, so that they
     fail and recover on their own. `stream` is as in `start_table`.
     """
-    dedup_ttl, ttl = (None, None) if interval_seconds is None else (3600.0, STATE_TTL_SECONDS)
-    clean = clean_stream(raw, cfg, catalog, ttl_seconds=dedup_ttl)
+    ttl = None if interval_seconds is None else STATE_TTL_SECONDS
+    clean = clean_stream(raw, cfg, catalog)
     found = detect_stream(clean, cfg.detection, catalog, models, ttl)
     rows = {
-        "events": clean,
+        "events": clean_stream(raw, cfg, catalog, observe=True),
         "window_stats": window_stream(clean, cfg.window_size_seconds, cfg.slide_interval_seconds, order="arrival"),
-        "anomalies": found,
+        "anomalies": observe_found(found),
         "alerts": cooldown_stream(found, cfg.alerting, ttl),
     }
-    tables = flow_tables(raw.sparkSession, root)
+    tables, latest = flow_tables(raw.sparkSession, root), snapshot_tables(raw.sparkSession, root)
     return {
-        name: start_table(df, tables[name], f"{state}/{name}", stream=stream, interval_seconds=interval_seconds)
+        name: start_table(df, tables[name], f"{state}/{name}", latest=latest.get(name), stream=stream, interval_seconds=interval_seconds)
         for name, df in rows.items()
     }
 

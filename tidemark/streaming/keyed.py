@@ -12,11 +12,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.operators.scan import Recurrence
+from tidemark.functions.expr import seconds_to_us
+from tidemark.operators.scan import Recurrence, micros
+from tidemark.operators.spacing import Spacing
 
 STATE = T.StructType([T.StructField("carries", T.BinaryType())])
 
@@ -67,6 +70,50 @@ class KeyedRecurrence(StatefulProcessor):
         pass
 
 
+class BucketSpacing(StatefulProcessor):
+    """The greedy spacing of very many short-lived keys: a bucket of keys is one state and one array operation.
+
+    The state holds, per key, the time of the last kept row, as long as it is at most `keep_us` behind the latest time.
+    """
+
+    def __init__(self, schema: T.StructType, key: str, order: list[str], spacing: Spacing, keep_us: int):
+        self.schema, self.key, self.order, self.spacing, self.keep = schema, key, order, spacing, keep_us
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("kept", STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.key, *self.order], kind="stable", ignore_index=True)
+        known, latest = pickle.loads(self.state.get()[0]) if self.state.exists() else ({}, None)
+        keys = frame[self.key].tolist()
+        starts = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+        times = pa.array(pd.to_datetime(frame[self.spacing.time], utc=True), pa.timestamp("us", tz="UTC"))
+        batch = pa.RecordBatch.from_arrays([times], names=[self.spacing.time])
+        states = {i: known[keys[i]] for i in starts if keys[i] in known}
+        (kept, _), _ = self.spacing.resume(batch, np.array(starts), states)
+        kept = kept.to_numpy(zero_copy_only=False)
+        at = micros(times)
+        latest = int(at.max()) if latest is None else max(latest, int(at.max()))
+        known.update(zip(frame[self.key][kept].tolist(), at[kept].tolist(), strict=True))
+        self.state.update((pickle.dumps(({k: t for k, t in known.items() if t >= latest - self.keep}, latest)),))
+        yield frame[self.schema.names][kept]
+
+    def close(self) -> None:
+        pass
+
+
+def bucket_spacing(df: DataFrame, key: str, order: list[str], spacing: Spacing, *, keep_seconds: float, buckets: int) -> DataFrame:
+    """The rows of a stream that `spacing` keeps for each value of `key`, whose rows arrive out of order by keep_seconds at most."""
+    use_rocksdb(df.sparkSession)
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=BucketSpacing(df.schema, key, order, spacing, seconds_to_us(keep_seconds)),
+        outputStructType=df.schema,
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that keyed processors need."""
     spark.conf.set(
