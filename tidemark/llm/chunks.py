@@ -45,10 +45,12 @@ def expand(body: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
 
 
-def sizes(docs: DataFrame) -> tuple[int, int]:
-    """(chunks, shards) for the bytes of all texts: the one figure that fixes the layout, from one aggregation."""
+def sizes(docs: DataFrame, pieces: int = 1) -> tuple[int, int]:
+    """(chunks, shards) for the bytes of all texts: the one figure that fixes the layout, from one aggregation.
+
+    pieces: how many chunks take the place of one, where a chunk's own arrays are large."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return chunk_count(total), shard_count(total / 6)
+    return chunk_count(pieces * total), shard_count(total / 6)
 
 
 def chunk_count(total: float) -> int:

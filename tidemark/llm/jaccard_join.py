@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, layout: tuple[int,
     texts have an empty set and are linked with nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    chunks, shards = layout or C.sizes(docs)
+    chunks, shards = layout or C.sizes(docs, pieces=2)
     packed = C.packed(docs, chunks)
 
     def sets_of(chunk: int, ids: np.ndarray, texts: Texts) -> pa.Table:
