@@ -33,6 +33,7 @@ CTES["ev0"] = """
     event_id AS seq, CASE WHEN event_id % 10 = 9 THEN NULL ELSE value >= 200 END AS is_anomaly
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k, user_id % 3 AS st FROM events)
 """
+# fixed values: the sensor catalog
 CTES["cat"] = """
   SELECT * FROM (VALUES
     ('industrial', 'temperature', 'celsius', -20.0::DOUBLE, 120.0::DOUBLE, 65.0::DOUBLE, 2.0::DOUBLE, 1),
@@ -226,6 +227,7 @@ CTES["stat"] = """
                             ELSE least(1.0, abs(value - m) / sqrt(greatest(s, 1e-9)) / 3.5) END) AS statistical
   FROM ew GROUP BY event_id
 """
+# fixed values: rules by field
 CTES["rl"] = """
   SELECT event_id, field, pos, greatest(
       CASE WHEN value >= ca THEN 1.0 WHEN value >= wa THEN 0.6 ELSE 0.0 END,

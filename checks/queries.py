@@ -725,6 +725,7 @@ def al2_stream(spark, sf):
     return streamed(spark, jobs.cooldown_stream(replay_stream(spark, out), COOLDOWN, None).select("event_id"), "cooldown")
 
 
+# fixed values: the colours of severities
 @query(
     "al3_payload",
     """SELECT event_id, CAST(to_json({'attachments': [{'color': CASE severity WHEN 'low' THEN '#36a64f' WHEN 'medium' THEN '#daa038'

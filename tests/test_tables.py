@@ -10,7 +10,7 @@ from tidemark.config import DEFAULT_CATALOG, Evaluation, Settings
 from tidemark.operators import evaluate as ev
 from tidemark.operators import metrics as me
 from tidemark.operators import scoring as sc
-from tidemark.plans import flow
+from tidemark.plans import dashboards, flow
 from tidemark.plans import serve as se
 from tidemark.sinks import tables
 from tidemark.sources.inject import inject_anomalies
@@ -133,6 +133,10 @@ def test_evaluation_equals_the_loop(spark):
     assert tuple(got[c] for c in ("tp", "fp", "tn", "fn")) == count([(a, predicted(e, 0.65)) for e, a in kept])
     for r in ev.threshold_sweep(eval_rows).collect():
         assert tuple(r[c] for c in ("tp", "fp", "tn", "fn")) == count([(a, predicted(e, r["threshold"])) for e, a in kept])
+    # by the score alone, which every row carries (0 where nothing was emitted)
+    for r in ev.threshold_sweep(eval_rows, (0.2, 0.5, 0.8), use_raw_scores=True).collect():
+        reached = lambda e: (found[e][2] if e in found else 0.0) >= r["threshold"]  # noqa: B023, E731
+        assert tuple(r[c] for c in ("tp", "fp", "tn", "fn")) == count([(a, reached(e)) for e, a in kept])
     methods = {r["method"]: r for r in ev.evaluate_methods(eval_rows, 0.5).collect()}
     want = count([(a, e in found and found[e][3]["statistical"] >= 0.5) for e, a in kept])
     assert tuple(methods["statistical"][c] for c in ("tp", "fp", "tn", "fn")) == want
@@ -174,3 +178,13 @@ def test_detection_reads_the_table_once_per_shuffle(spark, tmp_path):
     plan = sc.detect(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "tags" not in plan.split("ReadSchema")[1]
+
+
+def test_tenant_rate_counts_steps_once(spark):
+    rng = random.Random(2)
+    df = events(spark, [{"seconds": rng.random() * 4000, "metrics": GOOD, "tenant_id": rng.choice("ab")} for _ in range(300)])
+    for seconds, step in ((600, "2 minutes"), (600, "10 minutes"), (60, "7 seconds"), (3600, "1 hour"), (90, None)):
+        frame = F.window("timestamp", f"{seconds} seconds", step) if step else F.window("timestamp", f"{seconds} seconds")
+        want = df.groupBy("tenant_id", frame.alias("w")).count().select("tenant_id", F.col("w.end").alias("at"), (F.col("count") / float(seconds)).alias("rate"))
+        got = dashboards.tenant_rate(df, seconds, step)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -14,6 +14,9 @@ from tidemark.operators.metrics import interpolated, merged_sketch, quantile_ske
 from tidemark.operators.windows import time_bucket
 
 
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
 def since(df: DataFrame, as_of: Column, lookback: str = "1 hour", tenant_regex: str | None = None) -> DataFrame:
     """Rows after as_of - lookback and up to as_of; the pattern may match anywhere in the tenant. A stored table's dates are pruned."""
     first = as_of - F.expr(f"interval {lookback}")
@@ -121,14 +124,25 @@ def anomaly_table(anomalies, n: int = 50) -> DataFrame:
 
 
 def tenant_rate(df, seconds: int, step: str | None = None, *, time: str = "timestamp") -> DataFrame:
-    """Events per second and tenant over a trailing window, at each step (default: one window)."""
-    width = f"{seconds} seconds"
-    frame = F.window(time, width, step) if step else F.window(time, width)
-    return (
-        df.groupBy("tenant_id", frame.alias("_w"))
-        .agg((F.count(F.lit(1)) / float(seconds)).alias("rate"))
-        .select("tenant_id", F.col("_w.end").alias("at"), "rate")
-    )
+    """Events per second and tenant over a trailing window, at each step (default: one window).
+
+    Events are counted by step first; where the window is a number of whole steps, only these counts are copied into
+    the windows they belong to.
+    """
+    rate = lambda n: (n / float(seconds)).alias("rate")
+    width = F.expr(f"INTERVAL {seconds} SECONDS")
+    frame = F.window(time, step or f"{seconds} seconds")
+    if step is None:
+        return df.groupBy("tenant_id", frame.alias("_w")).agg(rate(F.count(F.lit(1)))).select("tenant_id", F.col("_w.end").alias("at"), "rate")
+    amount, unit = step.split()
+    each = int(amount) * UNITS.get(unit.rstrip("s"), 0)
+    if not each or seconds % each:
+        sliding = F.window(time, f"{seconds} seconds", step)
+        return df.groupBy("tenant_id", sliding.alias("_w")).agg(rate(F.count(F.lit(1)))).select("tenant_id", F.col("_w.end").alias("at"), "rate")
+    steps = df.groupBy("tenant_id", frame.alias("_w")).agg(F.count(F.lit(1)).alias("n"))
+    first, last = F.col("_w.end"), F.col("_w.start") + width
+    ends = F.explode(F.sequence(first, last, F.expr(f"INTERVAL {step}")))
+    return steps.select("tenant_id", "n", ends.alias("at")).groupBy("tenant_id", "at").agg(rate(F.sum("n"))).select("tenant_id", "at", "rate")
 
 
 def tenant_totals(classified: DataFrame, anomalies: DataFrame) -> DataFrame:

@@ -20,13 +20,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder.
 
-    A cluster names it in spark.checkpoint.dir. Only a session without one
-    (unit tests, local runs) gets a temporary folder.
+    A cluster names it in spark.checkpoint.dir. Only a session on one machine
+    (unit tests, local runs) gets a temporary folder where none is named.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if not configured and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("a cluster names a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-"))
         current = sc.getCheckpointDir()
     return configured or current
