@@ -78,6 +78,31 @@ def test_rollup_ignores_a_batch_that_was_not_finished(spark):
     assert rollup.totals().count() == 0 and rollup.commit("x", row) and rollup.totals().first().n_tokens == 5
 
 
+def test_rollup_reads_stored_totals_and_forgets_no_batch(spark, monkeypatch):
+    monkeypatch.setattr(token_rollup.Rollup, "RECENT", 3)
+    monkeypatch.setattr(token_rollup.Rollup, "KEPT", 2)
+    rollup = token_rollup.Rollup(spark, scratch(spark, "rollup-long"))
+    cols = "kind string, source string, lang string, tokenizer string, n_tokens long, was_tokens long"
+    row = lambda i: spark.createDataFrame([("insert", f"s{i % 2}", "en", "t", i, None), ("insert", "gone", "en", "t", 1, None), ("delete", "gone", "en", "t", None, 1)], cols)
+    for i in range(8):
+        assert rollup.commit(f"b{i}", row(i))
+    assert not any(rollup.commit(f"b{i}", row(99)) for i in range(8))  # those of the log entry and those before it
+    totals = rollup.totals()
+    assert sorted(tuple(r) for r in totals.collect()) == [("s0", "en", "t", 4, 12), ("s1", "en", "t", 4, 16)]
+    assert len({f.rsplit("/", 2)[1] for f in totals.inputFiles()}) == 1  # one version, no log of deltas
+    assert len([n for n in rollup._names("") if n.startswith("totals-")]) == 2 and len(rollup._names("_log")) == 2
+
+
+def test_rollup_query_on_empty_and_repeated_rows(spark, tmp_path):
+    rows = [(1, "a b 12", "x", "en"), (1, "a b 12", "x", "en"), (2, "a b 12", "x", "en"), (3, None, None, "de"), (None, "q", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for name, some in (("some", df), ("none", df.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in token_rollup.op3_token_rollup(spark, f"{tmp_path}/some").collect()}
+    assert got["x", "en", "words-1"] == (2, 4) and got[None, "de", "words-1"] == (1, 0) and got["x", None, "alnum-1"] == (1, 1)
+    assert token_rollup.op3_token_rollup(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_stages(spark, docs, no_docs, small_corpus):
     sf = "/root/testdata/sf0.001"
     for stage_docs in (docs, no_docs):

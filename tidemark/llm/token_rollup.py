@@ -1,16 +1,22 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
-A batch of changes is reduced to one signed row per key and written under its
-batch id. A batch counts once it is written whole, and a batch that was written
-before is not written again, so repeating a commit, after a failure or by
-mistake, changes nothing. Totals are sums, so batches can come in any order.
+A batch of changes is reduced to one signed row per key and added to the totals,
+which are stored: reading them costs their own few rows, whatever has been
+committed. Each commit writes a new version of the totals, and then, as one
+step, a log entry that names it and the batches in it. A batch that was
+committed before is not added again, so repeating a commit, after a failure or
+by mistake, changes nothing. Totals are sums, so batches can come in any order.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.skew import join_groups
 from tidemark.session import scratch
 
 KEY = ("source", "lang", "tokenizer")
@@ -37,50 +43,88 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals under a folder all executors share."""
+    """Totals under a folder all executors share; one writer at a time.
+
+    The log entry lists the last RECENT batch ids; each older one has a file of its own in `_batches`, written before
+    the entry lets go of it. Of old versions the last KEPT stay, for readers that began with them.
+    """
+
+    RECENT, KEPT = 1000, 10
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, batch: str):
-        if not batch or "/" in batch or batch[0] in "._":
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _state(self) -> dict:
+        """The newest log entry."""
+        entries = [n for n in self._names("_log") if n.endswith(".json")]
+        if not entries:
+            return {"number": 0, "totals": None, "recent": []}
+        return json.loads(self.spark.read.text(f"{self.path}/_log/{entries[-1]}", wholetext=True).first().value)
+
+    def _write_file(self, name: str, text: str) -> None:
+        """A small file that is there whole or not at all."""
+        draft, at = self._at(f"{self.path}/_draft-{uuid.uuid4().hex}"), self._at(f"{self.path}/{name}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.mkdirs(at.getParent())
+        if not self._fs.rename(draft, at):
+            raise RuntimeError(f"{name} is there already: another writer was at work")
+
+    def committed(self, batch: str, state: dict | None = None) -> bool:
+        if not batch or not all(c.isalnum() or c in "-_." for c in batch) or batch[0] in "._":
             raise ValueError(f"no batch id: {batch!r}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def committed(self, batch: str) -> bool:
-        fs, path = self._folder(batch)
-        return fs.exists(path)
+        return batch in (state or self._state())["recent"] or self._fs.exists(self._at(f"{self.path}/_batches/{batch}"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Write a batch; False if it was committed before. What a failed attempt left behind is overwritten."""
-        if self.committed(batch):
+        """Add a batch to the totals; False if it was added before. What a failed attempt left behind is not seen."""
+        state = self._state()
+        if self.committed(batch, state):
             return False
-        signed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        rows = signed(changes)
+        if state["totals"]:
+            rows = self._read(state["totals"]).unionByName(rows).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        number = state["number"] + 1
+        version = f"totals-{number:012d}-{uuid.uuid4().hex[:8]}"
+        rows.where("n_docs <> 0 OR n_tokens <> 0").write.parquet(f"{self.path}/{version}")
+        recent = [*state["recent"], batch]
+        for old in recent[: -self.RECENT]:
+            if not self._fs.exists(self._at(f"{self.path}/_batches/{old}")):
+                self._write_file(f"_batches/{old}", "")
+        self._write_file(f"_log/{number:012d}.json", json.dumps({"number": number, "totals": version, "recent": recent[-self.RECENT :]}))
+        gone = f"{number - self.KEPT:012d}"
+        for name in [f"_log/{gone}.json", *(n for n in self._names("") if n.startswith(f"totals-{gone}"))]:
+            self._fs.delete(self._at(f"{self.path}/{name}"), True)
         return True
 
+    def _read(self, version: str) -> DataFrame:
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/{version}")
+
     def totals(self) -> DataFrame:
         """Sums over all committed batches; keys whose documents and tokens have all gone are left out."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
-        paths = [f"{self.path}/{n}" for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch="))]
-        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
-        sums = rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 OR n_tokens <> 0")
+        version = self._state()["totals"]
+        return self._read(version) if version else self.spark.createDataFrame([], TOTALS)
 
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted under both tokenizers, exact copies of a smaller doc_id deleted, counts of the others
-    revised after digits are masked; the revision is delivered twice."""
+    revised after digits are masked; the revision is delivered twice. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     masked = F.regexp_replace("text", "[0-9]+", "")
     each = [F.struct(F.lit(t).alias("tokenizer"), count_tokens(F.col("text"), t).alias("before"), count_tokens(masked, t).alias("after")) for t in TOKENIZERS]
     path = scratch(spark, "token-counts")
     docs.select("doc_id", "source", "lang", F.md5("text").alias("digest"), F.array(*each).alias("counts")).write.parquet(path)
     counted = spark.read.parquet(path)
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    judged = counted.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    first = counted.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    # a text that many documents share is no hot key, and one that none shares needs no partner
+    judged = join_groups(counted, first.where("n > 1"), ["digest"], "n", counted.count())
+    judged = judged.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("n")
     rows = judged.select("source", "lang", "copy", F.explode("counts").alias("c")).select("source", "lang", "copy", "c.*")
     changes = lambda kind, now, was: rows.select(F.lit(kind).alias("kind"), *KEY, now.alias("n_tokens"), was.alias("was_tokens"), "copy")
     before, after, none = F.col("before"), F.col("after"), F.lit(None).cast("long")
