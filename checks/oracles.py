@@ -222,6 +222,27 @@ CTES["ews"] = """
     0.1 * e.value + 0.9 * r.m, 0.1 * (e.value - r.m) * (e.value - r.m) + 0.9 * r.s
   FROM ews r JOIN ews0 e ON e.device_id = r.device_id AND e.tenant = r.tenant AND e.field = r.field AND e.rn = r.rn + 1
 """
+# a network that keeps the mean of the scaled inputs; 0.05 weighs the new value in the running mean and spread
+CTES["fz0"] = """
+  SELECT tenant_id, device_id, sensor_type, event_id, v1::DOUBLE AS x, v2::DOUBLE AS y, v3::DOUBLE AS z,
+    row_number() OVER (PARTITION BY tenant_id, device_id, sensor_type ORDER BY ts, event_id) AS rn FROM val
+"""
+CTES["fz"] = """
+  SELECT tenant_id, device_id, sensor_type, rn, event_id, x, y, z, x AS mx, y AS my, z AS mz,
+    0.95005::DOUBLE AS sx, 0.95005::DOUBLE AS sy, 0.95005::DOUBLE AS sz FROM fz0 WHERE rn = 1
+  UNION ALL
+  SELECT e.tenant_id, e.device_id, e.sensor_type, e.rn, e.event_id, e.x, e.y, e.z,
+    0.95 * r.mx + 0.05 * e.x, 0.95 * r.my + 0.05 * e.y, 0.95 * r.mz + 0.05 * e.z,
+    0.95 * r.sx + 0.05 * (abs(e.x - (0.95 * r.mx + 0.05 * e.x)) + 1e-3),
+    0.95 * r.sy + 0.05 * (abs(e.y - (0.95 * r.my + 0.05 * e.y)) + 1e-3),
+    0.95 * r.sz + 0.05 * (abs(e.z - (0.95 * r.mz + 0.05 * e.z)) + 1e-3)
+  FROM fz r JOIN fz0 e ON e.device_id = r.device_id AND e.tenant_id = r.tenant_id AND e.sensor_type = r.sensor_type AND e.rn = r.rn + 1
+"""
+CTES["fzm"] = """
+  SELECT event_id, ((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2) / 3 AS mse
+  FROM (SELECT event_id, greatest(-10.0, least(10.0, (x - mx) / sx)) AS a, greatest(-10.0, least(10.0, (y - my) / sy)) AS b,
+          greatest(-10.0, least(10.0, (z - mz) / sz)) AS c FROM fz)
+"""
 CTES["stat"] = """
   SELECT event_id, max(CASE WHEN rn < 20 THEN 0.0
                             ELSE least(1.0, abs(value - m) / sqrt(greatest(s, 1e-9)) / 3.5) END) AS statistical

@@ -696,6 +696,13 @@ def a8(spark, sf):
     return df.select("event_id", r6("autoencoder").alias("autoencoder"), r6("ae_recon_mse").alias("ae_recon_mse"))
 
 
+@query("a8_frozen_all", "SELECT event_id, round(least(1.0, mse / 0.15), 6) AS autoencoder, round(mse, 6) AS ae_recon_mse FROM fzm")
+def a8_all(spark, sf):
+    """All sensor types by the frozen network, which SQL can follow."""
+    df = sc.score_frozen(valid(spark, sf), FrozenModels({}, default=frozen_models().by_type["vehicle"]))
+    return df.select("event_id", r6("autoencoder").alias("autoencoder"), r6("ae_recon_mse").alias("ae_recon_mse"))
+
+
 @query("a9_detect")
 def a9(spark, sf):
     return plain(sc.detect(valid(spark, sf), FULL).drop("methods"))
