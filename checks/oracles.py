@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from tidemark.config import HalfSpace
+from tidemark.operators.detectors import HalfSpaceTrees
+
 CTES: dict[str, str] = {}
 
 CTES["ev"] = """
@@ -243,6 +246,44 @@ CTES["fzm"] = """
   FROM (SELECT event_id, greatest(-10.0, least(10.0, (x - mx) / sx)) AS a, greatest(-10.0, least(10.0, (y - my) / sy)) AS b,
           greatest(-10.0, least(10.0, (z - mz) / sz)) AS c FROM fz)
 """
+
+
+def splits(cfg: HalfSpace, dims: int = 3) -> str:
+    """The random splits that the seed gives, as rows: tree, node, feature (from 1), threshold."""
+    feature, threshold = HalfSpaceTrees(cfg).forest(dims)
+    rows = (f"({t}, {n}, {feature[t, n] + 1}, {float(threshold[t, n])!r}::DOUBLE)" for t in range(cfg.n_trees) for n in range(1, 2**cfg.height))
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") s(tree, node, f, cut)"
+
+
+# half-space trees of 16 events a window: nodes each event visits, and the mass that the window before left in them
+CTES["spl"] = splits(HalfSpace(window=16))
+CTES["hx"] = """
+  SELECT v.event_id, v.tenant_id, v.device_id, v.sensor_type, (v1 - a.lo) / (a.hi - a.lo) AS x1, (v2::DOUBLE - b.lo) / (b.hi - b.lo) AS x2,
+    (v3::DOUBLE - c.lo) / (c.hi - c.lo) AS x3,
+    (row_number() OVER (PARTITION BY v.tenant_id, v.device_id, v.sensor_type ORDER BY v.ts, v.event_id) - 1) // 16 AS slot
+  FROM val v JOIN cat a ON a.field = v.f1 JOIN cat b ON b.field = v.f2 JOIN cat c ON c.field = v.f3
+"""
+CTES["hp"] = """
+  SELECT event_id, tree, 0 AS depth, 1 AS node, x1, x2, x3 FROM hx, (SELECT DISTINCT tree FROM spl)
+  UNION ALL
+  SELECT h.event_id, h.tree, h.depth + 1, 2 * h.node + CAST(CASE s.f WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END >= s.cut AS INT), x1, x2, x3
+  FROM hp h JOIN spl s ON s.tree = h.tree AND s.node = h.node
+"""
+CTES["hm"] = """
+  SELECT tenant_id, device_id, sensor_type, slot, tree, node, count(*) AS m FROM hp JOIN hx USING (event_id) GROUP BY ALL
+"""
+CTES["hs"] = """
+  SELECT event_id, sum(CASE WHEN earlier THEN 0 ELSE m * 2 ** depth END) AS total
+  FROM (SELECT *, coalesce(bool_or(m < 1.6) OVER (PARTITION BY event_id, tree ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS earlier
+    FROM (SELECT p.event_id, p.tree, p.depth, coalesce(q.m, 0) AS m FROM hp p JOIN hx x USING (event_id)
+      LEFT JOIN hm q ON q.tenant_id = x.tenant_id AND q.device_id = x.device_id AND q.sensor_type = x.sensor_type AND q.slot = x.slot - 1
+        AND q.tree = p.tree AND q.node = p.node WHERE x.slot > 0))
+  GROUP BY event_id
+"""
+CTES["iso"] = """
+  SELECT x.event_id, CASE WHEN slot = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, 1.5 - total / (10 * 16 * 511.0))) END AS isolation_forest
+  FROM hx x LEFT JOIN hs USING (event_id)
+"""
 CTES["stat"] = """
   SELECT event_id, max(CASE WHEN rn < 20 THEN 0.0
                             ELSE least(1.0, abs(value - m) / sqrt(greatest(s, 1e-9)) / 3.5) END) AS statistical

@@ -635,7 +635,7 @@ def a1_stream(spark, sf):
     return streamed(spark, out, "ewma").select("event_id", r6("statistical").alias("statistical"))
 
 
-@query("a2_half_space_trees")
+@query("a2_half_space_trees", "SELECT event_id, round(isolation_forest, 6) AS isolation_forest FROM iso")
 def a2(spark, sf):
     return sc.hst_score(valid(spark, sf), FULL.trees).select("event_id", r6("isolation_forest").alias("isolation_forest"))
 
@@ -703,6 +703,27 @@ def a8_all(spark, sf):
     return df.select("event_id", r6("autoencoder").alias("autoencoder"), r6("ae_recon_mse").alias("ae_recon_mse"))
 
 
+THREE = Detection(
+    weights={"statistical": 0.3, "isolation_forest": 0.3, "rule_based": 0.4}, trees=FULL.trees,
+    drift=Drift(enabled=False), autoencoder=Autoencoder(enabled=False),
+)
+
+
+@query(
+    "a9_detect_three",
+    """SELECT event_id, tenant_id, device_id, round(score, 6) AS score, score >= 0.65 OR rule_based >= 1.0 AS is_anomaly,
+      CASE WHEN greatest(score, rule_based) >= 0.9 THEN 'critical' WHEN greatest(score, rule_based) >= 0.75 THEN 'high'
+        WHEN greatest(score, rule_based) >= 0.65 THEN 'medium' ELSE 'low' END AS severity
+    FROM (SELECT v.event_id, v.tenant_id, v.device_id, r.rule_based, least(1.0, greatest(0.0, 0.3 * s.statistical + 0.3 * i.isolation_forest + 0.4 * r.rule_based)) AS score
+      FROM val v JOIN stat s USING (event_id) JOIN iso i USING (event_id) JOIN rule r USING (event_id))
+    WHERE score >= 0.65 OR rule_based >= 0.6""",
+)
+def a9_three(spark, sf):
+    """Detection as a whole, by the three methods that SQL can follow."""
+    found = sc.detect(valid(spark, sf), THREE)
+    return found.select("event_id", "tenant_id", "device_id", r6("score").alias("score"), "is_anomaly", "severity")
+
+
 @query("a9_detect")
 def a9(spark, sf):
     return plain(sc.detect(valid(spark, sf), FULL).drop("methods"))
