@@ -79,23 +79,23 @@ def positions(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv, depth, digest, words) of each turn of the rebuilt conversations, and (conv, length) of each of them."""
+    """(conv, length, depth, digest, words) of each turn of the rebuilt conversations, and (conv, length) of each of them."""
     rows, sizes = positions(turns)
     own = sizes.withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS).withColumn("base", F.col("conv_id") - F.col("conv_id") % FAMILY)
     first = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("m"))
     own = own.join(first, "base", "left").withColumn("head", F.least("h", F.coalesce("m", F.lit(0))))
     own = saved(own.withColumn("length", F.col("head") + F.greatest(F.col("n") - F.col("h"), F.lit(0))), "rebuilt")
     total = own.agg(F.sum("n")).first()[0] or 0
-    tail = join_groups(rows, own.select("conv_id", "n", "h", "head"), ["conv_id"], "n", total).where("pos > h")
-    tail = tail.select(F.col("conv_id").alias("conv"), (F.col("head") + F.col("pos") - F.col("h")).alias("depth"), "digest", "words")
+    tail = join_groups(rows, own.select("conv_id", "n", "h", "head", "length"), ["conv_id"], "n", total).where("pos > h")
+    tail = tail.select(F.col("conv_id").alias("conv"), "length", (F.col("head") + F.col("pos") - F.col("h")).alias("depth"), "digest", "words")
     starts = rows.where((F.col("pos") < HEADS) & (F.col("conv_id") % FAMILY == 0)).withColumnRenamed("conv_id", "base")
-    heads = starts.join(own.select("base", F.col("conv_id").alias("conv"), "head"), "base").where("pos <= head")
-    heads = heads.select("conv", F.col("pos").alias("depth"), "digest", "words")
+    heads = starts.join(own.select("base", F.col("conv_id").alias("conv"), "head", "length"), "base").where("pos <= head")
+    heads = heads.select("conv", "length", F.col("pos").alias("depth"), "digest", "words")
     return tail.unionByName(heads), own.select(F.col("conv_id").alias("conv"), "length")
 
 
 def keyed(rows: DataFrame, convs: DataFrame) -> DataFrame:
-    """(conv, depth, k1, k2, p1, p2, words) of each prefix, that of no turns included: key of the prefix and of its parent."""
+    """(conv, length, depth, k1, k2, p1, p2, words) of each prefix, that of no turns included: key of the prefix and of its parent."""
     hashed = rows.withColumn("g1", F.xxhash64(F.lit(1), "depth", "digest")).withColumn("g2", F.xxhash64("digest", "depth", F.lit(2)))
     hashed = hashed.withColumn("block", F.floor((F.col("depth") - 1) / BLOCK))
     inside = Window.partitionBy("conv", "block").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,19 +106,19 @@ def keyed(rows: DataFrame, convs: DataFrame) -> DataFrame:
     local = hashed.withColumn("x1", F.bit_xor("g1").over(inside)).withColumn("x2", F.bit_xor("g2").over(inside))
     both = local.join(carry, ["conv", "block"], "left")
     k = [F.col(f"x{i}").bitwiseXOR(F.coalesce(f"b{i}", zero)) for i in (1, 2)]
-    below = both.select("conv", "depth", k[0].alias("k1"), k[1].alias("k2"), k[0].bitwiseXOR(F.col("g1")).alias("p1"), k[1].bitwiseXOR(F.col("g2")).alias("p2"), "words")
+    below = both.select("conv", "length", "depth", k[0].alias("k1"), k[1].alias("k2"), k[0].bitwiseXOR(F.col("g1")).alias("p1"), k[1].bitwiseXOR(F.col("g2")).alias("p2"), "words")
     none = F.lit(None).cast("long")
-    top = convs.select("conv", zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), none.alias("p1"), none.alias("p2"), zero.alias("words"))
+    top = convs.select("conv", "length", zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), none.alias("p1"), none.alias("p2"), zero.alias("words"))
     return below.unionByName(top)
 
 
-def ends(rows: DataFrame, convs: DataFrame) -> DataFrame:
+def ends(rows: DataFrame) -> DataFrame:
     """ENDS of each node where a conversation ends.
 
     Ids are joined to strings in parallel, by ranges of 4096 ids; only the hash itself, which cannot be cut, runs over
     the strings of one node in order, as a stream of constant memory.
     """
-    last = rows.join(convs.select("conv", F.col("length").alias("depth")), ["conv", "depth"])
+    last = rows.where("depth = length")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list("conv")), lambda c: c.cast("string")), ",")
     pieces = last.groupBy(*KEY, F.shiftright("conv", 12).alias("range")).agg(listed.alias("ids"))
 
@@ -146,7 +146,7 @@ def ends(rows: DataFrame, convs: DataFrame) -> DataFrame:
 
 def trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     """Nodes: key, parent's key, depth, owner, n_convs, words, n_children, parent_conv_id, and size, the number of nodes of the subtree."""
-    nodes = rows.join(convs, "conv").groupBy(*KEY).agg(
+    nodes = rows.groupBy(*KEY).agg(
         F.min("conv").alias("owner"),
         F.min_by("length", "conv").alias("length"),
         F.max("depth").alias("depth"),
@@ -320,7 +320,7 @@ def prefix_trie(turns: DataFrame, limit: int | None = None) -> DataFrame:
     nodes = trie(rows, convs)
     weights = nodes.withColumn("leaf", (F.col("n_children") == 0).cast("long")).withColumn("weight", (F.col("n_convs") - 1) * F.col("words"))
     totals = rollup(weights, rows, limit)
-    whole = nodes.join(totals, KEY).join(ends(rows, convs), KEY, "left")
+    whole = nodes.join(totals, KEY).join(ends(rows), KEY, "left")
     empty = hashlib.sha256(b"").hexdigest()
     return whole.select(
         F.col("owner").alias("conv_id"),
