@@ -43,7 +43,7 @@ BITMAP = 16  # longs
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): document i has the distinct hashes[first[i]:first[i + 1]], in order."""
+    """(hashes, first): document i has the distinct hashes[first[i]:first[i + 1]], in order. A hash has 48 bits, the upper ones."""
     all_hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j, part in texts.slices(SLICE):
         part = lower(part)
@@ -56,12 +56,12 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
             sums = prefix(h, BASES[1])
             whole = mix(spans_hash(sums, w.first[short], w.first[short + 1], BASES[1]) + n[short].astype(np.uint64) * np.uint64(BASES[0]))
             values, doc = np.concatenate([values, whole]), np.concatenate([doc, short])
-        order = np.lexsort((values, doc))
-        values, doc = values[order], doc[order]
-        new = np.ones(len(values), bool)
-        new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
-        all_hashes.append(values[new])
-        counts.append(np.bincount(doc[new], minlength=j - i))
+        for a in range(0, j - i, 1 << 16):  # documents at a time, so that one number holds document and hash
+            some = (doc >= a) & (doc < a + (1 << 16)) if j - i > 1 << 16 else slice(None)
+            packed = np.sort(((doc[some] - a).astype(np.uint64) << np.uint64(48)) | (values[some] >> np.uint64(16)))
+            packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])] if len(packed) else packed
+            all_hashes.append(packed << np.uint64(16))
+            counts.append(np.bincount((packed >> np.uint64(48)).astype(np.int64), minlength=min(1 << 16, j - i - a)))
     return np.concatenate(all_hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
@@ -124,14 +124,16 @@ def similar_sets(texts_packed: DataFrame, reps: DataFrame, shards: int, size: in
     def chosen(ids: np.ndarray, texts: Texts, answers: pa.Table):
         rows = np.array(answers.column("row").to_pylist(), np.int64)
         wanted = b"".join(answers.filter(pa.array(rows == C.ROWS)).column("body").to_pylist())
-        wanted = set(map(tuple, np.frombuffer(wanted, ">i8").reshape(-1, 2).tolist()))
+        wanted = np.frombuffer(wanted, ">i8").reshape(-1, 2).astype(np.int64)
+        at = np.flatnonzero(np.isin(ids, wanted[:, 0]))
+        ids, texts = ids[at], texts.take(at)
         h, first = shingle_sets(texts, size)
-        n = np.diff(first)
-        keep = np.zeros(len(ids), bool)
-        for i, pair in enumerate(zip(ids.tolist(), set_key(h, first, BASES[0]).tolist(), strict=True)):
-            if pair in wanted:  # one text of each id and set
-                wanted.remove(pair)
-                keep[i] = True
+        n, keep = np.diff(first), np.ones(len(ids), bool)
+        if len(np.unique(ids)) < len(ids):  # one text of each id and set
+            pairs = set(map(tuple, wanted.tolist()))
+            for i, pair in enumerate(zip(ids.tolist(), set_key(h, first, BASES[0]).tolist(), strict=True)):
+                keep[i] = pair in pairs
+                pairs.discard(pair)
         return ids[keep], h[np.repeat(keep, n)], n[keep], answers.filter(pa.array(rows < C.ROWS))
 
     def sketch(chunk: int, ids: np.ndarray, texts: Texts, answers: pa.Table) -> pa.Table:

@@ -25,6 +25,14 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def take(self, at: np.ndarray) -> Texts:
+        """The documents at the given places."""
+        if len(at) == len(self):
+            return self
+        parts = [self.data[self.offsets[i] : self.offsets[i + 1]] for i in at.tolist()]
+        data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return Texts(data, np.concatenate([[0], np.cumsum(np.diff(self.offsets)[at])]).astype(np.int64))
+
     def slices(self, most: int):
         """(first, last, Texts) of runs of whole documents of about `most` bytes; a longer document is alone."""
         i, n = 0, len(self)
