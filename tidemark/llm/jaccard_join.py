@@ -112,7 +112,7 @@ def pack_set(hashes: np.ndarray) -> bytes:
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """Parity of the tokens that fall on each of 64 * BITMAP bits: where two differ, the sets differ in a token at least."""
-    on = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) % 2
+    on = np.bincount((hashes >> np.uint64(16)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) % 2
     return np.packbits(on.astype(np.uint8)).view(np.int64)
 
 
