@@ -154,3 +154,62 @@ def test_clean_stream_into_tables(spark, history, tmp_path):
     want = flow.clean(df, cfg)
     assert by_id(stored, "device_id") == by_id(want, "device_id")
     assert len(seen) >= 3 and sum(seen) == want.count()
+
+
+class MapState:
+    """A bucket's map state, in memory."""
+
+    def __init__(self):
+        self.cells, self.written = {}, []
+
+    def getMapState(self, *_, **__):
+        return self
+
+    def getValue(self, key):
+        return self.cells.get(key)
+
+    def updateValue(self, key, value):
+        self.cells[key] = value
+        self.written.append(key)
+
+
+def test_a_call_advances_all_keys_of_a_bucket_and_writes_only_theirs(spark):
+    """One call a key had made a micro-batch of many devices cost far more than its rows."""
+    from tidemark.operators.detectors import EwmaScore, HalfSpaceTrees
+    from tidemark.streaming.keyed import KeyedRecurrence
+
+    cfg = HalfSpace(n_trees=2, height=3, window=4)
+    rng = random.Random(5)
+    rows = [{"seconds": i, "device_id": rng.choice("abcd"), "metrics": {"temperature": rng.random() * 50}} for i in range(60)]
+    df = events(spark, rows).withColumn("vector", F.map_values("metrics")).orderBy("timestamp")
+    frame, state = df.toPandas(), MapState()
+    scan = KeyedRecurrence(df.schema, ["device_id"], ["timestamp", "event_id"], [EwmaScore(Ewma(min_samples=3)), HalfSpaceTrees(cfg)], None)
+    scan.init(state)
+    got = {}
+    for lo, hi, devices in ((0, 30, "abcd"), (30, 60, "ab")):
+        part = frame[lo:hi][frame[lo:hi]["device_id"].isin(list(devices))]
+        state.written = []
+        (out,) = scan.handleInputRows((0,), iter([part]), None)
+        got.update({r.event_id: (r.statistical, r.isolation_forest) for r in out.itertuples()})
+        assert len(state.written) == len(devices)
+    left = df.filter((F.col("sequence") < 30) | F.col("device_id").isin("a", "b"))
+    want = by_id(sc.ewma_score(left, Ewma(min_samples=3)), "statistical")
+    assert len(want) > 40 and set(got) == set(want) and any(v[0] for v in want.values())
+    assert all(got[e][0] == pytest.approx(want[e][0]) for e in want)
+    assert any(v[1] != 0.5 for v in got.values())
+
+
+def test_events_added_one_by_one_or_at_once():
+    import numpy as np
+
+    from tidemark.streaming import windows as sw
+
+    rng = random.Random(3)
+    metrics = [{"temperature": rng.random() * 9, **({"pressure": rng.random()} if i % 3 else {})} for i in range(40)]
+    times = np.arange(40)
+    once, several = sw.Sums(), sw.Sums()
+    once.add(times, metrics)
+    for at in range(0, 40, 4):
+        several.add(times[at : at + 4], metrics[at : at + 4])
+    assert set(once.fields) == set(several.fields) and (once.first, once.last) == (several.first, several.last) == (0, 39)
+    assert all(once.fields[k] == pytest.approx(several.fields[k], abs=1e-9) for k in once.fields)

@@ -1,12 +1,14 @@
 """Recurrences on streams: the update functions of the batch scans with state per key.
 
-A key's new rows are sorted within the micro-batch and continue from the
+Keys are dealt into buckets, since Spark's call for a group costs far more than
+a few rows of a key do; the state stays one entry a key. A key's new rows are sorted within the micro-batch and continue from the
 stored state, so that a stream fed in time order gives the batch result.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -18,38 +20,66 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.functions.expr import seconds_to_us
-from tidemark.operators.scan import Recurrence, micros
+from tidemark.operators.scan import Recurrence, key_at, key_starts, micros
 from tidemark.operators.spacing import Spacing
 
 STATE = T.StructType([T.StructField("carries", T.BinaryType())])
+KEY_BYTES = T.StructType([T.StructField("key", T.BinaryType())])
+
+
+def key_name(cells: tuple) -> tuple[bytes]:
+    """A key of the map state: the same bytes for the same values, which pickle does not promise."""
+    return (repr(cells).encode(),)
+
+
+def packed(state) -> bytes:
+    """Plain values as bytes; counts of trees are zeros mostly."""
+    return zlib.compress(pickle.dumps(state), 1)
+
+
+def unpacked(body: bytes):
+    return pickle.loads(zlib.decompress(body))
+
+
+def dealt_out(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Adds _bucket, the bucket of a row's key."""
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
 
 
 class KeyedRecurrence(StatefulProcessor):
-    """Runs recurrences for one key; state expires `ttl_seconds` after its last update, or never."""
+    """Runs recurrences for a bucket of keys; a key's state expires `ttl_seconds` after its last update, or never.
+
+    The rows of all keys of a bucket are one batch, so that a micro-batch of very many keys costs little beyond its rows.
+    Each key has an entry of its own in the map state, so only the keys of a micro-batch are read and written.
+    """
 
-    def __init__(self, schema: T.StructType, order: list[str], recurrences: list[Recurrence], ttl_seconds: float | None):
+    def __init__(self, schema: T.StructType, keys: list[str], order: list[str], recurrences: list[Recurrence], ttl_seconds: float | None):
         self.schema = schema
+        self.keys = keys
         self.order = order
         self.recurrences = recurrences
         self.ttl_ms = None if ttl_seconds is None else int(ttl_seconds * 1000)
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("carries", STATE, ttlDurationMs=self.ttl_ms)
+        self.state = handle.getMapState("carries", KEY_BYTES, STATE, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame.sort_values(self.order, kind="stable", ignore_index=True)
+        frame = frame.sort_values([*self.keys, *self.order], kind="stable", ignore_index=True)
         batch = self._to_arrow(frame)
-        stored = self.state.get() if self.state.exists() else None
-        carries = pickle.loads(stored[0]) if stored is not None else [None] * len(self.recurrences)
-        first = np.zeros(batch.num_rows, dtype=bool)
-        first[0] = stored is None
-        out = frame
+        starts = np.flatnonzero(key_starts(batch, self.keys))
+        names = [key_name(key_at(batch, self.keys, i)) for i in starts.tolist()]
+        known = [self.state.getValue(name) for name in names]
+        states = [[None] * len(self.recurrences) if s is None else unpacked(s[0]) for s in known]
+        out = frame[self.schema.names]
         for i, rec in enumerate(self.recurrences):
-            columns, carries[i] = rec.run(batch, first, carries[i])
+            columns, after = rec.run_each(batch, starts, [s[i] for s in states])
+            for state, carry in zip(states, after, strict=True):
+                state[i] = carry
             for (name, _), column in zip(rec.fields, columns):
                 out = out.assign(**{name: column.to_pandas().to_numpy()})
-        self.state.update((pickle.dumps(carries),))
+        for name, state in zip(names, states, strict=True):
+            self.state.updateValue(name, (packed(state),))
         yield out
 
     def _to_arrow(self, frame: pd.DataFrame) -> pa.RecordBatch:
@@ -105,8 +135,7 @@ class BucketSpacing(StatefulProcessor):
 def bucket_spacing(df: DataFrame, key: str, order: list[str], spacing: Spacing, *, keep_seconds: float, buckets: int) -> DataFrame:
     """The rows of a stream that `spacing` keeps for each value of `key`, whose rows arrive out of order by keep_seconds at most."""
     use_rocksdb(df.sparkSession)
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    return dealt.groupBy("_bucket").transformWithStateInPandas(
+    return dealt_out(df, [key], buckets).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=BucketSpacing(df.schema, key, order, spacing, seconds_to_us(keep_seconds)),
         outputStructType=df.schema,
         outputMode="Append",
@@ -123,18 +152,18 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def keyed_scan(
-    df: DataFrame, keys: list[str], order: list[str], recurrences: list[Recurrence], *, ttl_seconds: float | None
+    df: DataFrame, keys: list[str], order: list[str], recurrences: list[Recurrence], *, ttl_seconds: float | None, buckets: int = 512
 ) -> DataFrame:
     """Streaming counterpart of `ordered_scan`: appends the recurrences' columns.
 
     A job that runs on needs a time to live. It goes by the clock and keeps
     batches coming to clean up, so a bounded run (trigger availableNow) would
-    never end with one: such runs pass None.
+    never end with one: such runs pass None. Keys are dealt into `buckets`.
     """
     use_rocksdb(df.sparkSession)
     extra = [T.StructField(n, t) for rec in recurrences for n, t in rec.fields]
-    return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeyedRecurrence(df.schema, order, recurrences, ttl_seconds),
+    return dealt_out(df, keys, buckets).groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=KeyedRecurrence(df.schema, keys, order, recurrences, ttl_seconds),
         outputStructType=T.StructType(df.schema.fields + extra),
         outputMode="Append",
         timeMode="None" if ttl_seconds is None else "ProcessingTime",

@@ -1,6 +1,6 @@
 """Windows anchored at a device's first event, and snapshots of the open one, as streams.
 
-A device's state is the open window: its number, the time of the last emission,
+Devices are dealt into buckets, each handled in one call. A device's state is the open window: its number, the time of the last emission,
 and per metric the sums that its statistics need, once for the events of the
 window and once for the whole buffer, late events included. It does not grow
 with the events of a window.
@@ -13,6 +13,7 @@ handled as they come; late ones are in the next snapshots, never in a window.
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -24,9 +25,10 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.functions.expr import seconds_to_us
 from tidemark.operators.windows import KEY
-from tidemark.streaming.keyed import use_rocksdb
+from tidemark.streaming.keyed import KEY_BYTES, dealt_out, key_name, packed, unpacked, use_rocksdb
 
 WINDOW, SNAPSHOT = "window", "snapshot"
+FEW = 16  # events added one by one; an array does not pay for so few
 BYTES = T.StructType([T.StructField("body", T.BinaryType())])
 EMITTED = T.StructType(
     [T.StructField(k, T.StringType()) for k in KEY]
@@ -53,6 +55,10 @@ class Sums:
         low, high = int(t.min()), int(t.max())
         self.first = low if self.first is None else min(self.first, low)
         self.last = high if self.last is None else max(self.last, high)
+        if len(metrics) <= FEW:
+            for m in metrics:
+                self._one(m)
+            return
         values: dict[str, list[float]] = {}
         for m in metrics:
             for name, v in m.items():
@@ -69,6 +75,17 @@ class Sums:
                 least, most = min(least, least0), max(most, most0)
             self.fields[name] = (n, mean, square, least, most)
 
+    def _one(self, metrics: dict) -> None:
+        """One event: the same steps for a single value, without arrays."""
+        for name, v in metrics.items():
+            v = math.nan if v is None else float(v)
+            if name in self.fields:
+                n0, mean0, square0, least0, most0 = self.fields[name]
+                gap = v - mean0
+                self.fields[name] = (n0 + 1, mean0 + gap / (n0 + 1), square0 + gap * gap * n0 / (n0 + 1), min(v, least0), max(v, most0))
+            else:
+                self.fields[name] = (1, v, (v - v) ** 2, v, v)
+
     def rows(self, kind: str, number: int, at: int | None) -> list[tuple]:
         return [
             (kind, number, at, self.first, self.last, name, n, mean, least, most, (square / n) ** 0.5)
@@ -130,48 +147,58 @@ class OpenBuffer:
 
 
 class Windows(StatefulProcessor):
+    """Windows of a bucket of devices: an entry in the map state for each device, one list of waiting events."""
+
     def __init__(self, size_us: int, slide_us: int, in_event_order: bool):
         self.size, self.slide, self.wait = size_us, slide_us, in_event_order
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", BYTES)
+        self.open = handle.getMapState("open", KEY_BYTES, BYTES)
         self.waiting = handle.getListState("waiting", BYTES)
 
     def handleInputRows(self, key, rows, timerValues):
         frame = pd.concat(list(rows), ignore_index=True)
         metrics = [dict(m) if not isinstance(m, dict) else m for m in frame["metrics"]]
-        events = list(zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["us"].tolist(), metrics, strict=True))
+        devices = zip(*(frame[k].tolist() for k in KEY), strict=True)
+        events = list(zip(devices, frame["at"].tolist(), frame["event_id"].tolist(), frame["us"].tolist(), metrics, strict=True))
         if not self.wait:
-            yield from self._emit(key, events)
+            yield from self._emit(events)
             return
         self.waiting.appendValue((pickle.dumps(events),))
-        yield from self._release(key, timerValues)
+        yield from self._release(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._release(key, timerValues)
+        yield from self._release(timerValues)
 
-    def _release(self, key, timerValues):
+    def _release(self, timerValues):
         """Handles the waiting events that the watermark has passed, and sets a timer for the next one."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         events = [e for (body,) in self.waiting.get() for e in pickle.loads(body)]
-        ready = [e for e in events if e[2] <= passed]
-        later = [e for e in events if e[2] > passed]
+        ready = [e for e in events if e[3] <= passed]
+        later = [e for e in events if e[3] > passed]
         if ready or not later:
             self.waiting.put([(pickle.dumps(later),)]) if later else self.waiting.clear()
         if later:
-            self.handle.registerTimer(-(-min(e[2] for e in later) // 1000))
+            self.handle.registerTimer(-(-min(e[3] for e in later) // 1000))
         if ready:
-            yield from self._emit(key, ready)
-
-    def _emit(self, key, events):
-        events.sort(key=lambda e: e[:2])
-        stored = (pickle.loads(self.open.get()[0]),) if self.open.exists() else ()
-        buffer = OpenBuffer(self.size, self.slide, *stored)
-        rows = buffer.handle(np.array([e[2] for e in events], np.int64), [e[3] for e in events])
-        self.open.update((pickle.dumps(buffer.state()),))
+            yield from self._emit(ready)
+
+    def _emit(self, events):
+        of_device: dict[tuple, list] = {}
+        for e in events:
+            of_device.setdefault(e[0], []).append(e)
+        rows = []
+        for device, some in of_device.items():
+            some.sort(key=lambda e: e[1:3])
+            name = key_name(device)
+            stored = self.open.getValue(name)
+            buffer = OpenBuffer(self.size, self.slide, *(() if stored is None else (unpacked(stored[0]),)))
+            found = buffer.handle(np.array([e[3] for e in some], np.int64), [e[4] for e in some])
+            self.open.updateValue(name, (packed(buffer.state()),))
+            rows += [(*device, *r) for r in found]
         if rows:
-            frame = pd.DataFrame([(*key, *r) for r in rows], columns=EMITTED.names)
+            frame = pd.DataFrame(rows, columns=EMITTED.names)
             for c in ("emitted_at", "window_start", "window_end"):
                 frame[c] = pd.to_datetime(frame[c], unit="us", utc=True).dt.tz_localize(None)
             yield frame
@@ -181,13 +208,14 @@ class Windows(StatefulProcessor):
 
 
 def window_stream(
-    events: DataFrame, size_seconds: float = 10.0, slide_seconds: float = 2.0, *, order: str = "event", delay: str = "10 seconds"
+    events: DataFrame, size_seconds: float = 10.0, slide_seconds: float = 2.0, *, order: str = "event", delay: str = "10 seconds", buckets: int = 512
 ) -> DataFrame:
     """Rows of completed windows (kind "window", as `tumbling`) and of snapshots (kind "snapshot").
 
     order "event" takes events in the order of their time, once the watermark, `delay` behind the newest, has passed
     them, as `running_snapshots`; those older than that are dropped. order "arrival" takes them by ingested_at, micro-batch
-    by micro-batch, as `arrival_snapshots`, and drops none. A window is emitted by a later event of its device.
+    by micro-batch, as `arrival_snapshots`, and drops none. A window is emitted by a later event of its device. Devices are
+    dealt into `buckets`.
     """
     if order not in ("event", "arrival"):
         raise ValueError(f"order is event or arrival: {order!r}")
@@ -197,7 +225,7 @@ def window_stream(
     if by_event:
         events = events.withWatermark("timestamp", delay)
     narrow = events.select(*KEY, "timestamp", at, "event_id", F.unix_micros("timestamp").alias("us"), "metrics")
-    return narrow.groupBy(*KEY).transformWithStateInPandas(
+    return dealt_out(narrow, KEY, buckets).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=Windows(seconds_to_us(size_seconds), seconds_to_us(slide_seconds), by_event),
         outputStructType=EMITTED,
         outputMode="Append",
