@@ -258,3 +258,40 @@ def test_alert_gate_cooldown_and_payload(spark):
     assert {f["title"]: f["value"] for f in body["fields"]} == {
         "Device": "d1", "Sensor Type": "industrial", "Score": "0.70", "Severity": "MEDIUM", "Top Signal": "statistical=1.00",
     }
+
+
+def test_a_device_with_all_rows_is_spread_where_its_methods_can_be_cut(spark):
+    """Averages and trees alone had been run over all rows of a device in one task."""
+    from tidemark.config import HalfSpace
+    from tidemark.operators.enrich import metric_vector
+    from tidemark.operators.scan import ordered_scan
+
+    cfg = Detection(trees=HalfSpace(n_trees=3, height=4, window=8), drift=Drift(enabled=False), autoencoder=Autoencoder(enabled=False))
+    values = np.random.default_rng(4).normal(65, 20, 90)
+    rows = series(values, step=9000.0) + [{"seconds": i * 9000.0, "device_id": None, "metrics": {"temperature": 50.0 + i}, "event_id": f"n{i}"} for i in range(20)]
+    df = events(spark, rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scored = sc.score_all(df, cfg).cache()
+        assert scored.filter("device_id = 'd1'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = by_id(scored, "statistical", "isolation_forest", "rule_based")
+    whole = ordered_scan(sc.with_rules(df), sc.DEVICE, sc.ORDER, [sc.EwmaScore(cfg.ewma)]).withColumn("vector", metric_vector())
+    want = by_id(ordered_scan(whole, sc.SENSOR, sc.ORDER, [sc._trees(cfg.trees, sc.DEFAULT_CATALOG)]), "statistical", "isolation_forest", "rule_based")
+    assert set(got) == set(want) and len(got) == 110 and any(v[1] != 0.5 for v in got.values())
+    assert all(got[e] == pytest.approx(want[e]) for e in want)
+
+
+def test_short_and_long_series_are_averaged_as_pandas_does():
+    """Most series are a few values; they had been averaged one by one."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    lengths = np.r_[rng.integers(1, 6, 300), 63, 64, 65, 66, 200]
+    series_no = np.repeat(np.arange(len(lengths)), lengths)
+    x = np.round(rng.normal(size=len(series_no)), 1)
+    scan = sc.EwmaScore(Ewma(alpha=0.3))
+    for values in (x, np.where(rng.random(len(x)) < 0.1, np.nan, x)):
+        want = pd.Series(values).groupby(series_no, sort=False).ewm(alpha=0.3, adjust=False).mean().to_numpy()
+        assert np.array_equal(scan._ewm(values, series_no), want, equal_nan=True)
