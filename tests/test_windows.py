@@ -124,3 +124,23 @@ def test_hopping_counts_each_event_once_per_overlap(spark):
     hop = wi.window_stats_aligned(df, "10 seconds", "5 seconds").groupBy("field").sum("count").collect()
     flat = wi.window_stats_aligned(df, "10 seconds").groupBy("field").sum("count").collect()
     assert {r[0]: r[1] for r in hop} == {r[0]: 2 * r[1] for r in flat}
+
+
+def test_rows_are_spread_before_they_become_many_groups(spark):
+    """A task's groups had grown with the table: its rows were not split before the metrics and hops of each."""
+    rows = [{"seconds": i * 1800.0, "device_id": "ab"[i % 2], "metrics": {"temperature": float(i), "pressure": 1.0}} for i in range(48)]
+    df = events(spark, rows)
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    hopping = wi.window_stats_aligned(df, "6 hours", "1 hour")
+    closed = wi.completed_arrival_windows(wi.arrival_windows(df, 7200))
+    assert "Union" in plan(hopping) and "Expand" not in plan(hopping) and "RebalancePartitions" in plan(closed)
+    assert wi._hops("6 hours", "90 minutes") == [0, 5400, 10800, 16200] and wi._hops("1 hour", "25 minutes") == [] == wi._hops("1 month", "1 day")
+    got = {(r["device_id"], r["window_start"].timestamp(), r["field"]): (r["count"], r["mean"]) for r in hopping.collect()}
+    want = {}
+    for r in rows:
+        hour = (T0.timestamp() + r["seconds"]) // 3600 * 3600
+        for h in range(6):
+            for field, v in r["metrics"].items():
+                want.setdefault((r["device_id"], hour - h * 3600, field), []).append(v)
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(sum(v) / len(v)) for k, v in want.items())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,14 +187,31 @@ def window_stats_aligned(
 ) -> DataFrame:
     """Tumbling or hopping windows aligned to the epoch; the same call serves batch and streams.
 
-    Streams need a watermark: rows behind it are late and dropped.
+    Streams need a watermark: rows behind it are late and dropped. In a batch, hopping windows read `df` once a hop, so
+    give it as a stored table when it is costly.
     """
     if watermark is not None:
         df = df.withWatermark("timestamp", watermark)
     elif df.isStreaming:
         raise ValueError("a stream needs a watermark to close its windows")
+    if slide and not df.isStreaming and (hops := _hops(size, slide)):
+        # windows that begin at different hops never share a group: each hop has tasks of its own, with its groups alone
+        return reduce(DataFrame.unionByName, [_aligned(df, F.window("timestamp", size, size, f"{at} seconds")) for at in hops])
+    return _aligned(df, F.window("timestamp", size, slide) if slide else F.window("timestamp", size))
+
+
+def _hops(size: str, slide: str) -> list[int]:
+    """Seconds of each hop within a window that is a whole number of slides, both in whole seconds; else none."""
+    unit = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+    parts = [re.fullmatch(r"(\d+) (second|minute|hour|day)s?", x.strip()) for x in (size, slide)]
+    if not all(parts):
+        return []
+    whole, step = (int(p[1]) * unit[p[2]] for p in parts)
+    return list(range(0, whole, step)) if step and whole % step == 0 else []
+
+
+def _aligned(df: DataFrame, frame: Column) -> DataFrame:
     long = df.select(*KEY, "timestamp", F.explode("metrics").alias("field", "value"))
-    frame = F.window("timestamp", size, slide) if slide else F.window("timestamp", size)
     return (
         long.groupBy(frame.alias("w"), *KEY, "field")
         .agg(*_stats())
@@ -233,7 +253,8 @@ def completed_arrival_windows(placed: DataFrame) -> DataFrame:
     """Statistics of the windows that a later arrival has closed, from `arrival_windows`."""
     newest = placed.groupBy(*KEY).agg(F.max("open_window").alias("_newest"))
     on_time = placed.filter(~F.col("is_late")).join(newest, KEY).filter(F.col("window_no") < F.col("_newest"))
-    return window_stats(on_time.select(*KEY, "window_no", "timestamp", "metrics"), [*KEY, "window_no"])
+    narrow = on_time.select(*KEY, "window_no", "timestamp", "metrics").hint("rebalance", *KEY)  # tasks of one size
+    return window_stats(narrow, [*KEY, "window_no"])
 
 
 def time_bucket(
