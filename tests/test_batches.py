@@ -263,3 +263,16 @@ def test_sketches_add_up_and_are_near(spark):
         for f in (0.5, 0.95):
             exact = values[int((len(values) - 1) * f)]
             assert got[g][f"p{f * 100:g}"] == pytest.approx(whole[g][f"p{f * 100:g}"]) and abs(got[g][f"p{f * 100:g}"] - exact) <= abs(exact) * 0.0028
+
+
+def test_four_micro_batches_are_spread_over_the_cores(spark, tmp_path):
+    """Each had been one file, written by one task that read a quarter of the table."""
+    from pathlib import Path
+
+    from checks.queries import four_batches
+
+    df, sizes = spark.range(1000), []
+    stream = four_batches(spark, df, f"{tmp_path}/in")
+    stream.writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert len(list(Path(f"{tmp_path}/in").glob("*.parquet"))) == 4 * spark.sparkContext.defaultParallelism
+    assert len(sizes) == 4 and sum(sizes) == 1000
