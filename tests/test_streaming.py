@@ -213,3 +213,19 @@ def test_events_added_one_by_one_or_at_once():
         several.add(times[at : at + 4], metrics[at : at + 4])
     assert set(once.fields) == set(several.fields) and (once.first, once.last) == (several.first, several.last) == (0, 39)
     assert all(once.fields[k] == pytest.approx(several.fields[k], abs=1e-9) for k in once.fields)
+
+
+def test_state_has_few_partitions_however_many_a_batch_join_takes(spark, tmp_path):
+    spark.createDataFrame([(i % 5, i) for i in range(20)], "k long, v long").write.parquet(f"{tmp_path}/in")
+    name, most = "spark.sql.shuffle.partitions", 2 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most + 50))
+    try:
+        rows = replay_stream(spark, f"{tmp_path}/in", files_per_trigger=100).dropDuplicates(["k"])
+        query = jobs.start_parquet(rows, f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination()
+        assert spark.conf.get(name) == str(most + 50)
+    finally:
+        spark.conf.set(name, before)
+    assert {s["numShufflePartitions"] for p in query.recentProgress for s in p["stateOperators"]} == {most}
+    assert spark.read.parquet(f"{tmp_path}/out").select("k").distinct().count() == 5

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.config import DEFAULT_CATALOG, Alerting, Catalog, Detection, Drift, Ewma, Settings
 from tidemark.functions.expr import seconds_to_us
@@ -128,14 +128,30 @@ def trigger_options(interval_seconds: float | None = None) -> dict:
     return {"availableNow": True} if interval_seconds is None else {"processingTime": f"{interval_seconds} seconds"}
 
 
+def started(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Starts a stream whose state has at most two partitions a core.
+
+    Every micro-batch opens each partition of the state in a task of its own, however few rows it has, and the many
+    small partitions that suit a batch join cost more than the rows. The number is fixed by the first start: a later
+    one takes it from the checkpoint.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def start_parquet(df: DataFrame, path: str, checkpoint: str, interval_seconds: float | None = None) -> StreamingQuery:
-    return (
+    return started(
+        df.sparkSession,
         df.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(**trigger_options(interval_seconds))
-        .start()
+        .trigger(**trigger_options(interval_seconds)),
     )
 
 
@@ -172,11 +188,11 @@ def start_table(
         finally:
             batch.unpersist()
 
-    return (
+    return started(
+        rows.sparkSession,
         rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(**trigger_options(interval_seconds))
-        .start()
+        .trigger(**trigger_options(interval_seconds)),
     )
 
 
@@ -252,11 +268,11 @@ def start_alerts(
     interval_seconds: float | None = None,
 ) -> StreamingQuery:
     """Sends alerts through `send`, which gets a DataFrame with the payload column per micro-batch."""
-    return (
+    return started(
+        anomalies.sparkSession,
         cooldown_stream(anomalies, cfg, None if interval_seconds is None else STATE_TTL_SECONDS)
         .writeStream.foreachBatch(lambda batch, _: send(batch))
         .option("checkpointLocation", checkpoint)
-        .trigger(**trigger_options(interval_seconds))
-        .start()
+        .trigger(**trigger_options(interval_seconds)),
     )
 
