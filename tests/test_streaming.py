@@ -229,3 +229,42 @@ def test_state_has_few_partitions_however_many_a_batch_join_takes(spark, tmp_pat
         spark.conf.set(name, before)
     assert {s["numShufflePartitions"] for p in query.recentProgress for s in p["stateOperators"]} == {most}
     assert spark.read.parquet(f"{tmp_path}/out").select("k").distinct().count() == 5
+
+
+def test_waiting_events_are_not_read_before_the_watermark_reaches_them():
+    import pandas as pd
+
+    from tidemark.streaming.windows import Windows
+
+    class Waiting:
+        def __init__(self):
+            self.bodies, self.reads, self.timers = [], 0, []
+
+        def appendValue(self, body):
+            self.bodies.append(body)
+
+        def get(self):
+            self.reads += 1
+            return list(self.bodies)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 1000
+
+    windows, state = Windows(10, 2, True), Waiting()
+    windows.handle = windows.waiting = state
+    for first in (5_000_500, 3_000_000):
+        rows = {"tenant_id": ["t"] * 2, "device_id": ["a"] * 2, "sensor_type": ["s"] * 2, "at": [first + 9, first], "event_id": ["x", "y"], "us": [first + 9, first], "metrics": [{"v": 1.0}] * 2}
+        assert list(windows.handleInputRows((0,), iter([pd.DataFrame(rows)]), state)) == []
+    assert (state.reads, len(state.bodies), state.timers) == (0, 2, [5001, 3000])
+
+
+def test_the_pass_for_anomalies_carries_what_they_are_made_of(spark):
+    from checks.queries import anomalies_of
+
+    df = events(spark, [{"seconds": i, "device_id": "a", "metrics": {"temperature": 60.0}} for i in range(3)])
+    found = anomalies_of(df.withColumn("ballast", F.lit("x")).cache())
+    passes = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert passes and not any("ballast" in line or "rule_scores" in line for line in passes)

@@ -49,10 +49,10 @@ class Sums:
     def state(self) -> tuple:
         return self.fields, self.first, self.last
 
-    def add(self, t: np.ndarray, metrics: list[dict]) -> None:
+    def add(self, t: list[int], metrics: list[dict]) -> None:
         if not len(t):
             return
-        low, high = int(t.min()), int(t.max())
+        low, high = int(min(t)), int(max(t))
         self.first = low if self.first is None else min(self.first, low)
         self.last = high if self.last is None else max(self.last, high)
         if len(metrics) <= FEW:
@@ -118,17 +118,17 @@ class OpenBuffer:
         emits = self._emissions(latest)
         cuts = sorted({0, len(t), *rolls, *(i + 1 for i in emits)})
         emits = set(emits)
+        times, number, newest = t.tolist(), number.tolist(), newest.tolist()  # most cuts hold an event or two
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a in rolls:
                 out += self.window.rows(WINDOW, self.number, None)
                 self.window, self.buffer = Sums(), Sums()
-                self.number = int(newest[a])
-            some = metrics[a:b]
-            self.buffer.add(t[a:b], some)
-            on_time = number[a:b] == self.number
-            self.window.add(t[a:b][on_time], [m for m, ok in zip(some, on_time.tolist(), strict=True) if ok])
+                self.number = newest[a]
+            self.buffer.add(times[a:b], metrics[a:b])
+            on_time = [i for i in range(a, b) if number[i] == self.number]
+            self.window.add([times[i] for i in on_time], [metrics[i] for i in on_time])
             if b - 1 in emits:
-                out += self.buffer.rows(SNAPSHOT, self.number, int(t[b - 1]))
+                out += self.buffer.rows(SNAPSHOT, self.number, times[b - 1])
         self.latest = int(latest[-1])
         return out
 
@@ -165,8 +165,12 @@ class Windows(StatefulProcessor):
         if not self.wait:
             yield from self._emit(events)
             return
+        first = min(e[3] for e in events)
         self.waiting.appendValue((pickle.dumps(events),))
-        yield from self._release(timerValues)
+        if first <= timerValues.getCurrentWatermarkInMs() * 1000:
+            yield from self._release(timerValues)
+        else:  # those that waited before have timers, and are not read for each micro-batch
+            self.handle.registerTimer(-(-first // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield from self._release(timerValues)
