@@ -86,7 +86,7 @@ def detect_stream(
     ttl_seconds: float | None = STATE_TTL_SECONDS,
 ) -> DataFrame:
     """Anomaly rows of a stream of enriched events: models of a device, then models of its sensor types, as `detect` has them."""
-    df = with_rules(df.select("event_id", *SENSOR, "timestamp", "metrics"), catalog)
+    df = df.select("event_id", *SENSOR, "timestamp", "metrics")
     df = df.withColumns({"vector": metric_vector(catalog), "primary": primary_metric()})
     by_device = [EwmaScore(cfg.ewma)] + ([AdwinDrift(cfg.drift)] if cfg.drift.enabled else [])
     by_sensor = [_trees(cfg.trees, catalog)]
@@ -94,7 +94,7 @@ def detect_stream(
         by_sensor.append(OnlineAutoencoder(cfg.autoencoder, models))
     df = keyed_scan(df, DEVICE, ORDER, by_device, ttl_seconds=ttl_seconds)
     df = keyed_scan(df, SENSOR, ORDER, by_sensor, ttl_seconds=ttl_seconds)
-    found = ensemble(df, cfg)
+    found = ensemble(with_rules(df, catalog), cfg)
     return found if cfg.enabled else found.filter(F.lit(False))
 
 
