@@ -115,6 +115,29 @@ def test_jaccard_finds_links_of_frequent_tokens(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_meets_a_pair_in_one_bucket(spark, monkeypatch):
+    """Sets that share many frequent tokens and are not similar come out of few of their common buckets; all links are found."""
+    monkeypatch.setattr(jaccard_join, "RARE", 3)
+    r, met = random.Random(12), []
+    ordered = jaccard_join.ordered
+
+    def counted(pairs):
+        met.append((pairs.count(), pairs.select("b", pairs.columns[0]).distinct().count()))
+        return ordered(pairs)
+
+    passages, rows = [" ".join(f"p{i}_{k}" for k in range(8)) for i in range(24)], []
+    for d in range(90):
+        words_ = [p for i, p in enumerate(passages) if r.random() < 0.8]
+        rows.append((d, " ".join(words_)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "ordered", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(df, layout=(4, 16)).collect()}
+    assert got == brute_components(rows)
+    rounds = met[1:]  # after the pivots
+    assert sum(n for _, n in rounds) > 0
+    assert sum(n for n, _ in rounds) < 4 * sum(n for _, n in rounds)
+
+
 def test_jaccard_of_no_documents(no_docs):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
 

@@ -14,7 +14,9 @@ argument of a prefix filter, with each loss taking away at most one).
 Documents that share an index entry form a bucket. A large bucket is not expanded
 into all pairs: its members are verified against one pivot; then, in rounds, those
 outside the bucket's largest component against a share of the other components' members
-that grows fourfold each round, so only what is not connected is compared further.
+that grows sixteenfold each round, so only what is not connected is compared further,
+and only rows of buckets that are still open are read again. Two sets that meet in many
+buckets are compared in the smallest and, where their buckets differ, in few others.
 Bitmaps of token parity bound how many tokens two sets
 share and rule out most of these pairs; what is left is compared exactly.
 Equal sets are one vertex from the start.
@@ -23,10 +25,12 @@ Equal sets are one vertex from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import chunks as C
@@ -40,6 +44,7 @@ SLICE = 2 << 20
 SETS = "doc_id long, chunk int, n int, k1 long, k2 long"
 INDEXED = "doc_id long, n int, s int, entries array<long>, body binary, bits array<long>"
 BITMAP = 16  # longs
+BEFORE = 3  # open buckets of its set that a row knows
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,20 +197,36 @@ def with_first(index: DataFrame, buckets: DataFrame) -> DataFrame:
     return ordered(rows.select("doc_id", p.doc_id.alias("b")))
 
 
-def with_more(members: DataFrame, buckets: DataFrame, bits: DataFrame, share: float) -> DataFrame:
+def with_more(rows: DataFrame, bits: DataFrame, share: float) -> DataFrame:
     """Distinct pairs of members outside the bucket's largest component with members of other components whose own hash
-    lies below share / size of the bucket. Of two members in different components one is outside the largest."""
-    rows = members.join(buckets, "entry").join(bits, "doc_id")
+    lies below share / size of the bucket. Of two members in different components one is outside the largest.
+
+    rows: index rows of the open buckets with their component c and the bucket's m and main. Two sets that meet in many
+    buckets are compared in the smallest of them, which is through no later than the others: a row knows the open buckets
+    of its set just before its own, smallest first, and two rows that both know of one have met there."""
+    # texts of one doc_id are told apart by size; repartitioned by doc_id alone, as the join with bits needs it
+    before = Window.partitionBy("doc_id", "n", "s").orderBy("m", "entry")
+    known = [f"before{i}" for i in range(1, BEFORE + 1)]
+    rows = rows.repartition("doc_id").withColumns({x: F.lag("entry", i).over(before) for i, x in enumerate(known, 1)}).join(bits, "doc_id")
     outside = rows.where(F.col("c") != F.col("main"))
-    others = rows.where(F.col("u") * F.col("m") < share).select("entry", *(F.col(x).alias(f"{y}") for x, y in (("doc_id", "b"), ("n", "n_b"), ("s", "s_b"), ("c", "c_b"), ("bits", "bits_b"))))
+    others = rows.where(F.col("u") * F.col("m") < share)
+    others = others.select("entry", *(F.col(x).alias(f"{y}") for x, y in (("doc_id", "b"), ("n", "n_b"), ("s", "s_b"), ("c", "c_b"), ("bits", "bits_b"), *((x, f"{x}_b") for x in known))))
     reach = can_reach(F.col("l.n"), F.col("l.s"), F.col("r.n_b"), F.col("r.s_b"))
     # tokens in one set only are at least the bits that differ, and at most (OF - NEED) / (OF + NEED) of all
     apart = sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits_b")[i])) for i in range(BITMAP)), F.lit(0))
     reach &= apart * (OF + NEED) <= (F.col("l.n") + F.col("r.n_b")) * (OF - NEED)
+    reach &= ~F.coalesce(reduce(or_, (F.col(f"l.{x}") == F.col(f"r.{y}_b") for x in known for y in known)), F.lit(False))
     met = outside.alias("l").join(others.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.c") != F.col("r.c_b")) & reach)
     return ordered(met.select("l.doc_id", "r.b"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a Parquet table, so that they are made once."""
+    path = scratch(df.sparkSession, f"jaccard-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, layout: tuple[int, int] | None = None) -> DataFrame:
     """Components of documents whose shingle sets reach a Jaccard similarity of 0.75.
 
@@ -246,7 +267,7 @@ def links_of(index: DataFrame, indexed: DataFrame) -> tuple[DataFrame | None, Da
     sets, bits = indexed.select("doc_id", "body"), indexed.select("doc_id", "bits")
     first = F.min(F.struct("u", "doc_id", "n", "s")).alias("pivot")
     buckets = index.groupBy("entry").agg(F.count("*").alias("m"), first).where("m > 1")
-    found = checkpointed(verified(with_first(index, buckets), sets))
+    found = written(verified(with_first(index, buckets), sets), "links")
     links, component, share = None, None, 0.0
     while True:
         if found.take(1):
@@ -258,11 +279,13 @@ def links_of(index: DataFrame, indexed: DataFrame) -> tuple[DataFrame | None, Da
         # a bucket whose members are all connected, or were all compared, is done
         shares = members.groupBy("entry", "c").agg(F.count("*").alias("k"))
         left = shares.groupBy("entry").agg(F.sum("k").alias("m"), F.count("*").alias("parts"), F.max(F.struct("k", "c"))["c"].alias("main"))
-        buckets = checkpointed(left.where((F.col("parts") > 1) & (F.col("m") > share)).select("entry", "m", "main"))
-        if not buckets.take(1):
+        buckets = left.where((F.col("parts") > 1) & (F.col("m") > share)).select("entry", "m", "main")
+        rows = written(members.join(buckets, "entry").select("doc_id", "n", "s", "u", "entry", "c", "m", "main"), "open")
+        if not rows.take(1):
             return links, component
-        share = float(RARE) if share == 0.0 else share * 4
-        found = checkpointed(verified(with_more(members, buckets, bits, share), sets))
+        index = rows.select("doc_id", "n", "s", "u", "entry")  # what is done stays done
+        share = float(RARE) if share == 0.0 else share * 16
+        found = written(verified(with_more(rows, bits, share), sets), "links")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
