@@ -25,8 +25,6 @@ Equal sets are one vertex from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +42,7 @@ SLICE = 2 << 20
 SETS = "doc_id long, chunk int, n int, k1 long, k2 long"
 INDEXED = "doc_id long, n int, s int, entries array<long>, body binary, bits array<long>"
 BITMAP = 16  # longs
-BEFORE = 3  # open buckets of its set that a row knows
+BEFORE = 8  # open buckets of its set that a row knows
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,17 +203,16 @@ def with_more(rows: DataFrame, bits: DataFrame, share: float) -> DataFrame:
     buckets are compared in the smallest of them, which is through no later than the others: a row knows the open buckets
     of its set just before its own, smallest first, and two rows that both know of one have met there."""
     # texts of one doc_id are told apart by size; repartitioned by doc_id alone, as the join with bits needs it
-    before = Window.partitionBy("doc_id", "n", "s").orderBy("m", "entry")
-    known = [f"before{i}" for i in range(1, BEFORE + 1)]
-    rows = rows.repartition("doc_id").withColumns({x: F.lag("entry", i).over(before) for i, x in enumerate(known, 1)}).join(bits, "doc_id")
+    before = Window.partitionBy("doc_id", "n", "s").orderBy("m", "entry").rowsBetween(-BEFORE, -1)
+    rows = rows.repartition("doc_id").withColumn("before", F.collect_list("entry").over(before)).join(bits, "doc_id")
     outside = rows.where(F.col("c") != F.col("main"))
     others = rows.where(F.col("u") * F.col("m") < share)
-    others = others.select("entry", *(F.col(x).alias(f"{y}") for x, y in (("doc_id", "b"), ("n", "n_b"), ("s", "s_b"), ("c", "c_b"), ("bits", "bits_b"), *((x, f"{x}_b") for x in known))))
+    others = others.select("entry", *(F.col(x).alias(f"{y}") for x, y in (("doc_id", "b"), ("n", "n_b"), ("s", "s_b"), ("c", "c_b"), ("bits", "bits_b"), ("before", "before_b"))))
     reach = can_reach(F.col("l.n"), F.col("l.s"), F.col("r.n_b"), F.col("r.s_b"))
     # tokens in one set only are at least the bits that differ, and at most (OF - NEED) / (OF + NEED) of all
     apart = sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits_b")[i])) for i in range(BITMAP)), F.lit(0))
     reach &= apart * (OF + NEED) <= (F.col("l.n") + F.col("r.n_b")) * (OF - NEED)
-    reach &= ~F.coalesce(reduce(or_, (F.col(f"l.{x}") == F.col(f"r.{y}_b") for x in known for y in known)), F.lit(False))
+    reach &= ~F.arrays_overlap("l.before", "r.before_b")
     met = outside.alias("l").join(others.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.c") != F.col("r.c_b")) & reach)
     return ordered(met.select("l.doc_id", "r.b"))
 
