@@ -144,3 +144,10 @@ def test_rows_are_spread_before_they_become_many_groups(spark):
                 want.setdefault((r["device_id"], hour - h * 3600, field), []).append(v)
     assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     assert all(got[k][1] == pytest.approx(sum(v) / len(v)) for k, v in want.items())
+
+
+def test_snapshots_look_for_emissions_before_any_join(spark):
+    """The ordered pass reads its input twice, so the join that numbers windows comes after it, once."""
+    out = wi.running_snapshots(events(spark, sample()), 10, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.index("Join Inner") < plan.index("MapInArrow")  # above the pass

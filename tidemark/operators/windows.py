@@ -46,26 +46,28 @@ def window_stats(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _edges(df: DataFrame, time: str, block_seconds: float, **aggs: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows with their block of `time`, aggregates of each block of each device).
+def _edges(df: DataFrame, time: str, block_seconds: float, of: DataFrame | None = None, **aggs: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block of `time`, aggregates of each block of each device of `of`, the same rows if not given).
 
     Facts about a whole device come back to its rows by device and block, so that a device with very many rows is
     spread in that join too.
     """
     rows = df.withColumn("_block", block_of(time, block_seconds))
-    return rows, rows.groupBy(*KEY, "_block").agg(*[c.alias(n) for n, c in aggs.items()])
+    from_ = rows if of is None else of.withColumn("_block", block_of(time, block_seconds))
+    return rows, from_.groupBy(*KEY, "_block").agg(*[c.alias(n) for n, c in aggs.items()])
 
 
 def with_window(
-    df: DataFrame, size_seconds: float, *, emit_open: bool = False, block_seconds: float = BLOCK_SECONDS
+    df: DataFrame, size_seconds: float, *, emit_open: bool = False, block_seconds: float = BLOCK_SECONDS, of: DataFrame | None = None
 ) -> DataFrame:
     """Adds window_no: fixed windows counted from the device's first event.
 
     First and last time combine before the shuffle. The newest window is still
-    open and left out unless `emit_open`.
+    open and left out unless `emit_open`. `of`: the same events before costly
+    columns were added, to find first and last times without them.
     """
     size = seconds_to_us(size_seconds)
-    rows, blocks = _edges(df, "timestamp", block_seconds, _from=F.min("timestamp"), _to=F.max("timestamp"))
+    rows, blocks = _edges(df, "timestamp", block_seconds, of, _from=F.min("timestamp"), _to=F.max("timestamp"))
     device = W.partitionBy(*KEY)
     edges = blocks.select(*KEY, "_block", F.min("_from").over(device).alias("_anchor"), F.max("_to").over(device).alias("_last"))
     number = F.floor(span_us(F.col("timestamp"), F.col("_anchor")) / size)
@@ -93,10 +95,11 @@ def running_snapshots(
     map-side combine) and then accumulated over the few steps of a window.
     `scan` sets block_seconds.
     """
-    columns = ["event_id", *KEY, "timestamp", "metrics"]
-    placed = with_window(df.select(*columns), size_seconds, emit_open=True, **scan)
+    events = df.select("event_id", *KEY, "timestamp", "metrics")
     spacing = Spacing("timestamp", seconds_to_us(slide_seconds))
-    return _snapshots(split_scan(placed, KEY, ["timestamp", "event_id"], spacing, **scan))
+    # emissions do not depend on windows, so both readings of the pass are of bare events
+    stepped = split_scan(events, KEY, ["timestamp", "event_id"], spacing, **scan)
+    return _snapshots(with_window(stepped, size_seconds, emit_open=True, of=events, **scan))
 
 
 def arrival_snapshots(
@@ -139,8 +142,9 @@ def _snapshots(stepped: DataFrame) -> DataFrame:
     this_step = W.partitionBy(*step)
     up_to_step = W.partitionBy(*window).orderBy(by_step)
     steps = (
-        # spread by window once; every frame below is finer than that
+        # spread by window once and in the one order of all frames up to `filled`; every frame below is finer than that
         parts.repartition(*window)
+        .sortWithinPartitions(*window, by_step, "field")
         .withColumn("emitted_at", F.max("emitted_at").over(this_step))
         .withColumn("window_start", F.min("from").over(up_to_step))
         .withColumn("window_end", F.max("to").over(up_to_step))
