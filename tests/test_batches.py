@@ -276,3 +276,59 @@ def test_four_micro_batches_are_spread_over_the_cores(spark, tmp_path):
     stream.writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert len(list(Path(f"{tmp_path}/in").glob("*.parquet"))) == 4 * spark.sparkContext.defaultParallelism
     assert len(sizes) == 4 and sum(sizes) == 1000
+
+
+def test_a_batch_is_worked_out_once_and_its_repeated_keys_go_by_what_was_written(spark, table):
+    """Its rows had been worked out for their folders, and all shuffled for their keys."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    a, b = some(spark, 0, 1), some(spark, 1, 2, tenant="acme")
+    both = a.unionByName(a).unionByName(b)
+    assert table.write("1", both.mapInArrow(counted, both.schema))
+    assert seen.value == both.count() and ids(table.read()) == ids(a.unionByName(b))
+    assert ids(table.stored("1")) == ids(table.read())
+    # all rows stored before, but for one day
+    assert table.write("2", a.unionByName(some(spark, 3))) and ids(table.stored("2")) == ids(some(spark, 3))
+    assert table.write("3", a) and table.stored("3") is None and not glob.glob(f"{table.path}/_once-*")
+    assert ids(table.read()) == ids(a.unionByName(b).unionByName(some(spark, 3)))
+
+
+def test_one_row_of_each_key_however_many_are_repeated(spark, monkeypatch):
+    from tidemark.sinks import batches
+
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, i // 7 % 2, i) for i in range(40)], "a long, b long, i long")
+    want = {(r["a"], r["b"]) for r in rows.collect()}
+    for few in (100, 3):
+        monkeypatch.setattr(batches, "FEW_KEYS", few)
+        got = [(r["a"], r["b"]) for r in batches.once(rows, ["a", "b"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert batches.once(rows, ["i"]) is rows
+
+
+def test_only_the_newest_dates_are_sorted_for_the_latest_rows(spark, tmp_path):
+    table = LatestTable(spark, str(tmp_path / "latest"), n=4, order=("timestamp", "event_id"), key=("event_id", "timestamp"))
+    timeless = some(spark, 3, tenant="acme").withColumn("timestamp", F.lit(None).cast("timestamp"))
+    rows = some(spark, *range(6)).unionByName(timeless).unionByName(some(spark, 2, first=50).withColumn("tenant_id", F.lit(None).cast("string")))
+    recent = table._recent(tables.dated(rows))
+    dates = {(r["tenant_id"], str(r["date"])) for r in recent.select("tenant_id", "date").collect()}
+    assert dates == {("default", "2024-01-06"), ("default", "2024-01-05"), ("acme", "None"), (None, "2024-01-03")}
+    table.write("1", rows)
+    want = newest(rows, ["tenant_id"], 4, ["timestamp", "event_id"])
+    assert sorted((r["tenant_id"] or "", r["event_id"]) for r in table.read().collect()) == sorted((r["tenant_id"] or "", r["event_id"]) for r in want.collect())
+
+
+def test_anomalies_and_alerts_are_found_once(spark, history, tmp_path):
+    """Alerts had read, cleaned and scored all events again."""
+    _, path = history
+    queries = jobs.start_flow(replay_stream(spark, path), f"{tmp_path}/out", f"{tmp_path}/state", cfg=CFG)
+    run(queries)
+    assert sorted(queries) == ["alerts", "anomalies", "events", "window_stats"] and len({q.id for q in queries.values()}) == 3
+    found = {n: t.read() for n, t in jobs.flow_tables(spark, f"{tmp_path}/out").items()}
+    kept = by_id(cooldown(alert_candidates(found["anomalies"]), 15.0), "device_id")
+    assert 0 < len(kept) < found["anomalies"].count() and by_id(found["alerts"], "device_id") == kept
+    assert "payload" in found["alerts"].columns and not {*jobs.MARKS} & {*found["alerts"].columns, *found["anomalies"].columns}
