@@ -268,3 +268,36 @@ def test_the_pass_for_anomalies_carries_what_they_are_made_of(spark):
     found = anomalies_of(df.withColumn("ballast", F.lit("x")).cache())
     passes = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
     assert passes and not any("ballast" in line or "rule_scores" in line for line in passes)
+
+
+def test_rows_reach_a_keyed_processor_in_cells(spark, monkeypatch):
+    """Each row had been a Python object of its own, in the processor and before it."""
+    from tidemark.streaming import keyed
+
+    rows = [{"seconds": i, "device_id": "abc"[i % 3], "event_id": f"e{i}", "metrics": {"temperature": i / 3} if i % 4 else {}, "tags": {"a": None} if i % 5 else None} for i in range(300)]
+    df = events(spark, rows).withColumn("gap", F.when(F.col("sequence") % 2 == 0, F.lit(float("nan"))))
+    dealt = keyed.dealt_out(df.coalesce(1), ["device_id"], 2)
+    cells = dealt.mapInArrow(keyed._deal, keyed.DEALT)
+    assert len({r["_bucket"] for r in cells.collect()}) == cells.count() <= 2
+    back = cells.select("body").mapInArrow(keyed._spread, df.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    monkeypatch.setattr(keyed, "PACK_BYTES", 1)  # a stretch is a batch of 13 rows here
+    (one,) = {len(list(keyed._deal(iter([b, b])))) for b in dealt.limit(5).toArrow().to_batches()}
+    assert one == 2
+
+
+def test_rows_that_pass_by_a_recurrence(spark):
+    import pyarrow as pa
+
+    from tidemark.operators.spacing import Spacing
+    from tidemark.streaming.keyed import KeyedRecurrence
+
+    step = KeyedRecurrence(None, ["k"], ["t"], [Spacing("t", 10)], None, where="w")
+    step.init(MapState())
+    at = lambda *us: pa.array(us, pa.timestamp("us", tz="UTC"))
+    made = lambda k, t, w: pa.RecordBatch.from_pydict({"k": pa.array(k), "t": t, "w": pa.array(w)})
+    out = step.handle_batch(made(["b", "a", "a", "a", "b"], at(5, 20, 1, 4, 6), [False, True, True, False, True]))
+    assert out.select(["k", "kept"]).to_pylist() == [{"k": "a", "kept": True}, {"k": "a", "kept": None}, {"k": "a", "kept": True}, {"k": "b", "kept": None}, {"k": "b", "kept": True}]
+    out = step.handle_batch(made(["a", "c"], at(25, 25), [True, False]))
+    assert out.column("kept").to_pylist() == [False, None] and out.column("prev_anchor").cast("int64").to_pylist() == [20, None]
+    assert step.handle_batch(made(["c"], at(25), [False])).column("kept").to_pylist() == [None]

@@ -19,8 +19,12 @@ def severity_rank(col: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), col).cast("int") - 1
 
 
+def is_candidate(min_severity: str = "medium") -> Column:
+    return severity_rank(F.col("severity")) >= SEVERITIES.index(min_severity)
+
+
 def alert_candidates(anomalies: DataFrame, min_severity: str = "medium") -> DataFrame:
-    return anomalies.filter(severity_rank(F.col("severity")) >= SEVERITIES.index(min_severity))
+    return anomalies.filter(is_candidate(min_severity))
 
 
 def cooldown(candidates: DataFrame, seconds: float = 60.0, **scan) -> DataFrame:

@@ -11,17 +11,17 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.config import DEFAULT_CATALOG, Alerting, Catalog, Detection, Drift, Ewma, Settings
 from tidemark.functions.expr import seconds_to_us
-from tidemark.operators.alerts import alert_candidates, alert_payload
+from tidemark.operators.alerts import alert_candidates, alert_payload, is_candidate
 from tidemark.operators.dedup import dedup_key
 from tidemark.operators.detectors import AdwinDrift, EwmaScore, OnlineAutoencoder
-from tidemark.operators.enrich import enrich, metric_vector
+from tidemark.operators.enrich import enrich, metric_vector, resolve_tenant
 from tidemark.operators.scan import OpenWindow
 from tidemark.operators.spacing import Spacing
 from tidemark.operators.scoring import DEVICE, ORDER, SENSOR, _trees, ensemble, primary_metric, with_rules
 from tidemark.operators.validate import has_errors, validate
 from tidemark.sinks.batches import BatchTable, LatestTable
 from tidemark.streaming.counters import observe_checked, observe_found, observe_kept
-from tidemark.streaming.keyed import bucket_spacing, keyed_scan
+from tidemark.streaming.keyed import bucket_spacing, keyed_scan, keyed_steps
 from tidemark.streaming.windows import window_stream
 
 # How long keyed state outlives the last event of a key, by default.
@@ -72,10 +72,21 @@ def cooldown_stream(
     anomalies: DataFrame, cfg: Alerting = Alerting(), ttl_seconds: float | None = STATE_TTL_SECONDS
 ) -> DataFrame:
     """Alerts with payload."""
+    return marked_alerts(cooldown_marks(alert_candidates(anomalies, cfg.min_severity), cfg, ttl_seconds))
+
+
+MARKS = ["_candidate", "kept", "prev_anchor"]
+
+
+def cooldown_marks(anomalies: DataFrame, cfg: Alerting, ttl_seconds: float | None) -> DataFrame:
+    """All anomalies, with MARKS: those that are alerts are kept."""
     spacing = Spacing("timestamp", seconds_to_us(cfg.cooldown_seconds))
-    candidates = alert_candidates(anomalies, cfg.min_severity)
-    sent = keyed_scan(candidates, DEVICE, ORDER, [spacing], ttl_seconds=ttl_seconds).filter("kept")
-    return alert_payload(sent.drop("kept", "prev_anchor"))
+    marked = anomalies.withColumn("_candidate", F.coalesce(is_candidate(cfg.min_severity), F.lit(False)))
+    return keyed_steps(marked, ORDER, [(DEVICE, [spacing])], ttl_seconds=ttl_seconds, where="_candidate")
+
+
+def marked_alerts(marked: DataFrame) -> DataFrame:
+    return alert_payload(marked.filter("kept").drop(*MARKS))
 
 
 def detect_stream(
@@ -92,8 +103,7 @@ def detect_stream(
     by_sensor = [_trees(cfg.trees, catalog)]
     if cfg.autoencoder.enabled:
         by_sensor.append(OnlineAutoencoder(cfg.autoencoder, models))
-    df = keyed_scan(df, DEVICE, ORDER, by_device, ttl_seconds=ttl_seconds)
-    df = keyed_scan(df, SENSOR, ORDER, by_sensor, ttl_seconds=ttl_seconds)
+    df = keyed_steps(df, ORDER, [(DEVICE, by_device), (SENSOR, by_sensor)], ttl_seconds=ttl_seconds)
     found = ensemble(with_rules(df, catalog), cfg)
     return found if cfg.enabled else found.filter(F.lit(False))
 
@@ -123,6 +133,14 @@ def clean_stream(
     return enrich(kept, catalog, environment=cfg.environment, tenancy=cfg.tenancy)
 
 
+def clean_columns(raw: DataFrame, cfg: Settings, catalog: Catalog, columns: list[str]) -> DataFrame:
+    """Some columns of `clean_stream`, of which enriching adds none but the tenant; no others are shuffled."""
+    needed = dict.fromkeys([*columns, "device_id", "timestamp", "metrics", "ingested_at", "event_id"])
+    checked = resolve_tenant(validate(raw, catalog), cfg.tenancy).select(*needed, has_errors().alias("_faulty"))
+    kept = dedup_stream(checked, cfg.dedup_window_seconds)
+    return (kept.filter("NOT _faulty") if cfg.drop_invalid else kept).select(*columns)
+
+
 def trigger_options(interval_seconds: float | None = None) -> dict:
     """How often micro-batches start: a fixed interval, or once over what is there."""
     return {"availableNow": True} if interval_seconds is None else {"processingTime": f"{interval_seconds} seconds"}
@@ -172,21 +190,45 @@ def start_table(
     """Writes each micro-batch to a table, as a batch that counts once, so a repeated micro-batch changes nothing.
 
     stream: names the micro-batches together with their number; by default it follows from the checkpoint, whose
-    numbers they are. `latest` is refreshed, and `on_batch` called, with the same rows, cached for all.
+    numbers they are. `latest` is refreshed, and `on_batch` called, with the same rows.
+    """
+    return start_tables(rows, [(table, lambda batch: batch, latest)], checkpoint, stream=stream, interval_seconds=interval_seconds, on_batch=on_batch)
+
+
+def start_tables(
+    rows: DataFrame,
+    parts: list[tuple[BatchTable, Callable[[DataFrame], DataFrame], LatestTable | None]],
+    checkpoint: str,
+    *,
+    stream: str | None = None,
+    interval_seconds: float | None = None,
+    on_batch: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """`start_table` for several tables: each takes what its function makes of a micro-batch, which is worked out once.
+
+    It is cached only where more than one reads it: a table writes in one pass, and `LatestTable` takes what was written.
     """
     name = stream or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        which = f"{name}-{number:012d}"
+        left = [table for table, _, _ in parts if not table.committed(which)]
+        shared = len(left) + (on_batch is not None) > 1
+        if shared:
+            batch = batch.persist()
         try:
-            if not table.write(f"{name}-{number:012d}", batch):
+            if not left:
                 drain(batch)  # the state behind the rows has to move on with them
-            if latest is not None:
-                latest.write(f"{name}-{number:012d}", batch)
+            for table, part, latest in parts:
+                table.write(which, part(batch))
+                if latest is not None and not latest.committed(which):
+                    stored = table.stored(which)
+                    latest.write(which, part(batch).limit(0) if stored is None else stored)
             if on_batch is not None:
                 on_batch(batch, number)
         finally:
-            batch.unpersist()
+            if shared:
+                batch.unpersist()
 
     return started(
         rows.sparkSession,
@@ -240,23 +282,25 @@ def start_flow(
     arrival, anomalies, and alerts; and the tables of `snapshot_tables`, refreshed with every micro-batch. What it
     observes, `LiveCounters` counts.
 
-    One query a table, each with its own checkpoint under `state` and its own reading of the source, so that they
-    fail and recover on their own. `stream` is as in `start_table`.
+    Each query has its own checkpoint under `state` and its own reading of the source, so that they fail and recover
+    on their own; anomalies and alerts, which are some of them, share one. `stream` is as in `start_table`.
     """
     ttl = None if interval_seconds is None else STATE_TTL_SECONDS
-    clean = clean_stream(raw, cfg, catalog)
-    found = detect_stream(clean, cfg.detection, catalog, models, ttl)
-    rows = {
-        "events": clean_stream(raw, cfg, catalog, observe=True),
-        "window_stats": window_stream(clean, cfg.window_size_seconds, cfg.slide_interval_seconds, order="arrival"),
-        "anomalies": observe_found(found),
-        "alerts": cooldown_stream(found, cfg.alerting, ttl),
-    }
+    clean = clean_columns(raw, cfg, catalog, ["event_id", *SENSOR, "timestamp", "ingested_at", "metrics"])
+    found = observe_found(detect_stream(clean, cfg.detection, catalog, models, ttl))
     tables, latest = flow_tables(raw.sparkSession, root), snapshot_tables(raw.sparkSession, root)
-    return {
-        name: start_table(df, tables[name], f"{state}/{name}", latest=latest.get(name), stream=stream, interval_seconds=interval_seconds)
-        for name, df in rows.items()
+    whole = lambda batch: batch
+    rows = {
+        ("events",): (clean_stream(raw, cfg, catalog, observe=True), [whole]),
+        ("window_stats",): (window_stream(clean, cfg.window_size_seconds, cfg.slide_interval_seconds, order="arrival"), [whole]),
+        ("anomalies", "alerts"): (cooldown_marks(found, cfg.alerting, ttl), [lambda batch: batch.drop(*MARKS), marked_alerts]),
     }
+    queries = {}
+    for names, (df, picks) in rows.items():
+        parts = [(tables[n], pick, latest.get(n)) for n, pick in zip(names, picks, strict=True)]
+        query = start_tables(df, parts, f"{state}/{names[0]}", stream=stream, interval_seconds=interval_seconds)
+        queries |= dict.fromkeys(names, query)
+    return queries
 
 
 def start_alerts(

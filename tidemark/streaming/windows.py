@@ -18,14 +18,16 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.functions.expr import seconds_to_us
 from tidemark.operators.windows import KEY
-from tidemark.streaming.keyed import KEY_BYTES, dealt_out, key_name, packed, unpacked, use_rocksdb
+from tidemark.streaming.keyed import KEY_BYTES, dealt_out, key_name, packed, packed_state, unpacked, use_rocksdb
 
 WINDOW, SNAPSHOT = "window", "snapshot"
 FEW = 16  # events added one by one; an array does not pay for so few
@@ -155,16 +157,31 @@ class Windows(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.open = handle.getMapState("open", KEY_BYTES, BYTES)
-        self.waiting = handle.getListState("waiting", BYTES)
+        if self.wait:
+            self.waiting = handle.getListState("waiting", BYTES)
+
+    def handle_batch(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Order "arrival", with the rows as a batch."""
+        maps = batch.column("metrics")
+        offsets = maps.offsets.to_numpy()
+        first, last = int(offsets[0]), int(offsets[-1])
+        fields, values = maps.keys.slice(first, last - first).to_pylist(), maps.items.slice(first, last - first).to_pylist()
+        cuts = (offsets - first).tolist()
+        metrics = [dict(zip(fields[a:b], values[a:b], strict=True)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        devices = zip(*(batch.column(k).to_pylist() for k in KEY), strict=True)
+        rows = self._rows(list(zip(devices, *(batch.column(c).to_pylist() for c in ("at", "event_id", "us")), metrics, strict=True)))
+        types = to_arrow_schema(EMITTED).types
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+        arrays = [
+            pa.array(c, pa.int64()).cast(pa.timestamp("us", tz="UTC")) if pa.types.is_timestamp(t) else pa.array(c, t) for c, t in zip(columns, types, strict=True)
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=EMITTED.names)
 
     def handleInputRows(self, key, rows, timerValues):
         frame = pd.concat(list(rows), ignore_index=True)
         metrics = [dict(m) if not isinstance(m, dict) else m for m in frame["metrics"]]
         devices = zip(*(frame[k].tolist() for k in KEY), strict=True)
         events = list(zip(devices, frame["at"].tolist(), frame["event_id"].tolist(), frame["us"].tolist(), metrics, strict=True))
-        if not self.wait:
-            yield from self._emit(events)
-            return
         first = min(e[3] for e in events)
         self.waiting.appendValue((pickle.dumps(events),))
         if first <= timerValues.getCurrentWatermarkInMs() * 1000:
@@ -188,7 +205,7 @@ class Windows(StatefulProcessor):
         if ready:
             yield from self._emit(ready)
 
-    def _emit(self, events):
+    def _rows(self, events: list[tuple]) -> list[tuple]:
         of_device: dict[tuple, list] = {}
         for e in events:
             of_device.setdefault(e[0], []).append(e)
@@ -201,6 +218,10 @@ class Windows(StatefulProcessor):
             found = buffer.handle(np.array([e[3] for e in some], np.int64), [e[4] for e in some])
             self.open.updateValue(name, (packed(buffer.state()),))
             rows += [(*device, *r) for r in found]
+        return rows
+
+    def _emit(self, events):
+        rows = self._rows(events)
         if rows:
             frame = pd.DataFrame(rows, columns=EMITTED.names)
             for c in ("emitted_at", "window_start", "window_end"):
@@ -223,15 +244,15 @@ def window_stream(
     """
     if order not in ("event", "arrival"):
         raise ValueError(f"order is event or arrival: {order!r}")
-    use_rocksdb(events.sparkSession)
     by_event = order == "event"
     at = F.unix_micros("timestamp" if by_event else "ingested_at").alias("at")
     if by_event:
         events = events.withWatermark("timestamp", delay)
     narrow = events.select(*KEY, "timestamp", at, "event_id", F.unix_micros("timestamp").alias("us"), "metrics")
+    windows = Windows(seconds_to_us(size_seconds), seconds_to_us(slide_seconds), by_event)
+    if not by_event:
+        return packed_state(narrow.drop("timestamp"), KEY, [windows], EMITTED, buckets=buckets)
+    use_rocksdb(events.sparkSession)  # rows stay rows, as Spark drops those older than the watermark
     return dealt_out(narrow, KEY, buckets).groupBy("_bucket").transformWithStateInPandas(
-        statefulProcessor=Windows(seconds_to_us(size_seconds), seconds_to_us(slide_seconds), by_event),
-        outputStructType=EMITTED,
-        outputMode="Append",
-        timeMode="EventTime" if by_event else "None",
+        statefulProcessor=windows, outputStructType=EMITTED, outputMode="Append", timeMode="EventTime"
     )
